@@ -15,6 +15,7 @@ Null text: as empty text, which still has its end token. Repeated rows and ties:
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,38 +29,98 @@ SEQUENCE = 4096
 #: Tokens that a window gathers before it is packed.
 WINDOW_TOKENS = 1 << 20
 #: Words whose ids a task remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_cost double"
 
 
+#: Characters that the tokenizer keeps together in a run and apart from letters.
+MARKS = ".,;:!?%$#&*()-+=/"
+
+
 class WordIds:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words, one after the other; each word is
-    tokenised once while it is remembered. Only space and line feed part words here, the rest is left to the tokenizer.
+    tokenised once while it is remembered. Only space and line feed part words here. Most words are letters with marks after them,
+    which the tokenizer parts and lower-cases: the letters are remembered apart, and tokenised many at a time. Any other word is left
+    to the tokenizer as it is.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, bytes] = {"": b""}
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_letters(self, new: list[str]) -> None:
+        """Words of letters only, each of which is one piece to the tokenizer."""
+        for k in range(0, len(new), 1000):
+            part = new[k : k + 1000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, word = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
+            if word[-1] != len(part) - 1:
+                self.letters.update(zip(part, self._whole(part), strict=True))
+                continue
+            ends = (np.searchsorted(word, np.arange(len(part)), "right") * 4).tolist()
+            at = 0
+            for w, end in zip(part, ends, strict=True):
+                self.letters[w] = ids[at:end]
+                at = end
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.letters) > self.most:
+            self.letters = {}
+        parted, odd, letters = [], [], []
+        for w in new:
+            low = w.lower()
+            base = low.rstrip(MARKS)
+            if base.isalpha() and (w.isascii() or "\u03a3" not in w and unicodedata.is_normalized("NFC", w)):
+                parted.append((w, base, low[len(base) :]))
+                if base not in self.letters:
+                    letters.append(base)
+            else:
+                odd.append(w)
+        self._learn_letters(list(dict.fromkeys(letters)))
+        for w, base, tail in parted:
+            if tail not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {"": b""}
+                self.marks[tail] = self._whole([tail])[0]
+            self.known[w] = self.letters[base] + self.marks[tail]
+        self.known.update(zip(odd, self._whole(odd), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for p in parts for w in p} - self.known.keys())
+        words = set().union(*parts)
+        new = words - self.known.keys()
         if len(self.known) + len(new) > self.most:
             self.known = {"": b""}
-            new = list({w for p in parts for w in p} - {""})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            new = words - self.known.keys()
+        if new:
+            self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 
+_ids: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a Python worker."""
+    if path not in _ids:
+        _ids[path] = WordIds(path)
+    return _ids[path]
+
+
 def assign(lengths: list[int], capacities: list[int]) -> list[tuple[int, int, int, int]]:
     """Pieces (document, start, length, sequence) of documents in descending cost; all capacities together hold all tokens."""
     room, cost = np.array(capacities, np.int64), np.zeros(len(capacities))
@@ -118,7 +179,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, sequence: int, window: i
     from pyspark import TaskContext
 
     first = TaskContext.get().partitionId() << 36
-    ids_of, end = WordIds(path), np.array([END_ID], "<u4").tobytes()
+    ids_of, end = word_ids(path), np.array([END_ID], "<u4").tobytes()
     waiting: list[tuple[int, int, bytes, int]] = []
     held, used = 0, 0
 
