@@ -36,5 +36,76 @@ def op7_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op6_cost_balanced_packing, op7_wav_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
+         md5(coalesce(doc_id::VARCHAR, '')) || coalesce(doc_id::VARCHAR, '') AS ord
+  FROM documents),
+s AS (SELECT src, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY src),
+l AS (SELECT *, 2.0::DOUBLE * source_size AS lim, 2.0::DOUBLE * source_size / weight AS level FROM s),
+w AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+        - coalesce(sum(lim) OVER (ORDER BY level, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY level, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS water FROM l),
+f AS (SELECT min_by(water, {'level': level, 'src': src}) AS mark FROM w WHERE water <= level),
+t AS (SELECT src, source_size, least(lim, weight * coalesce(f.mark, 'inf'::DOUBLE)) AS target FROM w, f),
+n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9) ELSE 0 END AS whole FROM t),
+need AS (SELECT *, round(target - whole * source_size, 6) AS need FROM n),
+u AS (SELECT src, ord, size, count(*) AS times, size * count(*) AS unit FROM d GROUP BY src, ord, size),
+run AS (SELECT u.*, need, sum(unit) OVER (PARTITION BY u.src ORDER BY ord, size ROWS UNBOUNDED PRECEDING) AS upto FROM u JOIN need USING (src)),
+k AS (SELECT *, upto > need AS passed, max((upto > need)::INT) OVER (PARTITION BY src ORDER BY ord, size ROWS UNBOUNDED PRECEDING) AS after FROM run),
+g0 AS (SELECT src, need - coalesce(sum(unit) FILTER (WHERE after = 0), 0) AS gap, max(after) AS any_after FROM k GROUP BY src, need),
+spare AS (SELECT k.src, unit, min({'ord': ord, 'size': k.size}) AS pick FROM k JOIN g0 USING (src) WHERE after = 1 AND unit > 0 AND unit <= gap GROUP BY k.src, unit),
+p1 AS (SELECT src, max(unit) AS unit FROM spare JOIN g0 USING (src) WHERE unit <= gap GROUP BY src),
+g1 AS (SELECT src, gap - coalesce(unit, 0) AS gap FROM g0 LEFT JOIN p1 USING (src)),
+p2 AS (SELECT s.src, max(s.unit) AS unit FROM spare s JOIN g1 USING (src) LEFT JOIN p1 ON p1.src = s.src AND p1.unit = s.unit WHERE s.unit <= gap AND p1.src IS NULL GROUP BY s.src),
+g2 AS (SELECT src, gap - coalesce(unit, 0) AS gap FROM g1 LEFT JOIN p2 USING (src)),
+p3 AS (SELECT s.src, max(s.unit) AS unit FROM spare s JOIN g2 USING (src) LEFT JOIN p1 ON p1.src = s.src AND p1.unit = s.unit LEFT JOIN p2 ON p2.src = s.src AND p2.unit = s.unit
+       WHERE s.unit <= gap AND p1.src IS NULL AND p2.src IS NULL GROUP BY s.src),
+more AS (SELECT src, pick.ord AS ord, pick.size AS size FROM spare JOIN (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3) USING (src, unit)
+         UNION ALL SELECT src, ord, size FROM k WHERE after = 0),
+c AS (SELECT DISTINCT m.src, m.ord, m.size FROM more m JOIN need USING (src) WHERE need > 0)
+SELECT d.doc_id, d.size, t.source_size, round(t.target, 4) AS target,
+       (d.size * (need.whole + CASE WHEN c.src IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken
+FROM d JOIN t USING (src) JOIN need USING (src) LEFT JOIN c ON c.src = d.src AND c.ord = d.ord AND c.size = d.size
+"""
+
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op10_digest_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: pages whose html repeats that of an earlier page."""
+    from .url_filter import filter_urls, host_of, path_of
+
+    pages = table(spark, sf_dir, "pages")
+    seen = pages.filter("html is not null").select("page_id", F.sha2("html", 256).alias("sha"), F.concat(host_of(F.col("url")), path_of(F.col("url"))).alias("key"))
+    first = seen.groupBy("sha").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).filter("n > 1")
+    again = seen.join(first.select("sha", F.col("page_id").alias("first_id")), "sha").filter("page_id > first_id and key <> ''")
+    return filter_urls(pages, RULES, again.select("key")).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP10_SQL = r"""
+WITH p AS (
+  SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fits AS (
+  SELECT page_id, max({'size': length(rhost || rpath), 'rule': rhost || rpath, 'verdict': verdict}) AS best
+  FROM h JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+firsts AS (SELECT html, min(page_id) AS first_id FROM h WHERE html IS NOT NULL GROUP BY html HAVING count(*) > 1),
+again AS (SELECT DISTINCT host || path AS key FROM h JOIN firsts USING (html) WHERE page_id > first_id AND host || path <> '')
+SELECT h.page_id, host, path, best.rule AS rule,
+       coalesce(best.verdict, CASE WHEN again.key IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM h LEFT JOIN fits USING (page_id) LEFT JOIN again ON again.key = host || path
+"""
+
+QUERIES = {f.__name__: f for f in (op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op10_digest_url_filter)}
+ORACLE_SQL: dict[str, str] = {"op8_entropy_balanced_mix": OP8_SQL, "op10_digest_url_filter": OP10_SQL}
