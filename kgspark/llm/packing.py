@@ -15,6 +15,7 @@ Null text: as empty text, which still has its end token. Repeated rows and ties:
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -36,79 +37,63 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_cost double"
 
 
-#: Characters that the tokenizer keeps together in a run and apart from letters.
-MARKS = ".,;:!?%$#&*()-+=/"
+def _alphabet() -> dict[int, str]:
+    """Byte-level BPE writes each byte as one visible character: itself where it is one, else the next free one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in visible)
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class WordIds:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its words, one after the other; each word is
-    tokenised once while it is remembered. Only space and line feed part words here. Most words are letters with marks after them,
-    which the tokenizer parts and lower-cases: the letters are remembered apart, and tokenised many at a time. Any other word is left
-    to the tokenizer as it is.
+    The tokenizer normalises a text, cuts it into pieces (runs of letters, single digits, runs of other marks) and merges the bytes of each
+    piece. The pieces are cut here by the same rule, and merged by the tokenizer's own model, each piece once while it is remembered.
+    A text with anything that this rule may cut differently (characters of RARE and FAR, text that normalisation changes, special tokens) goes
+    through the whole tokenizer.
     """
 
+    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    #: Numbers that aren't decimal digits, letters that lower-case in context or to two characters, separators that only some count as white space.
+    RARE = re.compile("[" + "".join(c for c in map(chr, range(128, 0x10000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "\u03a3\u0130\x1c-\x1f]")
+    FAR = re.compile("[\U00010000-\U0010ffff]")
+
     def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn_letters(self, new: list[str]) -> None:
-        """Words of letters only, each of which is one piece to the tokenizer."""
-        for k in range(0, len(new), 1000):
-            part = new[k : k + 1000]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+        self.merges = Tokenizer(self.tokenizer.model)  # without normaliser and cutting
+        self.bytes = _alphabet()
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        for k in range(0, len(new), 5000):
+            part = new[k : k + 5000]
+            e = self.merges.encode([w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.bytes) for w in part], is_pretokenized=True, add_special_tokens=False)
             ids, word = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
-            if word[-1] != len(part) - 1:
-                self.letters.update(zip(part, self._whole(part), strict=True))
-                continue
             ends = (np.searchsorted(word, np.arange(len(part)), "right") * 4).tolist()
             at = 0
             for w, end in zip(part, ends, strict=True):
-                self.letters[w] = ids[at:end]
+                self.known[w] = ids[at:end]
                 at = end
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.letters) > self.most:
-            self.letters = {}
-        parted, odd, letters = [], [], []
-        for w in new:
-            low = w.lower()
-            base = low.rstrip(MARKS)
-            if base.isalpha() and (w.isascii() or "\u03a3" not in w and unicodedata.is_normalized("NFC", w)):
-                parted.append((w, base, low[len(base) :]))
-                if base not in self.letters:
-                    letters.append(base)
-            else:
-                odd.append(w)
-        self._learn_letters(list(dict.fromkeys(letters)))
-        for w, base, tail in parted:
-            if tail not in self.marks:
-                if len(self.marks) > 10_000:
-                    self.marks = {"": b""}
-                self.marks[tail] = self._whole([tail])[0]
-            self.known[w] = self.letters[base] + self.marks[tail]
-        self.known.update(zip(odd, self._whole(odd), strict=True))
+    def _plain(self, text: str) -> bool:
+        if "<|" in text or self.RARE.search(text):
+            return False
+        return text.isascii() or not self.FAR.search(text) and unicodedata.is_normalized("NFC", text)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        plain = [self._plain(t or "") for t in texts]
+        parts = [self.PIECE.findall((t or "").lower()) if ok else () for t, ok in zip(texts, plain, strict=True)]
         words = set().union(*parts)
         new = words - self.known.keys()
         if len(self.known) + len(new) > self.most:
-            self.known = {"": b""}
-            new = words - self.known.keys()
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+            self.known = {}
+            new = words
+        self._learn(list(new))
+        get = {w: self.known[w] for w in words}.__getitem__
+        return [b"".join(map(get, p)) if ok else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, p, ok in zip(texts, parts, plain, strict=True)]
 
 
 _ids: dict[str, WordIds] = {}
