@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -107,5 +115,5 @@ SELECT h.page_id, host, path, best.rule AS rule,
 FROM h LEFT JOIN fits USING (page_id) LEFT JOIN again ON again.key = host || path
 """
 
-QUERIES = {f.__name__: f for f in (op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op10_digest_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_trie_token_counts, op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op10_digest_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op8_entropy_balanced_mix": OP8_SQL, "op10_digest_url_filter": OP10_SQL}
