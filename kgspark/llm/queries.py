@@ -84,6 +84,15 @@ SELECT d.doc_id, d.size, t.source_size, round(t.target, 4) AS target,
 FROM d JOIN t USING (src) JOIN need USING (src) LEFT JOIN c ON c.src = d.src AND c.ord = d.ord AND c.size = d.size
 """
 
+def op9_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import remainder, scores, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 3) != 1)
+    found = scores(docs, train(docs, labels.select("doc_id", F.col("quality").alias("label"))))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
@@ -115,5 +124,5 @@ SELECT h.page_id, host, path, best.rule AS rule,
 FROM h LEFT JOIN fits USING (page_id) LEFT JOIN again ON again.key = host || path
 """
 
-QUERIES = {f.__name__: f for f in (op3_trie_token_counts, op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op10_digest_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_trie_token_counts, op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op9_naive_bayes_svm, op10_digest_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op8_entropy_balanced_mix": OP8_SQL, "op10_digest_url_filter": OP10_SQL}
