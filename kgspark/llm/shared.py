@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder, written  # noqa: F401
+
 #: A word is a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step works on; one longer document is worked on alone.
@@ -20,21 +20,6 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; set to a local one only where unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/kgspark-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """The rows of df, written as Parquet to the shared folder and read again: what follows doesn't recompute them."""
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
