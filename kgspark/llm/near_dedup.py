@@ -1,14 +1,45 @@
-"""Operator 2 (features): shingle sets, MinHash signatures, and the keys of the multi-index Hamming join."""
+"""Operator 2: near-duplicate documents by a multi-index Hamming join of MinHash signatures.
+
+Documents are linked if the Jaccard similarity of their sets of 5-word shingles is at least 75 %; a class is a connected component.
+
+A signature has SYMBOLS MinHash values of 16 bits and is split into CHUNKS chunks. If two signatures differ in at most 2 * CHUNKS - 1
+symbols, some chunk differs in one symbol at most (pigeonhole); so each document is filed under every chunk with each one of its symbols
+left out, and all pairs under that distance meet under a key. A pair at exactly 75 % meets with probability 0.9997, one at 80 % with 0.99999.
+Links are confirmed on the full sets.
+
+Groups of any size are worked on without listing their pairs:
+1. Documents of equal sets become one, by partial minima.
+2. Under each key, every document is compared with one of the key only: the one that shares most keys (a group's centre). Most links
+   of a large group show here, and join it.
+3. Keys whose documents are still in different components are left. There, pairs across components are compared, once each: under the
+   first key that both have, and only if sizes and 512-bit maps of the shingles leave 75 % possible, which loses no link. Pairs within a component
+   needn't be compared, as they can't change it.
+So no link between different components is lost among the pairs that meet.
+
+Empty or null text: an empty set, linked with nothing. Fewer than five words: the whole sequence is the one shingle. Null doc_ids are linked with nothing and
+stay, with a null class. doc_ids identify documents: rows of one id with equal texts are in one class, and each of them is returned. Very long
+texts are sets like others. Extra columns are ignored by `near_duplicates`, and kept by `without_near_duplicates`. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .shared import mix, steps, word_hashes
+from ..operators.components import connected_components
+from .shared import mix, pick, quoted, shared_folder, small_batches, steps, utf8, word_hashes, written
 
 SHINGLE = 5
 #: Symbols of a signature, and chunks that it is split into.
-SYMBOLS, CHUNKS = 64, 12
+SYMBOLS, CHUNKS = 48, 9
+#: Links need 100 * intersection >= SIMILAR * union.
+SIMILAR = 75
+#: Bits of the filter by which texts without a candidate stay out of a shuffle; it is of this size for any input.
+FILTER_BITS = 1 << 23
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, SYMBOLS, np.uint32)
 _MUL = _rng.integers(0, 1 << 31, SYMBOLS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -34,7 +65,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
             elif b > a:
                 one = np.array([b - a], np.uint64)
                 for k in range(b - a):
-                    one += h[a + k] * weights[k]
+                    one += h[a + k : a + k + 1] * weights[k]
                 out.append(mix(one))
             else:
                 out.append(np.zeros(0, np.uint64))
@@ -55,3 +86,113 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
     terms = mix(signatures.astype(np.uint64) + (np.arange(SYMBOLS, dtype=np.uint64) + np.uint64(1) << np.uint64(20)))
     sums = np.add.reduceat(terms, _EDGES[:-1], axis=1)
     return mix(sums[:, _CHUNK] - terms + _TAGS)
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """512 bits, of which each shingle sets one."""
+    bits = np.zeros(512, np.uint8)
+    bits[(shingles >> np.uint64(20)).astype(np.int64) & 511] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+FEATURES = "doc_id long, n long, h1 long, h2 long, bits array<long>, sig array<short>, keys array<long>"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bits", pa.list_(pa.int64())), ("sig", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in small_batches(batches, "text"):
+        sets = shingle_sets(*utf8(b.column(1)))
+        sigs = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, SYMBOLS), np.uint16)
+        sums = [np.array([mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (0x1234567, 0x89ABCDEF)]
+        lists = []
+        for values, width, kind in ((np.concatenate([bitmap(s) for s in sets] or [np.zeros(0, np.int64)]), 8, pa.int64()), (sigs.ravel().view(np.int16), SYMBOLS, pa.int16()), (index_keys(sigs).ravel().view(np.int64), SYMBOLS, pa.int64())):
+            lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * width, pa.int32()), pa.array(values, kind)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums), *lists], schema=_ARROW)
+
+
+def _possible(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
+    """Whether sizes and bit maps leave the similarity possible: a bit that only one set has is a shingle that the other lacks."""
+    only1, only2 = F.lit(0), F.lit(0)
+    for k in range(8):
+        x, y = bits1[k], bits2[k]
+        only1 = only1 + F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+        only2 = only2 + F.bit_count(y.bitwiseAND(F.bitwise_not(x)))
+    most = F.least(n1 - only1, n2 - only2)  # of the intersection
+    return (100 * F.least(n1, n2) >= SIMILAR * F.greatest(n1, n2)) & ((100 + SIMILAR) * most >= SIMILAR * (n1 + n2))
+
+
+def _first_key(sig1: Column, sig2: Column) -> Column:
+    """The number of the first key that both signatures have (from 0)."""
+    equal = F.zip_with(sig1, sig2, lambda x, y: x == y)
+    others = F.array(*(F.array(*(F.lit(i + 1) for i in range(_EDGES[c], _EDGES[c + 1]) if i != t)) for t, c in enumerate(_CHUNK.tolist())))
+    return F.array_position(F.transform(others, lambda o: F.forall(o, lambda i: F.element_at(equal, i))), True) - 1
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for big in batches:
+        for b in small_batches(small_batches([big], "text_a"), "text_b"):
+            texts = pa.chunked_array([b.column(2), b.column(3)]).combine_chunks().dictionary_encode()
+            sets = shingle_sets(*utf8(texts.dictionary))
+            of = texts.indices.to_numpy()
+            n = b.num_rows
+            yes = np.zeros(n, bool)
+            for i in range(n):
+                x, y = sets[of[i]], sets[of[n + i]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                yes[i] = 100 * both >= SIMILAR * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(yes)), b.column(1).filter(pa.array(yes))], names=["a", "b"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, folder: str, name: str) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts are similar enough, by their full sets. docs: doc_id, text."""
+    pairs = written(pairs.select("a", "b"), folder, f"{name}_pairs")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(place(F.col("id")).alias("at"))
+    words = ids.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set"))
+    some = docs.filter("doc_id is not null").withColumn("at", place(F.col("doc_id"))).withColumn("word", F.shiftright("at", 6))
+    some = some.join(F.broadcast(words), "word").filter("(shiftright(`set`, cast(at & 63 as int)) & 1) = 1")  # words: FILTER_BITS / 64 rows at most
+    texts = written(some.select("doc_id", "text"), folder, f"{name}_texts").dropDuplicates(["doc_id"])
+    for c in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), c)
+    return written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), folder, name)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each document: doc_id, n_shingles, component_id (the smallest doc_id of its class), kept (whether it has that id)."""
+    folder = shared_folder(docs.sparkSession)
+    docs = pick(docs, {"doc_id": doc_id, "text": text}).withColumn("doc_id", F.col("doc_id").cast("long"))
+    feats = written(docs.mapInArrow(_features, FEATURES), folder, "features")
+    classes = written(feats.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), folder, "classes")
+    first = feats.join(classes.select(F.col("rep").alias("doc_id"), "n", "h1", "h2"), ["doc_id", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
+    first = written(first.select(F.col("doc_id").alias("doc"), "n", "bits", "sig", "keys"), folder, "first")
+
+    filed = first.select("doc", F.posexplode("keys").alias("tag", "key"))
+    shared = filed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    filed = written(filed.join(shared, "key"), folder, "filed")
+    weight = filed.groupBy("doc").agg(F.sum("size").alias("weight"))
+    centre = filed.join(weight, "doc").groupBy("key").agg((-F.max(F.struct("weight", -F.col("doc")))["col2"]).alias("centre"))
+    pairs = filed.join(centre, "key").filter("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(first.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+    links = confirmed(pairs.filter(_possible(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"))), docs, folder, "links1")
+
+    found = connected_components(links, folder=f"{folder}/components1")
+    filed = written(filed.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "tag", "doc", F.coalesce("component", "doc").alias("component")), folder, "coloured")
+    largest = filed.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("colours"), F.max_by("component", F.struct("size", "component")).alias("largest"))
+    left = filed.join(largest.filter("colours > 1"), "key").select("key", "tag", "doc", "component", (F.col("component") == F.col("largest")).alias("most"))
+    left = written(left.join(first.select("doc", "n", "bits", "sig"), "doc"), folder, "left")
+    x, y = left.filter("not most").alias("x"), left.alias("y")
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.most") | (F.col("x.doc") < F.col("y.doc")))
+    across &= _possible(F.col("x.n"), F.col("x.bits"), F.col("y.n"), F.col("y.bits")) & (F.col("x.tag") == _first_key(F.col("x.sig"), F.col("y.sig")))
+    more = confirmed(x.join(y, across).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")), docs, folder, "links2")
+    found = connected_components(links.union(more), folder=f"{folder}/components2")
+
+    out = feats.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, of one document of each class: the one of the smallest id."""
+    gone = near_duplicates(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(quoted(doc_id)) == F.col("_gone"), "left_anti")

@@ -18,6 +18,12 @@ def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -130,5 +136,5 @@ SELECT h.page_id, host, path, best.rule AS rule,
 FROM h LEFT JOIN fits USING (page_id) LEFT JOIN again ON again.key = host || path
 """
 
-QUERIES = {f.__name__: f for f in (op1_cross_polytope, op3_trie_token_counts, op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op9_naive_bayes_svm, op10_digest_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_minhash_near_dedup, op3_trie_token_counts, op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op9_naive_bayes_svm, op10_digest_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op8_entropy_balanced_mix": OP8_SQL, "op10_digest_url_filter": OP10_SQL}
