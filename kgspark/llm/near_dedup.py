@@ -31,15 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .shared import mix, pick, quoted, shared_folder, small_batches, steps, utf8, word_hashes, written
+from .shared import filter_words, maybe_in, mix, pick, quoted, shared_folder, small_batches, steps, utf8, word_hashes, written
 
 SHINGLE = 5
 #: Symbols of a signature, and chunks that it is split into.
 SYMBOLS, CHUNKS = 48, 9
 #: Links need 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
-#: Bits of the filter by which texts without a candidate stay out of a shuffle; it is of this size for any input.
-FILTER_BITS = 1 << 23
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, SYMBOLS, np.uint32)
 _MUL = _rng.integers(0, 1 << 31, SYMBOLS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -146,11 +144,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(pairs: DataFrame, docs: DataFrame, folder: str, name: str) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts are similar enough, by their full sets. docs: doc_id, text."""
     pairs = written(pairs.select("a", "b"), folder, f"{name}_pairs")
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(place(F.col("id")).alias("at"))
-    words = ids.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set"))
-    some = docs.filter("doc_id is not null").withColumn("at", place(F.col("doc_id"))).withColumn("word", F.shiftright("at", 6))
-    some = some.join(F.broadcast(words), "word").filter("(shiftright(`set`, cast(at & 63 as int)) & 1) = 1")  # words: FILTER_BITS / 64 rows at most
+    words = filter_words(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
+    some = maybe_in(docs, "doc_id", words).filter("_maybe")
     texts = written(some.select("doc_id", "text"), folder, f"{name}_texts").dropDuplicates(["doc_id"])
     for c in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), c)

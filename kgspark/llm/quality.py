@@ -6,7 +6,7 @@ Each indicator is scaled by its log-count ratio between the classes, rows are sc
 model with hinge loss is fitted to them by dual coordinate descent. The score is the logistic function of the margin, so that 0.5 is the
 model's border; a row is rejected below it.
 
-Fitting takes a bounded sample: at most SAMPLE_ROWS labelled rows of each class, those with the smallest digest of their id. It is the
+Fitting takes a bounded sample: at most SAMPLE_ROWS labelled rows of each class, those with the smallest digest of their id, and SAMPLE_INDICATORS indicators. It is the
 only part that runs on the driver. Every document is scored, whole, in one pass over the table without a shuffle.
 
 Null or empty text: no indicators, so the score of the bias. Null labels are no labels. Rows with a repeated doc_id are all scored. If one
@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lower, pick, small_batches, span_hashes, steps, utf8, word_spans
+from .shared import lower, pick, shared_folder, small_batches, span_hashes, steps, utf8, word_spans, written
 
 BITS = 18
 #: The bound of the sample that the model is fitted to, for each class.
 SAMPLE_ROWS = 4000
+#: The bound of the sample's indicators, four bytes each, half for each class; later rows wait outside.
+SAMPLE_INDICATORS = 16_000_000
 EPOCHS, PENALTY, SMOOTHING = 12, 1.0, 1.0
 #: Rows of the rarer class weigh so much more in the loss at most.
 MOST_WEIGHT = 2.0
@@ -113,7 +115,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             found = [x.astype("<u4").tobytes() for x in indicators(*utf8(b.column(3)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.binary())], names=["doc_id", "label", "digest", "buckets"])
 
-    got = sample.select("doc_id", "label", "digest", "text").mapInArrow(featured, "doc_id long, label int, digest long, buckets binary").toArrow()
+    table = written(sample.select("doc_id", "label", "digest", "text").mapInArrow(featured, "doc_id long, label int, digest long, buckets binary"), shared_folder(docs.sparkSession), "sample")
+    sizes = table.select("label", "digest", F.octet_length("buckets").alias("size")).toPandas().sort_values("digest")
+    fits = {c: sizes[(sizes.label == c) & (sizes[sizes.label == c]["size"].cumsum() <= 2 * SAMPLE_INDICATORS)].digest.max() for c in (0, 1)}
+    chosen = [(F.col("label") == c) & (F.col("digest") <= int(d)) for c, d in fits.items() if d == d]
+    got = table.filter(chosen[0] if len(chosen) == 1 else chosen[0] | chosen[1] if chosen else F.lit(False)).toArrow()
     got = got.sort_by([("digest", "ascending"), ("doc_id", "ascending"), ("label", "ascending")])
     return fit([np.frombuffer(x, "<u4").astype(np.int64) for x in got.column("buckets").to_pylist()], got.column("label").to_numpy())
 

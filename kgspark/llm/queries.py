@@ -32,6 +32,33 @@ def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_segment_edit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import without_repeated_lines
+
+    docs = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda c: F.col(c).cast("long")
+    return docs.select("doc_id", n("_lines").alias("n_lines"), n("_equal").alias("n_equal"), n("_near").alias("n_near"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS pos, line FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+f AS (SELECT line, min({'doc_id': doc_id, 'pos': pos}) AS first FROM l WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY line),
+late AS (
+  SELECT DISTINCT x.line FROM f x JOIN f y ON abs(length(x.line) - length(y.line)) <= 2 AND y.first < x.first
+  WHERE length(x.line) >= 20 AND length(y.line) >= 20 AND levenshtein(x.line, y.line) <= 2),
+j AS (
+  SELECT l.doc_id, l.pos, l.line, f.line IS NOT NULL AS full_, coalesce(f.first <> {'doc_id': l.doc_id, 'pos': l.pos}, false) AS equal, late.line IS NOT NULL AS late
+  FROM l LEFT JOIN f ON f.line = l.line LEFT JOIN late ON late.line = l.line)
+SELECT doc_id, count(*) FILTER (WHERE full_)::BIGINT AS n_lines, count(*) FILTER (WHERE equal)::BIGINT AS n_equal,
+       count(*) FILTER (WHERE late AND NOT equal)::BIGINT AS n_near,
+       length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT equal AND NOT late), ''))::BIGINT AS kept_chars,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT equal AND NOT late), '')) AS kept_md5
+FROM j GROUP BY doc_id
+"""
+
+
 def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -136,5 +163,5 @@ SELECT h.page_id, host, path, best.rule AS rule,
 FROM h LEFT JOIN fits USING (page_id) LEFT JOIN again ON again.key = host || path
 """
 
-QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_minhash_near_dedup, op3_trie_token_counts, op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op9_naive_bayes_svm, op10_digest_url_filter)}
-ORACLE_SQL: dict[str, str] = {"op8_entropy_balanced_mix": OP8_SQL, "op10_digest_url_filter": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_minhash_near_dedup, op3_trie_token_counts, op5_segment_edit_lines, op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op9_naive_bayes_svm, op10_digest_url_filter)}
+ORACLE_SQL: dict[str, str] = {"op5_segment_edit_lines": OP5_SQL, "op8_entropy_balanced_mix": OP8_SQL, "op10_digest_url_filter": OP10_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import shared_folder, written  # noqa: F401
@@ -29,6 +29,28 @@ def pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(quoted(old)).alias(new) for new, old in columns.items()))
 
 
+#: Bits of the filters below; of this size for any input.
+FILTER_BITS = 1 << 23
+
+
+def _place(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+
+def filter_words(ids: DataFrame, column: str) -> DataFrame:
+    """A bit map of the hashed values of a column, FILTER_BITS / 64 rows at most; to drop rows without a partner before they are shuffled."""
+    at = ids.select(_place(F.col(column)).alias("at"))
+    return at.groupBy(F.shiftright("at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("_set"))
+
+
+def maybe_in(rows: DataFrame, column: str, words: DataFrame) -> DataFrame:
+    """The rows with `_maybe`: false only where no value of the filter equals the column's (null: false)."""
+    at = rows.withColumn("_at", _place(F.col(column))).withColumn("_word", F.shiftright("_at", 6))
+    out = at.join(F.broadcast(words), "_word", "left")  # bounded: see filter_words
+    hit = F.expr("coalesce((shiftright(_set, cast(_at & 63 as int)) & 1) = 1, false)") & F.col(column).isNotNull()
+    return out.withColumn("_maybe", hit).drop("_at", "_word", "_set")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all strings (null: empty) and their n+1 offsets, without copies where Arrow allows it."""
     if isinstance(column, pa.ChunkedArray):
