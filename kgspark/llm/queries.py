@@ -45,9 +45,11 @@ WITH l AS (
   SELECT doc_id, i - 1 AS pos, line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 f AS (SELECT line, min({'doc_id': doc_id, 'pos': pos}) AS first FROM l WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY line),
-late AS (
-  SELECT DISTINCT x.line FROM f x JOIN f y ON abs(length(x.line) - length(y.line)) <= 2 AND y.first < x.first
-  WHERE length(x.line) >= 20 AND length(y.line) >= 20 AND levenshtein(x.line, y.line) <= 2),
+z AS (SELECT line, first, length(line) AS n, length(line) // 3 AS k FROM f WHERE length(line) >= 20),
+late AS ( -- of three parts of a line, two edits leave the first, the last or the middle one as it is
+  SELECT DISTINCT x.line FROM z x JOIN (VALUES (-2), (-1), (0), (1), (2)) s(d) ON true JOIN z y ON y.n = x.n + s.d AND y.first < x.first
+  WHERE CASE WHEN left(x.line, x.k) = left(y.line, x.k) OR right(x.line, x.k) = right(y.line, x.k) OR contains(y.line, substr(x.line, x.k + 1, x.n - 2 * x.k))
+             THEN levenshtein(x.line, y.line) ELSE 99 END <= 2),
 j AS (
   SELECT l.doc_id, l.pos, l.line, f.line IS NOT NULL AS full_, coalesce(f.first <> {'doc_id': l.doc_id, 'pos': l.pos}, false) AS equal, late.line IS NOT NULL AS late
   FROM l LEFT JOIN f ON f.line = l.line LEFT JOIN late ON late.line = l.line)
