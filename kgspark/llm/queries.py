@@ -32,6 +32,13 @@ def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import is_training, scored
+
+    found = scored(table(spark, sf_dir, "documents"), is_training(F.col("doc_id")))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_segment_edit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import without_repeated_lines
 
@@ -165,5 +172,5 @@ SELECT h.page_id, host, path, best.rule AS rule,
 FROM h LEFT JOIN fits USING (page_id) LEFT JOIN again ON again.key = host || path
 """
 
-QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_minhash_near_dedup, op3_trie_token_counts, op5_segment_edit_lines, op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op9_naive_bayes_svm, op10_digest_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_minhash_near_dedup, op3_trie_token_counts, op4_elias_fano_lm, op5_segment_edit_lines, op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op9_naive_bayes_svm, op10_digest_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op5_segment_edit_lines": OP5_SQL, "op8_entropy_balanced_mix": OP8_SQL, "op10_digest_url_filter": OP10_SQL}
