@@ -1,0 +1,91 @@
+"""Merging extractions of segments into one per document, and near-duplicate entities into one."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .components import connected_components
+
+
+def _first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+
+
+def with_entity_ids(entities: DataFrame) -> DataFrame:
+    """A missing id is the type and label, lower-cased, with _ for spaces."""
+    kind, label = F.coalesce("type", F.lit("Concept")), F.coalesce("label", F.lit("unknown"))
+    made = F.concat(F.lower(kind), F.lit("_"), F.replace(F.lower(label), F.lit(" "), F.lit("_")))
+    return entities.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), made))
+
+
+def confident(entities: DataFrame, least: float = 0.5) -> DataFrame:
+    """Without entities under the confidence; a missing one counts as 1."""
+    return entities.filter(F.coalesce("confidence", F.lit(1.0)) >= least)
+
+
+def dedup_entities(entities: DataFrame, doc: str = "uri") -> DataFrame:
+    """The first of each id of a document, in the order of segments and places; empty ids go."""
+    return _first(entities.filter("id <> ''"), [doc, "id"], ["chunk_index", "pos"])
+
+
+def dedup_relations(relations: DataFrame, doc: str = "uri") -> DataFrame:
+    return _first(relations, [doc, "source", "target", "relation"], ["chunk_index", "pos"])
+
+
+def prune_dangling(relations: DataFrame, entities: DataFrame, doc: str = "uri") -> DataFrame:
+    """Relations of which both ends are entities of the document, in whatever segment."""
+    ids = entities.select(doc, "id").distinct()
+    for end in ("source", "target"):
+        relations = relations.join(ids.select(doc, F.col("id").alias(end)), [doc, end], "left_semi")
+    return relations
+
+
+def merge_tags(tags: DataFrame, doc: str = "uri", most: int = 20) -> DataFrame:
+    """doc, rank, tag: distinct tags but for case, spelled as first seen, the first `most`."""
+    one = _first(tags.withColumn("low", F.lower("tag")), [doc, "low"], ["chunk_index", "pos"])
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy("chunk_index", "pos"))).filter(F.col("rank") <= most).select(doc, "rank", "tag")
+
+
+def merge_key_points(points: DataFrame, doc: str = "uri", most: int = 10) -> DataFrame:
+    by = Window.partitionBy(doc).orderBy("chunk_index", "pos")
+    return points.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= most)
+
+
+def merge_summary_confidence(segments: DataFrame, doc: str = "uri") -> DataFrame:
+    """doc, summary (the first that isn't blank), confidence (the least)."""
+    summary = F.min(F.when(F.col("summary").rlike(r"\S"), F.struct("chunk_index", "summary")))["summary"]
+    return segments.groupBy(doc).agg(F.coalesce(summary, F.lit("")).alias("summary"), F.min("confidence").alias("confidence"))
+
+
+def merge_extractions(segments: DataFrame, entities: DataFrame, relations: DataFrame, tags: DataFrame, points: DataFrame, doc: str = "uri") -> dict[str, DataFrame]:
+    """All parts of the merge; relations are pruned after it, so that those between segments stay."""
+    kept = dedup_entities(entities, doc)
+    return {
+        "extractions": merge_summary_confidence(segments, doc),
+        "entities": kept,
+        "relations": prune_dangling(dedup_relations(relations, doc), kept, doc),
+        "tags": merge_tags(tags, doc),
+        "key_points": merge_key_points(points, doc),
+    }
+
+
+def entity_clusters(nodes: DataFrame, pairs: DataFrame, id_: str = "id") -> DataFrame:
+    """nodes (id), pairs (a, b): id, cluster (its smallest id); an id without a pair is its own."""
+    found = connected_components(pairs.select("a", "b"))
+    return nodes.select(id_).join(found.withColumnRenamed("node", id_), id_, "left").select(id_, F.coalesce("component", id_).alias("cluster"))
+
+
+def canonical_entities(entities: DataFrame, clusters: DataFrame, id_: str = "id", order: str = "pos") -> DataFrame:
+    """id, canonical: of each cluster the entity of the highest confidence (missing: 0.8), ties: the first."""
+    e = entities.select(id_, order, F.coalesce("confidence", F.lit(0.8)).alias("confidence")).join(clusters, id_)
+    best = e.groupBy("cluster").agg(F.min(F.struct(-F.col("confidence"), F.col(order), F.col(id_).alias("id")))["id"].alias("canonical"))
+    return e.join(best, "cluster").select(id_, "canonical")
+
+
+def remap_endpoints(relations: DataFrame, canonical: DataFrame, entities: DataFrame, doc: str = "uri") -> DataFrame:
+    """Relations with canonical ends, each once, without those that lost an end."""
+    for end in ("source", "target"):
+        m = canonical.select(F.col("id").alias(end), F.col("canonical").alias("_to"))
+        relations = relations.join(m, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return prune_dangling(dedup_relations(relations, doc), entities, doc)
