@@ -40,7 +40,7 @@ STEPS = 32  # of a power of ten
 #: Rows of a segment; a segment has whole contexts, so a context of many successors makes one longer.
 SEGMENT_ROWS = 1_000_000
 #: Distinct n-grams that a task holds before it sends them on.
-HELD = 4_000_000
+HELD = 1_000_000
 END = one_word_hash(b"\x00end of text") >> 1  # a word can hold this only with a byte 0 and spaces
 SCHEMA = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -66,18 +66,25 @@ def quantised(p: np.ndarray) -> np.ndarray:
 
 
 class Level1:
-    def __init__(self, segments: list[np.ndarray], first: list[int]):
-        order = np.argsort(first)
-        n = [len(segments[i]) // 16 for i in order]
-        self.hashes = [segments[i][: 8 * k].view("<i8") for i, k in zip(order, n, strict=True)]
-        self.counts = [segments[i][8 * k :].view("<i8") for i, k in zip(order, n, strict=True)]
+    def __init__(self, segments: list[np.ndarray]):
+        segments = sorted(segments, key=lambda p: int(p[8:16].view("<i8")[0]))
+        n = [int(p[:8].view("<i8")[0]) for p in segments]
+        self.hashes = [p[8 : 8 + 8 * k].view("<i8") for p, k in zip(segments, n, strict=True)]
+        self.counts = [p[8 + 8 * k : 8 + 16 * k].view("<i8") for p, k in zip(segments, n, strict=True)]
+        self.ranks = [p[8 + 16 * k : 8 + 20 * k].view("<i4") for p, k in zip(segments, n, strict=True)]
         self.first = np.array([h[0] for h in self.hashes], np.int64)
-        often = [np.cumsum(c >= MIN_COUNT) for c in self.counts]
-        self.base = np.concatenate([[0], np.cumsum([x[-1] for x in often])]).astype(np.int64)
-        self.ids = often
+        self.base = np.concatenate([[0], np.cumsum([int(x[-1]) + 1 for x in self.ranks])]).astype(np.int64)
         self.size, self.width = sum(n), max(1, int(self.base[-1]))
         self.total = int(sum(int(c.sum()) for c in self.counts))
-        self.count_of_id = np.concatenate([c[c >= MIN_COUNT] for c in self.counts] or [np.zeros(0, np.int64)])
+
+    @staticmethod
+    def coded(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+        """Hashes, counts, and of each the number of tokens up to it that are seen often enough, less one."""
+        ranks = np.cumsum(counts >= MIN_COUNT) - 1
+        return np.array([len(hashes)], "<i8").tobytes() + hashes.astype("<i8").tobytes() + counts.astype("<i8").tobytes() + ranks.astype("<i4").tobytes()
+
+    def counts_of_ids(self) -> np.ndarray:
+        return np.concatenate([c[c >= MIN_COUNT] for c in self.counts] or [np.zeros(0, np.int64)])
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + ADD) / (self.total + ADD * (self.size + 1))
@@ -91,7 +98,7 @@ class Level1:
                 p = np.minimum(np.searchsorted(self.hashes[s], hashes[a:b]), len(self.hashes[s]) - 1)
                 hit = self.hashes[s][p] == hashes[a:b]
                 counts[a:b] = np.where(hit, self.counts[s][p], 0)
-                ids[a:b] = np.where(hit & (self.counts[s][p] >= MIN_COUNT), self.base[s] + self.ids[s][p] - 1, -1)
+                ids[a:b] = np.where(hit & (self.counts[s][p] >= MIN_COUNT), self.base[s] + self.ranks[s][p], -1)
         return counts, ids
 
 
@@ -164,16 +171,15 @@ class Level:
         return successor, log, count
 
 
-def _unique(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows in ascending order, and each row's place among them."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= np.diff(c[order]) != 0
+def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in ascending order, and each row's place among them."""
+    order = np.argsort(values)
+    v = values[order]
+    new = np.ones(len(v), bool)
+    new[1:] = v[1:] != v[:-1]
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
-    return [c[order[new]] for c in columns], place
+    return v[new], place
 
 
 class Trie:
@@ -184,7 +190,7 @@ class Trie:
         for names in files:
             parts = [self._mapped(os.path.join(folder, n)) for n in names]
             parts = [x for p in parts for x in p]
-            self.levels.append(Level(parts) if self.levels else Level1(parts, [int(p[:8].view("<i8")[0]) for p in parts]))
+            self.levels.append(Level(parts) if self.levels else Level1(parts))
 
     @staticmethod
     def _mapped(path: str) -> list[np.ndarray]:
@@ -213,7 +219,7 @@ class Trie:
     def walk(self, hashes: np.ndarray, starts: np.ndarray, to: int, last: int = 0) -> dict[str, np.ndarray]:
         """Of each token: count, unigram logarithm, and at levels up to `to` rank and logarithm; `context` and `successor`: what level `last` is filed by."""
         one = self.levels[0]
-        (h,), place = _unique(hashes)
+        h, place = _unique(hashes)
         counts, ids = one.look(h)
         counts, ids = counts[place], ids[place]
         begin = np.zeros(len(hashes), bool)
@@ -227,10 +233,14 @@ class Trie:
                 break
             level = self.levels[k - 1]
             both = np.flatnonzero(context >= 0)
-            (c, s), place = _unique(context[both], successor[both])
+            wide = int(successor.max()) + 2 if len(both) else 1
+            key, place = _unique(context[both] * wide + successor[both] + 1)
+            c, s = key // wide, key % wide - 1
             rank_, log_ = level.find(c, s)
-            (only,), of = _unique(c)
-            lo_, rest_ = (x[of] for x in level.contexts(only))
+            only = np.ones(len(c), bool)
+            only[1:] = c[1:] != c[:-1]
+            of = np.cumsum(only) - 1
+            lo_, rest_ = (x[of] for x in level.contexts(c[only]))
             rank, rest, lo, mine = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes)), np.zeros(len(hashes), np.int64), np.zeros(len(hashes))
             rank[both], rest[both], lo[both], mine[both] = rank_[place], rest_[place], lo_[place], log_[place]
             log = np.where(rank >= 0, mine, log + rest)
@@ -258,10 +268,15 @@ def _held(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]
     size, limit = 0, HELD
 
     def summed() -> tuple[np.ndarray, np.ndarray]:
-        k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        return k, np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
+        k = np.concatenate(keys)
+        order = np.argsort(k)
+        k = k[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        return k[first], np.add.reduceat(np.concatenate(counts)[order], first)
 
     for p in parts:
+        if not len(p):
+            continue
         k, c = np.unique(p, return_counts=True)
         keys.append(k)
         counts.append(c)
@@ -307,17 +322,17 @@ def _code(batches: Iterator[pa.RecordBatch], files: list[list[str]]) -> Iterator
         return
     key, n = (np.concatenate(x) for x in zip(*rows, strict=True))
     if not files:
-        blob = key.astype("<i8").tobytes() + n.astype("<i8").tobytes()
+        blob = Level1.coded(key, n)
     else:
         t = trie(files)
         width = _width(t)
         context, successor = key // width, key % width
         first, last = int(context[0]), int(context[-1])
-        (only,), of = _unique(context)
+        only, of = _unique(context)
         kept = np.bincount(of, n - DISCOUNT)
         if len(files) == 1:
-            total = t.levels[0].count_of_id[only].astype(np.float64)
-            lower = t.levels[0].unigram(t.levels[0].count_of_id[successor])
+            counts = t.levels[0].counts_of_ids()
+            total, lower = counts[only].astype(np.float64), t.levels[0].unigram(counts[successor])
         else:
             token, _, count = t.levels[-1].of_rank(only)
             total = np.maximum(count, np.bincount(of, n))  # counts of 255 and more are bounded from below
