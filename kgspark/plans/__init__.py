@@ -2,5 +2,19 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import graph
+from .domain import Tables, with_tables
+
+_ALL = {**graph.QUERIES}
+
+
+def _query(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(Tables(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(f) for name, (f, _) in _ALL.items()}
+ORACLE_SQL: dict[str, str] = {name: with_tables(sql) for name, (_, sql) in _ALL.items() if sql}
