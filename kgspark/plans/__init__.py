@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph
+from . import graph, review
 from .domain import Tables, with_tables
 
-_ALL = {**graph.QUERIES}
+_ALL = {**graph.QUERIES, **review.QUERIES}
 
 
 def _query(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,3 +18,8 @@ def _query(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], Da
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(f) for name, (f, _) in _ALL.items()}
 ORACLE_SQL: dict[str, str] = {name: with_tables(sql) for name, (_, sql) in _ALL.items() if sql}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to tags, entities, a batch each, accepted, committed, and the dashboard over the result."""
+    return review.flagship(Tables(spark, sf_dir))

@@ -38,13 +38,13 @@ NEW_EDGES = "(SELECT id, src_uri, CASE WHEN layer = 'L3' THEN dst_uri || '_new'
 
 
 def _filter(t: Tables, part: str):
-    return g.filter_graph(t.nodes, t.edges, query="green", types=["product", "organization"], relations=["SUPPLIES", "MENTIONS"])[part]
+    return g.filter_graph(t.nodes, t.edges, query="blue bolt", types=["product", "organization"], relations=["SUPPLIES", "MENTIONS"])[part]
 
 
 FILTER = f"""WITH typed AS {TYPED}, keep AS (SELECT * FROM typed WHERE node_type IN ('product', 'organization')),
-hits AS (SELECT uri FROM keep WHERE contains(lower(concat_ws(' ', id, uri, label, summary, type)), 'green')),
+hits AS (SELECT uri FROM keep WHERE contains(lower(concat_ws(' ', id, uri, label, summary, type)), 'blue bolt')),
 e0 AS (SELECT * FROM {{edges}} WHERE relation IN ('SUPPLIES', 'MENTIONS') AND src_uri IN (SELECT uri FROM keep) AND dst_uri IN (SELECT uri FROM keep)),
-e AS (SELECT * FROM e0 WHERE src_uri IN (SELECT uri FROM hits) OR dst_uri IN (SELECT uri FROM hits) OR contains(lower(concat_ws(' ', id, relation, src_uri, dst_uri, source_file_uri, owner_scope, visibility)), 'green')),
+e AS (SELECT * FROM e0 WHERE src_uri IN (SELECT uri FROM hits) OR dst_uri IN (SELECT uri FROM hits) OR contains(lower(concat_ws(' ', id, relation, src_uri, dst_uri, source_file_uri, owner_scope, visibility)), 'blue bolt')),
 n AS (SELECT * FROM keep WHERE uri IN (SELECT src_uri FROM e UNION SELECT dst_uri FROM e UNION SELECT uri FROM hits))"""
 
 QUERIES = {
@@ -81,7 +81,7 @@ QUERIES = {
         lambda t: g.stub_nodes(t.nodes, new_edges(t)).filter("uri like '%_new'").select("uri", "id", "label", "layer"),
         f"SELECT DISTINCT dst_uri AS uri, substr(dst_uri, 10) AS id, substr(dst_uri, 10) AS label, 'L2' AS layer FROM {NEW_EDGES} n WHERE dst_uri LIKE '%\\_new' ESCAPE '\\'",
     ),
-    "search_nodes": (lambda t: g.search_nodes(t.nodes, "Green").select("uri", "label"), "SELECT uri, label FROM {nodes} WHERE contains(lower(label), 'green') ORDER BY label, uri LIMIT 20"),
+    "search_nodes": (lambda t: g.search_nodes(t.nodes, "Blue Bolt").select("uri", "label"), "SELECT uri, label FROM {nodes} WHERE contains(lower(label), 'blue bolt') ORDER BY label, uri LIMIT 20"),
     "list_file_nodes": (lambda t: g.list_file_nodes(t.nodes).select("uri", "label"), "SELECT uri, label FROM {nodes} WHERE uri NOT LIKE 'entity://%' ORDER BY label, uri LIMIT 100"),
     "list_entity_nodes": (lambda t: g.list_entity_nodes(t.nodes, "supplier").select("uri", "label"), "SELECT uri, label FROM {nodes} WHERE uri LIKE 'entity://%' AND contains(lower(label), 'supplier') ORDER BY label, uri LIMIT 100"),
     "node_type": (lambda t: g.node_type(t.nodes).select("uri", "node_type"), f"SELECT uri, node_type FROM {TYPED} t"),
