@@ -27,42 +27,46 @@ EDITS, SHORTEST = 2, 20
 CLASSES = ("eE", "aA", "tTsS", "iI", "nN", "oOuU", "rRlL", " .,", "dDhH")
 
 
-def segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i (from 0) of a line."""
-    start = F.floor(length * i / (t + 1))
-    return start + 1, F.floor(length * (i + 1) / (t + 1)) - start
-
-
-def file_keys(line: Column, length: Column, t: int) -> Column:
-    """Structs of key and own (whether it is the line's own segment) of a line."""
-    out = []
+def places(t: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the other line is, segment, shift of its place): the line's own segments first, then its probes."""
+    out = [(0, i, 0) for i in range(t + 1)]
     for shorter in range(t + 1):
         for i in range(t + 1):
-            low = max(-i, shorter - (t - i))
-            high = min(i, shorter + (t - i))
-            for shift in range(low, high + 1):
-                other = length - shorter
-                start, size = segment(other, i, t)
-                own = shorter == 0 and shift == 0
-                ok = F.lit(True) if own else (start + shift >= 1) & (start + shift + size - 1 <= length) & (other >= SHORTEST)
-                out.append(F.when(ok, F.struct(F.xxhash64(other, F.lit(i), F.substring(line, (start + shift).cast("int"), size.cast("int"))).alias("key"), F.lit(own).alias("own"))))
-    return F.array_compact(F.array(*out))
+            low, high = max(-i, shorter - (t - i)), min(i, shorter + (t - i))
+            out += [(shorter, i, shift) for shift in range(low, high + 1) if (shorter, shift) != (0, 0)]
+    return out
+
+
+def filed_lines(lines: DataFrame, t: int) -> DataFrame:
+    """lines (line, size, ...): a row for each of places(t) that fits, with key (of length, number and text of a segment) and own.
+
+    The places are exploded before the key is computed: one small expression, which the JVM compiles, instead of one for each place.
+    """
+    at = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s"), F.lit((d, s) == (0, 0)).alias("own")) for d, i, s in places(t)))
+    p = lines.withColumn("p", F.explode(at)).filter(F.col("size") - F.col("p.d") >= SHORTEST)  # then every place is inside the line
+    p = p.withColumns({"_n": F.col("size") - F.col("p.d"), "_from": F.expr(f"cast(((size - p.d) * p.i) div {t + 1} as int)"), "_to": F.expr(f"cast(((size - p.d) * (p.i + 1)) div {t + 1} as int)")})
+    key = F.xxhash64("_n", "p.i", F.substring(F.col("line"), F.col("_from") + F.col("p.s") + 1, F.col("_to") - F.col("_from")))
+    return p.select(*lines.columns, key.alias("key"), F.col("p.own").alias("own"))
 
 
 def within(a: Column, b: Column, t: int) -> Column:
     """Whether the edit distance of two strings is at most t: bit k of level e after j characters of b says that i = j - t + k characters of a are e edits away at most."""
-    x, y = F.split(a, ""), F.split(b, "")
     m, n = F.length(a), F.length(b)
     wide = (1 << 2 * t + 1) - 1
     one = lambda v: F.lit(v).cast("long")
     names = [f"e{e}" for e in range(t + 1)]
-    start = F.struct(*(one(sum(1 << t + i for i in range(e + 1)) & wide).alias(names[e]) for e in range(t + 1)))
+    levels = [one(sum(1 << t + i for i in range(e + 1)) & wide).alias(names[e]) for e in range(t + 1)]
+    # the state holds the characters of a, so that they are split once
+    start = F.struct(F.split(a, "").alias("x"), F.lit(0).alias("j"), F.struct(*levels).alias("e"), one(0).alias("same"))
 
-    def step(s: Column, j: Column) -> Column:
-        c = F.get(y, j - 1)
+    def match(s: Column, c: Column) -> Column:
+        """Bit k: whether character j - t + k of a is the j-th of b."""
         same = one(0)
         for k in range(2 * t + 1):
-            same = same.bitwiseOR(F.when(F.get(x, j - 1 - t + k) == c, one(1 << k)).otherwise(one(0)))
+            same = same.bitwiseOR(F.when(F.get(s["x"], s["j"] - t + k) == c, one(1 << k)).otherwise(one(0)))
+        return same
+
+    def step(s: Column, same: Column) -> Column:
         new: list[Column] = []
         for e in range(t + 1):
             v = s[names[e]].bitwiseAND(same)
@@ -72,11 +76,39 @@ def within(a: Column, b: Column, t: int) -> Column:
             new.append(v)
         return F.struct(*(v.alias(k) for v, k in zip(new, names, strict=True)))
 
-    last = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s[names[t]])).otherwise(one(sum(1 << t + i for i in range(t + 1)) & wide))
+    def advance(s: Column, c: Column) -> Column:
+        # the levels follow one character later, when their mask is in the state and need not be computed for each of them
+        e = F.when(s["j"] > 0, step(s["e"], s["same"])).otherwise(s["e"])
+        return F.struct(s["x"].alias("x"), (s["j"] + 1).alias("j"), e.alias("e"), match(s, c).alias("same"))
+
+    end = F.aggregate(F.split(b, ""), start, advance, lambda s: step(s["e"], s["same"])[names[t]])
+    last = F.when(n > 0, end).otherwise(one(sum(1 << t + i for i in range(t + 1)) & wide))
     at = m - n + t
     return (at >= 0) & (at <= 2 * t) & (F.call_function("getbit", last, at.cast("int")) == 1)
 
 
+def _equal_blocks(a: Column, b: Column, size: Column, most: Column, behind: bool) -> Column:
+    """How many blocks of `size` characters are equal from the front (behind: from the end) on, of `most`."""
+    def same(i: Column) -> Column:
+        p = (lambda s: F.substring(s, (F.length(s) - (i + 1) * size + 1).cast("int"), size)) if behind else (lambda s: F.substring(s, (i * size + 1).cast("int"), size))
+        return p(a) == p(b)
+
+    return F.when(most > 0, F.coalesce(F.nullif(F.array_position(F.transform(F.sequence(F.lit(0), (most - 1).cast("int")), same), False), F.lit(0)) - 1, most)).otherwise(F.lit(0))
+
+
+def trimmed(pairs: DataFrame, a: str, b: str, blocks: int = 64) -> DataFrame:
+    """The pairs without most of what both lines begin and end with, which leaves their distance as it is."""
+    size = F.greatest(F.lit(8), (F.least(F.length(a), F.length(b)) / blocks).cast("int"))
+    p = pairs.withColumn("_size", size)
+    p = p.withColumn("_front", _equal_blocks(F.col(a), F.col(b), F.col("_size"), F.floor(F.least(F.length(a), F.length(b)) / F.col("_size")), False) * F.col("_size"))
+    for c in (a, b):
+        p = p.withColumn(c, F.substring(F.col(c), (F.col("_front") + 1).cast("int"), F.length(c)))
+    p = p.withColumn("_end", _equal_blocks(F.col(a), F.col(b), F.col("_size"), F.floor(F.least(F.length(a), F.length(b)) / F.col("_size")), True) * F.col("_size"))
+    for c in (a, b):
+        p = p.withColumn(c, F.substring(F.col(c), F.lit(1), (F.length(c) - F.col("_end")).cast("int")))
+    return p.drop("_size", "_front", "_end")
+
+
 def _profile(line: Column) -> Column:
     n = F.length(line)
     return F.array(*((n - F.length(F.translate(line, c, ""))).cast("int") for c in CLASSES), n)
@@ -91,7 +123,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame, folder: str, t: int = EDITS) -> DataFrame:
     """Pairs (h_a, g_a, h_b, g_b) of hashes of different lines within t edits; both orders."""
     lines = lines.select("line", "h", "g", F.length("line").alias("size")).filter(F.col("size") >= SHORTEST)
-    filed = lines.withColumn("k", F.explode(file_keys(F.col("line"), F.col("size"), t))).select("line", "h", "g", F.col("k.key").alias("key"), F.col("k.own").alias("own"))
+    filed = filed_lines(lines, t)
     keys = filed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max(F.col("own").cast("int")).alias("own")).filter("low <> high and own = 1").select("key")
     keys = written(keys, folder, "keys")
     some = maybe_in(filed, "key", filter_words(keys, "key")).filter("_maybe").drop("_maybe").join(keys, "key")
@@ -108,7 +140,8 @@ def near_lines(lines: DataFrame, folder: str, t: int = EDITS) -> DataFrame:
     texts = written(needed.groupBy("h", "g").agg(F.min("line").alias("line")), folder, "texts")
     for c in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("h").alias(f"h_{c}"), F.col("g").alias(f"g_{c}"), F.col("line").alias(f"line_{c}")), [f"h_{c}", f"g_{c}"])
-    near = pairs.repartition("h_a", "h_b").filter(within(F.col("line_a"), F.col("line_b"), t)).select("h_a", "g_a", "h_b", "g_b")
+    pairs = written(trimmed(pairs.repartition("h_a", "h_b"), "line_a", "line_b"), folder, "trimmed")
+    near = pairs.filter(within(F.col("line_a"), F.col("line_b"), t)).select("h_a", "g_a", "h_b", "g_b")
     return near.union(near.select("h_b", "g_b", "h_a", "g_a"))
 
 
