@@ -11,8 +11,8 @@ then the banded bit-parallel edit distance: for each number of errors a bit for
 
 Equal lines count once, by partial minima. Lines meet by key only, and hot keys can be split by the adaptive skew join.
 
-Null text: stays null, no lines. Rows with a null doc_id stay as they are. doc_ids identify documents: rows of one id are as one document. Extra columns are kept.
-Very long lines are filed like others. An empty table gives no rows.
+Null text: stays null, no lines. Rows with a null doc_id stay as they are. doc_ids identify documents: rows of one id are as one document. Extra columns are kept (but for
+_lines, _equal and _near, which the result has itself). Very long lines are filed like others. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filter_words, maybe_in, quoted, shared_folder, written
+from .shared import filter_words, maybe_in, packed, quoted, shared_folder, unpacked, written
 
 EDITS, SHORTEST = 2, 20
 #: Disjoint classes of characters, whose counts bound the edit distance from below.
@@ -166,16 +166,16 @@ def dropped_lines(docs: DataFrame, folder: str, t: int = EDITS) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, t: int = EDITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, with the lines left as text, and _lines, _equal, _near: how many lines that aren't blank there were, and went."""
     folder = shared_folder(docs.sparkSession)
-    gone = dropped_lines(docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text")), folder, t)
-    rows = maybe_in(docs, quoted(doc_id), filter_words(gone, "doc_id"))
-    all_ = F.split(F.col(quoted(text)), "\n", -1)
+    columns = [c for c in docs.columns if c not in ("_lines", "_equal", "_near")]
+    rows = packed(docs, doc_id=F.col(quoted(doc_id)), text=F.col(quoted(text)))
+    gone = dropped_lines(rows.select("doc_id", "text"), folder, t)
+    rows = maybe_in(rows, "doc_id", filter_words(gone, "doc_id"))
+    all_ = F.split("text", "\n", -1)
     count = F.coalesce(F.size(F.filter(all_, lambda x: x.rlike(r"\S"))), F.lit(0)).alias("_lines")
-    columns = [F.col(quoted(c)) for c in docs.columns]
-    same = rows.filter("not _maybe").select(*columns, count, F.lit(0).alias("_equal"), F.lit(0).alias("_near"))
-    gone = gone.withColumnsRenamed({"doc_id": "_gone_id", "equal": "_gone_equal", "near": "_gone_near"})
-    some = rows.filter("_maybe").join(gone, F.col(quoted(doc_id)) == F.col("_gone_id"), "left")
+    same = rows.filter("not _maybe").select(*unpacked(columns), count, F.lit(0).alias("_equal"), F.lit(0).alias("_near"))
+    some = rows.filter("_maybe").join(gone, "doc_id", "left")
     none = F.array().cast("array<int>")
-    out = F.array_union(F.coalesce("_gone_equal", none), F.coalesce("_gone_near", none))
-    left = F.when(F.size(out) > 0, F.array_join(F.filter(all_, lambda _, i: ~F.array_contains(out, i)), "\n")).otherwise(F.col(quoted(text)))
-    some = some.select(*(left.alias(c) if c == text else F.col(quoted(c)) for c in docs.columns), count, F.coalesce(F.size("_gone_equal"), F.lit(0)).alias("_equal"), F.coalesce(F.size("_gone_near"), F.lit(0)).alias("_near"))
+    out = F.array_union(F.coalesce("equal", none), F.coalesce("near", none))
+    left = F.when(F.size(out) > 0, F.array_join(F.filter(all_, lambda _, i: ~F.array_contains(out, i)), "\n")).otherwise(F.col("text"))
+    some = some.select(*unpacked(columns, **{text: left}), count, F.coalesce(F.size("equal"), F.lit(0)).alias("_equal"), F.coalesce(F.size("near"), F.lit(0)).alias("_near"))
     return same.unionByName(some)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, pick, quoted, shared_folder, written
+from .shared import WORD, packed, pick, quoted, shared_folder, unpacked, written
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 NEWTON_STEPS, FILLS = 60, 3
@@ -98,24 +98,23 @@ def source_plans(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: f
 
 
 def _copies(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, doc_id: str, source: str, text: str) -> DataFrame:
-    """All columns of docs, and _src, _ord, _size with the plan of the row's source and _copies."""
-    sized = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(source)).alias("source"), size_of(F.col(quoted(text))).alias("size"))
-    plans = source_plans(sized, weights, share, most)
-    plans = plans.select(*(F.col(c).alias(f"_{c}") for c in plans.columns))
-    rows = docs.withColumns({"_src": _source(F.col(quoted(source))), "_ord": _order(F.col(quoted(doc_id))), "_size": size_of(F.col(quoted(text)))})
-    before = F.col("_stop_ord").isNull() | (F.col("_ord") < F.col("_stop_ord")) | ((F.col("_ord") == F.col("_stop_ord")) & (F.col("_size") < F.col("_stop_size")))
-    once_more = F.col("_more") & (before | F.array_contains("_extra", F.struct(F.col("_ord").alias("ord"), F.col("_size").alias("size"))))
-    return rows.join(plans, "_src").withColumn("_copies", F.col("_whole") + once_more.cast("long"))
+    """The rows of docs as `row`, with src, ord, size, the plan of their source, and copies."""
+    id_, from_, words = F.col(quoted(doc_id)), F.col(quoted(source)), size_of(F.col(quoted(text)))
+    plans = source_plans(docs.select(id_.alias("doc_id"), from_.alias("source"), words.alias("size")), weights, share, most)
+    rows = packed(docs, src=_source(from_), ord=_order(id_), size=words).join(plans, "src")
+    before = F.col("stop_ord").isNull() | (F.col("ord") < F.col("stop_ord")) | ((F.col("ord") == F.col("stop_ord")) & (F.col("size") < F.col("stop_size")))
+    once_more = F.col("more") & (before | F.array_contains("extra", F.struct("ord", "size")))
+    return rows.withColumn("copies", F.col("whole") + once_more.cast("long"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """For each document: doc_id, size, source_size, target, rate (before rounding), copies, taken (size times copies)."""
     rows = _copies(pick(docs, {"doc_id": doc_id, "source": source, "text": text}), weights, share, most, "doc_id", "source", "text")
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce(F.exp("_multiplier"), F.lit(0.0)).alias("rate"), F.col("_copies").alias("copies"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return rows.select("row.doc_id", "size", "source_size", "target", F.coalesce(F.exp("multiplier"), F.lit(0.0)).alias("rate"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of docs, each as often as the mix has it (some not at all). Null texts and texts without words are of no weight; they stay once."""
     rows = _copies(docs, weights, share, most, doc_id, source, text)
-    times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.col("_copies")).cast("int")
-    return rows.withColumn("_", F.explode(F.array_repeat(F.lit(0), times))).select(*(F.col(quoted(c)) for c in docs.columns))
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies")).cast("int")
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times))).select(*unpacked(docs.columns))

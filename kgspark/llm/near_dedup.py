@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .shared import filter_words, maybe_in, mix, pick, quoted, shared_folder, small_batches, steps, utf8, word_hashes, written
+from .shared import filter_words, maybe_in, mix, packed, pick, quoted, shared_folder, small_batches, steps, unpacked, utf8, word_hashes, written
 
 SHINGLE = 5
 #: Symbols of a signature, and chunks that it is split into.
@@ -189,5 +189,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, of one document of each class: the one of the smallest id."""
-    gone = near_duplicates(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(quoted(doc_id)) == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias("id")).distinct()
+    return packed(docs, id=F.col(quoted(doc_id)).cast("long")).join(gone, "id", "left_anti").select(*unpacked(docs.columns))

@@ -117,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     table = written(sample.select("doc_id", "label", "digest", "text").mapInArrow(featured, "doc_id long, label int, digest long, buckets binary"), shared_folder(docs.sparkSession), "sample")
     sizes = table.select("label", "digest", F.octet_length("buckets").alias("size")).toPandas().sort_values("digest")
-    fits = {c: sizes[(sizes.label == c) & (sizes[sizes.label == c]["size"].cumsum() <= 2 * SAMPLE_INDICATORS)].digest.max() for c in (0, 1)}
+    own = {c: sizes[sizes.label == c] for c in (0, 1)}
+    fits = {c: x[x["size"].cumsum() <= 2 * SAMPLE_INDICATORS].digest.max() for c, x in own.items()}
     chosen = [(F.col("label") == c) & (F.col("digest") <= int(d)) for c, d in fits.items() if d == d]
     got = table.filter(chosen[0] if len(chosen) == 1 else chosen[0] | chosen[1] if chosen else F.lit(False)).toArrow()
     got = got.sort_by([("digest", "ascending"), ("doc_id", "ascending"), ("label", "ascending")])

@@ -24,6 +24,16 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def packed(df: DataFrame, **parts: Column) -> DataFrame:
+    """The rows of df as one struct `row`, beside other columns: names inside can't clash with names of later steps."""
+    return df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"), *(c.alias(name) for name, c in parts.items()))
+
+
+def unpacked(columns: list[str], **new: Column) -> list[Column]:
+    """The columns of `row` again, with new values for some."""
+    return [new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns]
+
+
 def pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, under new names and with given types; extra columns of the input can't clash."""
     return df.select(*(F.col(quoted(old)).alias(new) for new, old in columns.items()))
