@@ -24,7 +24,9 @@ from .shared import filter_words, maybe_in, packed, quoted, shared_folder, unpac
 
 EDITS, SHORTEST = 2, 20
 #: Disjoint classes of characters, whose counts bound the edit distance from below.
-CLASSES = ("eE", "aA", "tTsS", "iI", "nN", "oOuU", "rRlL", " .,", "dDhH")
+CLASSES = ("eE", "tT", "aA", "oO", "nN", "iI", "hH", "sS", "rR", "dD", "lL", "uU", "gG", "bB", "wW", "fF", "cC", "pP", "mM", "vV", "yY", "kK", " ", ",", ".", "éÉèÈêÊ", "äÄöÖüÜß", "áíóúñ", "0123", "456789")
+#: Documents with lines that go, and such lines, up to which they are sent to all tasks; beyond, texts are joined by id.
+SENT_DOCUMENTS, SENT_LINES = 500_000, 4_000_000
 
 
 def places(t: int) -> list[tuple[int, int, int]]:
@@ -126,9 +128,11 @@ def near_lines(lines: DataFrame, folder: str, t: int = EDITS) -> DataFrame:
     filed = filed_lines(lines, t)
     keys = filed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max(F.col("own").cast("int")).alias("own")).filter("low <> high and own = 1").select("key")
     keys = written(keys, folder, "keys")
-    some = maybe_in(filed, "key", filter_words(keys, "key")).filter("_maybe").drop("_maybe").join(keys, "key")
-    some = some.select("key", "own", "h", "g", _profile(F.col("line")).alias("profile")).distinct()
+    some = maybe_in(filed.select("key", "own", "h", "g"), "key", filter_words(keys, "key")).filter("_maybe").drop("_maybe").distinct().join(keys, "key")
     some = written(some, folder, "filed")
+    needed = maybe_in(lines, "h", filter_words(some, "h")).filter("_maybe").join(some.select("h", "g").distinct(), ["h", "g"], "left_semi")
+    texts = written(needed.groupBy("h", "g").agg(F.min("line").alias("line")), folder, "texts")
+    some = some.join(written(texts.select("h", "g", _profile(F.col("line")).alias("profile")), folder, "profiles"), ["h", "g"])
     x, y = some.filter("own").alias("x"), some.alias("y")
     differ = F.aggregate(F.zip_with("x.profile", "y.profile", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
     size = len(CLASSES)  # the last of the profile is the length: an edit changes two classes and the length by one each at most
@@ -136,8 +140,6 @@ def near_lines(lines: DataFrame, folder: str, t: int = EDITS) -> DataFrame:
     meet = (F.col("x.key") == F.col("y.key")) & ((F.col("x.h") != F.col("y.h")) | (F.col("x.g") != F.col("y.g"))) & (apart <= t) & (differ - apart <= 2 * t)
     pairs = x.join(y, meet).select(F.struct("x.h", "x.g").alias("x"), F.struct("y.h", "y.g").alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pairs = written(pairs.select(F.col("x.h").alias("h_a"), F.col("x.g").alias("g_a"), F.col("y.h").alias("h_b"), F.col("y.g").alias("g_b")), folder, "pairs")
-    needed = maybe_in(lines, "h", filter_words(pairs.select(F.explode(F.array("h_a", "h_b")).alias("h")), "h")).filter("_maybe")
-    texts = written(needed.groupBy("h", "g").agg(F.min("line").alias("line")), folder, "texts")
     for c in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("h").alias(f"h_{c}"), F.col("g").alias(f"g_{c}"), F.col("line").alias(f"line_{c}")), [f"h_{c}", f"g_{c}"])
     pairs = written(trimmed(pairs.repartition("h_a", "h_b"), "line_a", "line_b"), folder, "trimmed")
@@ -173,7 +175,9 @@ def without_repeated_lines(docs: DataFrame, t: int = EDITS, doc_id: str = "doc_i
     all_ = F.split("text", "\n", -1)
     count = F.coalesce(F.size(F.filter(all_, lambda x: x.rlike(r"\S"))), F.lit(0)).alias("_lines")
     same = rows.filter("not _maybe").select(*unpacked(columns), count, F.lit(0).alias("_equal"), F.lit(0).alias("_near"))
-    some = rows.filter("_maybe").join(gone, "doc_id", "left")
+    n, lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("equal") + F.size("near")), F.lit(0))).first()
+    small = n <= SENT_DOCUMENTS and lines <= SENT_LINES
+    some = rows.filter("_maybe").join(F.broadcast(gone) if small else gone, "doc_id", "left")
     none = F.array().cast("array<int>")
     out = F.array_union(F.coalesce("equal", none), F.coalesce("near", none))
     left = F.when(F.size(out) > 0, F.array_join(F.filter(all_, lambda _, i: ~F.array_contains(out, i)), "\n")).otherwise(F.col("text"))
