@@ -13,6 +13,7 @@ from ..operators.lifecycle import mark_source_deleted
 from ..operators.state import read_version, write_version
 from ..sources.files import file_gate
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
 EVENT = "type string, raw string, ts timestamp"
 
 
@@ -32,7 +33,7 @@ def stream_file_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
     """New files: gated by name, read as text, cut into chunks, appended as Parquet. All steps are narrow."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).load(folder)
     some = file_gate(files.withColumn("filename", F.element_at(F.split("path", "/"), -1))).filter("should_process")
     docs = some.select(F.col("path").alias("uri"), F.expr("make_valid_utf8(cast(content as string))").alias("text"))
     return chunk_fixed(docs).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

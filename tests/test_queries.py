@@ -1,0 +1,162 @@
+"""Every query against its SQL on the smallest tables; expectations for single operators."""
+
+import os
+
+import duckdb
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from kgspark import plans
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
+def rows(df):
+    df = df[sorted(df.columns)]
+    text = lambda x: "null" if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else f"{x:.6g}" if isinstance(x, float) else str(x)
+    return sorted(tuple(map(text, r)) for r in df.itertuples(index=False))
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
+def test_against_sql(spark, duck, name):
+    got, want = plans.QUERIES[name](spark, SF).toPandas(), duck.sql(plans.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
+def test_runs(spark, name):
+    assert plans.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_paragraph_chunks():
+    from kgspark.functions.text import paragraph_chunks
+
+    assert paragraph_chunks("  ", 10, 2) == [] and paragraph_chunks("abc", 10, 2) == ["abc"]
+    assert paragraph_chunks("aaaaaaa\n\nbbbbbbbbbb", 12, 3) == ["aaaaaaa\n\n", "a\n\nbbbbbbbbb", "bbbb"]
+
+
+def test_merge(spark):
+    from kgspark.operators import merge
+
+    e = spark.createDataFrame([("d", 0, 0, "x", 0.9), ("d", 0, 1, "y", 0.9), ("d", 1, 0, "y", 0.8), ("d", 1, 1, "z", 0.8)], "uri string, chunk_index int, pos int, id string, confidence double")
+    r = spark.createDataFrame([("d", 0, 0, "x", "y", "R"), ("d", 1, 0, "x", "y", "R"), ("d", 1, 1, "x", "z", "R"), ("d", 1, 2, "x", "gone", "R"), ("d", 1, 3, "z", "z", "R")], "uri string, chunk_index int, pos int, source string, target string, relation string")
+    t = spark.createDataFrame([("d", 0, 0, "a"), ("d", 0, 1, "B"), ("d", 1, 0, "b"), ("d", 1, 1, "c")], "uri string, chunk_index int, pos int, tag string")
+    s = spark.createDataFrame([("d", 0, " ", 0.9), ("d", 1, "two", 0.8)], "uri string, chunk_index int, summary string, confidence double")
+    out = merge.merge_extractions(s, e, r, t, t)
+    assert {x.id for x in out["entities"].collect()} == {"x", "y", "z"}
+    assert {(x.source, x.target) for x in out["relations"].collect()} == {("x", "y"), ("x", "z"), ("z", "z")}
+    assert [x.tag for x in out["tags"].orderBy("rank").collect()] == ["a", "B", "c"]
+    assert out["extractions"].first()[1:] == ("two", 0.8)
+    assert out["key_points"].count() == 4
+
+
+def test_components(spark):
+    from kgspark.operators.components import connected_components
+
+    chain = [(i + 1, i) for i in range(40)] + [(100, 101), (None, 5), (7, 7)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_commit_twice(spark):
+    """Three items, one accepted edge, one rejected: 1 committed, 2 skipped, 1 evidence; then 0 and 3."""
+    from kgspark.operators import review
+
+    requests = spark.createDataFrame([("s", "me", ["general/places"], "2024-01-01")], "source_uri string, requested_by string, template_ids array<string>, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    entities = spark.createDataFrame([("s", "svc-api", "svc-api", "Component", "", 0.91), ("s", "db-main", "db-main", "Database", "", 0.83)], "source_uri string, id string, label string, type string, description string, confidence double")
+    relations = spark.createDataFrame([("s", "svc-api", "db-main", "STORES_IN", "it does", 0.88)], "source_uri string, source string, target string, relation string, evidence string, confidence double")
+    batches, items = review.create_batches(requests, entities, relations)
+    assert items.count() == 3
+    edge = items.filter("kind = 'edge'").first()
+    node = items.filter("kind = 'node'").first()
+    edits = spark.createDataFrame([(edge.id, edge.batch_id, 1, "accepted", None, "ok"), (node.id, node.batch_id, 2, "rejected", {"label": "new"}, None), ("none", node.batch_id, 3, "accepted", None, None)], "item_id string, batch_id string, seq int, status string, payload map<string,string>, review_note string")
+    items, errors = review.apply_edits(items, edits, batches)
+    assert [r.error for r in errors.collect()] == ["unknown item"]
+    assert items.filter("payload.label = 'new' and status = 'rejected'").count() == 1
+    none = spark.createDataFrame([], "id string, graph_item_id string, source_uri string, batch_id string, template_id string, evidence_text string, confidence double, status string, created_at timestamp")
+    nodes = spark.createDataFrame([], "uri string, id string, label string, summary string, type string, layer string, confidence double, accessible boolean")
+    edges = spark.createDataFrame([], "id string, src_uri string, dst_uri string, relation string, layer string, owner_scope string, source_file_uri string, visibility string, evidence string, confidence double")
+    links = spark.createDataFrame([], "id string, source_uri string, target_uri string, relation string, layer string, owner_scope string, source_file_uri string, visibility string, created_by string, created_at timestamp")
+    out = review.commit_batch(batches, items, nodes, edges, none, links)
+    assert tuple(out["summary"].first())[1:] == (1, 2, 1)
+    assert {r.uri for r in out["nodes"].collect()} == {"s", "entity://svc-api", "entity://db-main"} and out["links"].count() == 1
+    again = review.commit_evidence(out["items"], out["batches"], out["evidence"])
+    assert tuple(review.commit_summary(out["items"], batches, again).first())[1:] == (0, 3, 0)
+
+
+def test_responses(spark):
+    from kgspark.operators.extract import extract_with, normalize_responses, parse_responses
+
+    texts = ['{"summary": "s", "entities": [{"id": "", "label": "Project Nexus", "type": "Project", "confidence": 0.8}, {"id": "x", "label": "x", "type": "T", "confidence": 0.3}]}', "no", "", '```json\n{"summary": "f"}\n```', 'so: {"summary": "p"} there']
+    d = spark.createDataFrame([(str(i), 0, x) for i, x in enumerate(texts)], "uri string, chunk_index int, content string")
+    good, bad = parse_responses(d)
+    assert {r.uri: r.parsed.summary for r in good.collect()} == {"0": "s", "3": "f", "4": "p"} and bad.count() == 2
+    assert [r.id for r in normalize_responses(good)["entities"].collect()] == ["project_project_nexus"]
+    p = spark.createDataFrame([("a", 0, "x"), ("b", 0, "fail")], "uri string, chunk_index int, prompt string")
+    out = {r.uri: r.error for r in extract_with(p, lambda t: {"x": "ok"}[t]).collect()}
+    assert out["a"] is None and "fail" in out["b"]
+
+
+def test_files_and_streams(spark, tmp_path):
+    from kgspark import streaming
+    from kgspark.operators.state import read_version, write_version
+    from kgspark.sources import files
+
+    src = tmp_path / "in"
+    (src / "deep").mkdir(parents=True)
+    (src / "a.txt").write_bytes(b"abc \xff def")
+    (src / "deep" / "b.md").write_text("x" * 1500)
+    (src / "c.png").write_bytes(b"123")
+    assert files.scan_inventory(spark, str(src)).count() == 3
+    text = {r.filename: r.text for r in files.read_text_files(spark, str(src)).collect()}
+    assert text["a.txt"] == "abc � def" and set(text) == {"a.txt", "b.md"}
+    q = streaming.stream_ingest(spark, str(src), str(tmp_path / "out"), str(tmp_path / "check1"))
+    q.awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    lines = spark.createDataFrame([(1, 1, "event: created"), (1, 2, "data: u1"), (1, 3, "data: u2"), (2, 1, "data: u3")], "conn_id int, line_no int, line string")
+    assert [(r.type, r.raw) for r in streaming.event_records(lines).orderBy("conn_id", "line_no").collect()] == [("created", "u1"), ("message", "u2"), ("message", "u3")]
+    state = str(tmp_path / "state")
+    docs = spark.sql("SELECT 'u1' AS uri, 'active' AS status, cast(NULL AS timestamp) AS deleted_at UNION ALL SELECT 'u2', 'active', NULL")
+    evidence = spark.sql("SELECT 'e' AS id, 'u1' AS source_uri, 'active' AS status")
+    write_version({"documents": docs, "evidence": evidence}, state, "0" * 12)
+    (tmp_path / "events").mkdir()
+    (tmp_path / "events" / "1.json").write_text('{"type": "deleted", "raw": "u1", "ts": "2024-01-01T00:00:00Z"}\n')
+    q = streaming.stream_lifecycle(streaming.stream_file_events(spark, str(tmp_path / "events")), state, str(tmp_path / "check2"))
+    q.awaitTermination(60)
+    assert {r.uri: r.status for r in read_version(spark, state, "documents").collect()} == {"u1": "source_deleted", "u2": "active"}
+    assert read_version(spark, state, "evidence").first().status == "stale"
+
+
+def test_templates(spark):
+    from kgspark.sources import templates as tp
+
+    t = tp.own_templates(spark)
+    concepts = {(r.template_id, r.concept) for r in tp.template_concepts(t).collect()}
+    assert {("general/places", "Person"), ("general/places", "RoleInText"), ("general/facts", "SourceLine"), ("systems/services", "Database")} <= concepts
+    assert ("systems/services", "STORES_IN") in {(r.template_id, r.relation) for r in tp.template_relations(t).collect()}
+    assert tp.template_to_ontology(t).count() == 3
+    assert [r.template_id for r in tp.filter_templates(t, kind="graph", language="zh").collect()] == ["systems/services"]
+    assert tp.search_templates(t, "FACT").count() == 1
+
+
+def test_gate(spark):
+    from kgspark.sources.files import extension
+
+    names = {"x.tar.gz": ".gz", ".bashrc": "", "a.": "", "a.b/c": "", "A.PDF": ".pdf", "d/.x.y": ".y"}
+    d = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.e for r in d.select("n", extension(F.col("n")).alias("e")).collect()} == names
