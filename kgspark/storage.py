@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_unset = ""  # the local folder that stands in where the setting is missing
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; set to a local one only where unset."""
+    global _unset
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        _unset = _unset or tempfile.mkdtemp(prefix="spark-")
+        top = _unset
     return f"{top.rstrip('/')}/kgspark-{uuid.uuid4().hex}"
 
 
