@@ -2,7 +2,6 @@
 
 import math
 import random
-import re
 import zlib
 from collections import Counter
 
@@ -11,12 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size int, h string, `_maybe` string, ord string, row string"
-
+from .plain import WORD, classes, lowered, shingles, without_lines
 
-def lowered(t):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size int, h string, `_maybe` string, ord string, row string"
 
 
 def edge_rows():
@@ -41,27 +37,11 @@ def empty(spark):
     return spark.createDataFrame([], COLUMNS)
 
 
-def shingles(t):
-    w = WORD.findall(lowered(t))
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-
-
 def test_near_duplicates(spark, docs, empty):
     from kgspark.llm.near_dedup import near_duplicates, without_near_duplicates
 
     sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
-    up = {i: i for i in sets}
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((top(a), top(b)))
-                up[y] = x
+    top = classes(sets).__getitem__
     found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()}
     assert found == {i: (len(s), top(i), top(i) == i) for i, s in sets.items()}
     kept = without_near_duplicates(docs)
@@ -155,25 +135,8 @@ def test_lines(docs, empty):
     from kgspark.llm.line_dedup import within, without_repeated_lines
 
     rows = {r.doc_id: r.text for r in docs.collect()}
-    first = {}
-    for i in sorted(rows):
-        for k, line in enumerate((rows[i] or "").split("\n")):
-            if line.strip():
-                first.setdefault(line, (i, k))
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    long_ = [x for x in first if 20 <= len(x) < 1000]
-    late = {x for x in long_ for y in long_ if first[y] < first[x] and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2}
+    want, late = without_lines(rows)
     assert late
-    want = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip() or (first[x] == (i, k) and x not in late)) for i, t in rows.items()}
     out = without_repeated_lines(docs)
     assert out.columns == [*docs.columns, "_lines", "_equal", "_near"]
     assert {r.doc_id: r.text for r in out.collect()} == want
