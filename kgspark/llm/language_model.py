@@ -39,8 +39,8 @@ ADD = 0.1
 STEPS = 32  # of a power of ten
 #: Rows of a segment; a segment has whole contexts, so a context of many successors makes one longer.
 SEGMENT_ROWS = 1_000_000
-#: Distinct n-grams that a task holds before it sends them on.
-HELD = 1_000_000
+#: n-grams that a task holds before it sends their counts on.
+HELD = 2_000_000
 END = one_word_hash(b"\x00end of text") >> 1  # a word can hold this only with a byte 0 and spaces
 SCHEMA = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -262,33 +262,17 @@ def trie(files: list[list[str]]) -> Trie:
 
 
 def _held(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct rows of keys with their counts, summed while they are few enough to be held."""
+    """Distinct keys with their counts, of HELD keys or the last fewer at a time."""
     keys: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    size, limit = 0, HELD
-
-    def summed() -> tuple[np.ndarray, np.ndarray]:
-        k = np.concatenate(keys)
-        order = np.argsort(k)
-        k = k[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        return k[first], np.add.reduceat(np.concatenate(counts)[order], first)
-
+    size = 0
     for p in parts:
-        if not len(p):
-            continue
-        k, c = np.unique(p, return_counts=True)
-        keys.append(k)
-        counts.append(c)
-        size += len(k)
-        if size > limit:
-            k, c = summed()
-            keys, counts, size = [k], [c], len(k)
-            if size > limit // 2:
-                yield k, c
-                keys, counts, size = [], [], 0
-    if keys:
-        yield summed()
+        keys.append(p)
+        size += len(p)
+        if size > HELD:
+            yield np.unique(np.concatenate(keys), return_counts=True)
+            keys, size = [], 0
+    if size:
+        yield np.unique(np.concatenate(keys), return_counts=True)
 
 
 def _count(batches: Iterator[pa.RecordBatch], files: list[list[str]]) -> Iterator[pa.RecordBatch]:
