@@ -30,7 +30,7 @@ SEQUENCE = 4096
 #: Tokens that a window gathers before it is packed.
 WINDOW_TOKENS = 1 << 20
 #: Words whose ids a task remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
