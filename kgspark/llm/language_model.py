@@ -9,7 +9,8 @@ A lookup reads the context's range and searches the successor in it.
 
 n-grams seen MIN_COUNT times are kept. Their probability is by absolute discounting, interpolated with the shorter context down to the smoothed
 unigram (c + 0.1) / (N + 0.1 * (V + 1)); what isn't kept gets the context's left-over weight times the shorter context's probability. So the
-probabilities of a context add up to 1, but for the quantising of logarithms and weights to steps of 1/32 (one byte each).
+probabilities of a context add up to 1, but for the quantising of logarithms and weights to steps of 1/32 (two bytes each). The total of a context
+is its exact count: counts of 255 and more stand in a list of exceptions beside the bytes of the others.
 
 Counts of all training documents are gathered by Spark, level by level, each task sending a sum for each n-gram it has. Segments are
 coded by tasks and written to the shared folder; each executor fetches the files and maps them into memory once for all its tasks. Nothing of
@@ -37,6 +38,7 @@ from .shared import one_word_hash, pick, shared_folder, small_batches, utf8, wor
 ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.75
 ADD = 0.1
 STEPS = 32  # of a power of ten
+MANY = 255  # counts from here on are stored apart
 #: Rows of a segment; a segment has whole contexts, so a context of many successors makes one longer.
 SEGMENT_ROWS = 1_000_000
 #: n-grams that a task holds before it sends their counts on.
@@ -62,7 +64,7 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEPS), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEPS), 0, 65535).astype("<u2")
 
 
 class Level1:
@@ -106,11 +108,12 @@ class Segment:
     """Contexts [first, last] and their nodes; `base`: the rank of the first node in the level."""
 
     def __init__(self, raw: np.ndarray):
-        self.first, self.last, self.n, self.width = raw[:32].view("<i8").tolist()
-        self.pointers, a = EliasFano.at(raw[32:])
-        self.nodes, b = EliasFano.at(raw[32 + a :])
-        c = 32 + a + b
-        self.codes, self.rest, self.counts = raw[c : c + self.n], raw[c + self.n : c + self.n + self.last - self.first + 1], raw[c + self.n + self.last - self.first + 1 :]
+        self.first, self.last, self.n, self.width, many = raw[:40].view("<i8").tolist()
+        self.pointers, a = EliasFano.at(raw[40:])
+        self.nodes, b = EliasFano.at(raw[40 + a :])
+        ends = 40 + a + b + np.cumsum([0, 8 * many, 8 * many, 2 * self.n, 2 * (self.last - self.first + 1), self.n])
+        many_at, many_counts, codes, rest, self.counts = (raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True))
+        self.many_at, self.many_counts, self.codes, self.rest = many_at.view("<i8"), many_counts.view("<i8"), codes.view("<u2"), rest.view("<u2")
         self.base = 0
 
     @staticmethod
@@ -118,7 +121,15 @@ class Segment:
         """Rows in the order of context, successor. rest: left-over weight of each context from the first to the last."""
         first, last = int(context[0]), int(context[-1])
         ends = np.searchsorted(context, np.arange(first, last + 2))
-        return np.array([first, last, len(context), width], "<i8").tobytes() + EliasFano.coded(ends) + EliasFano.coded((context - first) * width + successor) + quantised(p).tobytes() + quantised(rest).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+        many = np.flatnonzero(counts >= MANY)
+        head = np.array([first, last, len(context), width, len(many)], "<i8").tobytes() + EliasFano.coded(ends) + EliasFano.coded((context - first) * width + successor)
+        return head + many.astype("<i8").tobytes() + counts[many].astype("<i8").tobytes() + quantised(p).tobytes() + quantised(rest).tobytes() + np.minimum(counts, MANY).astype(np.uint8).tobytes()
+
+    def counts_at(self, i: np.ndarray) -> np.ndarray:
+        out = self.counts[i].astype(np.int64)
+        over = np.flatnonzero(out == MANY)
+        out[over] = self.many_counts[np.searchsorted(self.many_at, i[over])]
+        return out
 
 
 class Level:
@@ -159,7 +170,7 @@ class Level:
         return lo, rest
 
     def of_rank(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Successor, logarithm and count (255: that or more) of nodes in ascending order of rank."""
+        """Successor, logarithm and count of nodes in ascending order of rank."""
         base = np.array([s.base for s in self.segments] + [self.size], np.int64)
         edges = np.searchsorted(ranks, base)
         successor, log, count = np.zeros(len(ranks), np.int64), np.zeros(len(ranks)), np.zeros(len(ranks), np.int64)
@@ -167,7 +178,7 @@ class Level:
             if a < b:
                 i = ranks[a:b] - s.base
                 successor[a:b] = s.nodes.get(i) % s.width
-                log[a:b], count[a:b] = s.codes[i] / -STEPS, s.counts[i]
+                log[a:b], count[a:b] = s.codes[i] / -STEPS, s.counts_at(i)
         return successor, log, count
 
 
@@ -318,8 +329,7 @@ def _code(batches: Iterator[pa.RecordBatch], files: list[list[str]]) -> Iterator
             counts = t.levels[0].counts_of_ids()
             total, lower = counts[only].astype(np.float64), t.levels[0].unigram(counts[successor])
         else:
-            token, _, count = t.levels[-1].of_rank(only)
-            total = np.maximum(count, np.bincount(of, n))  # counts of 255 and more are bounded from below
+            token, _, total = t.levels[-1].of_rank(only)
             lo, _ = t.levels[1].contexts(np.unique(token))
             lo = lo[np.searchsorted(np.unique(token), token)]
             ranks, place = np.unique(lo[of] + successor, return_inverse=True)

@@ -210,6 +210,21 @@ def test_language_model(docs, empty):
     assert scored(docs.filter("doc_id < 2"), F.lit(False)).count() == 2
 
 
+def test_language_model_frequent_context(spark):
+    """A bigram seen 1,000 times: trigrams seen once count in its total, which is no byte."""
+    from kgspark.llm.language_model import quantised, scored
+
+    texts = [f"aa bb {'kept' if i < 300 else f'once{i}'}" for i in range(1000)]
+    score = {r.doc_id: r.score for r in scored(spark.createDataFrame([*enumerate(texts), (-1, "aa bb kept")], "doc_id long, text string"), F.col("doc_id") >= 0).collect()}
+    # tokens 4,000; types aa, bb, kept, end, 700 words seen once; kept bigrams: end aa, aa bb, bb kept, kept end
+    uni = lambda c: (c + 0.1) / (4000 + 0.1 * (704 + 1))
+    p2 = lambda n, total, c: (n - 0.75) / total + (1 - (n - 0.75) / total) * uni(c)
+    p3 = lambda n, total, lower: (n - 0.75) / total + (1 - (n - 0.75) / total) * lower
+    exact = [p2(1000, 1000, 1000), p3(1000, 1000, p2(1000, 1000, 1000)), p3(300, 1000, p2(300, 1000, 300)), p3(300, 300, p2(300, 300, 1000))]
+    assert abs(score[-1] - sum(map(math.log10, exact))) < 4 * 0.5 / 32 + 0.02
+    assert quantised(np.array([1e-12])).tolist() == [12 * 32]
+
+
 def test_elias_fano():
     from kgspark.llm.elias_fano import EliasFano
 
