@@ -1,13 +1,13 @@
 """Operator 4: n-gram language model in an Elias-Fano trie.
 
 Tokens are the lower-cased words of a text and one end after them, which also stands before the first word. Level 1 holds every training
-token: sorted 64-bit hashes with exact counts; tokens seen MIN_COUNT times have dense ids in that order. A node of level k is filed under its
+token: sorted 64-bit hashes with exact counts; tokens seen `least` times have dense ids in that order. A node of level k is filed under its
 context, a node of level k-1, by a successor: at level 2 the token's id; at level 3 the place of the last token among the successors that the middle token has
 at level 2 (context-relative, so successors are small numbers). Contexts point to their nodes by a monotone sequence, and the nodes of
 all contexts are one monotone sequence of context * width + successor; both are in Elias-Fano form, in segments of neighbouring contexts.
 A lookup reads the context's range and searches the successor in it.
 
-n-grams seen MIN_COUNT times are kept. Their probability is by absolute discounting, interpolated with the shorter context down to the smoothed
+n-grams seen `least` times are kept: all at 1, as in the query; the default MIN_COUNT is for a smaller model. Their probability is by absolute discounting, interpolated with the shorter context down to the smoothed
 unigram (c + 0.1) / (N + 0.1 * (V + 1)); what isn't kept gets the context's left-over weight times the shorter context's probability. So the
 probabilities of a context add up to 1, but for the quantising of logarithms and weights to steps of 1/32 (two bytes each). The total of a context
 is its exact count: counts of 255 and more stand in a list of exceptions beside the bytes of the others.
@@ -69,24 +69,25 @@ def quantised(p: np.ndarray) -> np.ndarray:
 
 class Level1:
     def __init__(self, segments: list[np.ndarray]):
-        segments = sorted(segments, key=lambda p: int(p[8:16].view("<i8")[0]))
+        segments = sorted(segments, key=lambda p: int(p[16:24].view("<i8")[0]))
         n = [int(p[:8].view("<i8")[0]) for p in segments]
-        self.hashes = [p[8 : 8 + 8 * k].view("<i8") for p, k in zip(segments, n, strict=True)]
-        self.counts = [p[8 + 8 * k : 8 + 16 * k].view("<i8") for p, k in zip(segments, n, strict=True)]
-        self.ranks = [p[8 + 16 * k : 8 + 20 * k].view("<i4") for p, k in zip(segments, n, strict=True)]
+        self.least = int(segments[0][8:16].view("<i8")[0])
+        self.hashes = [p[16 : 16 + 8 * k].view("<i8") for p, k in zip(segments, n, strict=True)]
+        self.counts = [p[16 + 8 * k : 16 + 16 * k].view("<i8") for p, k in zip(segments, n, strict=True)]
+        self.ranks = [p[16 + 16 * k : 16 + 20 * k].view("<i4") for p, k in zip(segments, n, strict=True)]
         self.first = np.array([h[0] for h in self.hashes], np.int64)
         self.base = np.concatenate([[0], np.cumsum([int(x[-1]) + 1 for x in self.ranks])]).astype(np.int64)
         self.size, self.width = sum(n), max(1, int(self.base[-1]))
         self.total = int(sum(int(c.sum()) for c in self.counts))
 
     @staticmethod
-    def coded(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    def coded(hashes: np.ndarray, counts: np.ndarray, least: int) -> bytes:
         """Hashes, counts, and of each the number of tokens up to it that are seen often enough, less one."""
-        ranks = np.cumsum(counts >= MIN_COUNT) - 1
-        return np.array([len(hashes)], "<i8").tobytes() + hashes.astype("<i8").tobytes() + counts.astype("<i8").tobytes() + ranks.astype("<i4").tobytes()
+        ranks = np.cumsum(counts >= least) - 1
+        return np.array([len(hashes), least], "<i8").tobytes() + hashes.astype("<i8").tobytes() + counts.astype("<i8").tobytes() + ranks.astype("<i4").tobytes()
 
     def counts_of_ids(self) -> np.ndarray:
-        return np.concatenate([c[c >= MIN_COUNT] for c in self.counts] or [np.zeros(0, np.int64)])
+        return np.concatenate([c[c >= self.least] for c in self.counts] or [np.zeros(0, np.int64)])
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + ADD) / (self.total + ADD * (self.size + 1))
@@ -100,7 +101,7 @@ class Level1:
                 p = np.minimum(np.searchsorted(self.hashes[s], hashes[a:b]), len(self.hashes[s]) - 1)
                 hit = self.hashes[s][p] == hashes[a:b]
                 counts[a:b] = np.where(hit, self.counts[s][p], 0)
-                ids[a:b] = np.where(hit & (self.counts[s][p] >= MIN_COUNT), self.base[s] + self.ranks[s][p], -1)
+                ids[a:b] = np.where(hit & (self.counts[s][p] >= self.least), self.base[s] + self.ranks[s][p], -1)
         return counts, ids
 
 
@@ -310,14 +311,14 @@ def _width(t: Trie) -> int:
     return t.levels[0].width if len(t.levels) == 1 else 1 << 28
 
 
-def _code(batches: Iterator[pa.RecordBatch], files: list[list[str]]) -> Iterator[pa.RecordBatch]:
+def _code(batches: Iterator[pa.RecordBatch], files: list[list[str]], least: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows (key, n) of a partition as one blob."""
     rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     if not rows:
         return
     key, n = (np.concatenate(x) for x in zip(*rows, strict=True))
     if not files:
-        blob = Level1.coded(key, n)
+        blob = Level1.coded(key, n, least)
     else:
         t = trie(files)
         width = _width(t)
@@ -343,20 +344,20 @@ def _code(batches: Iterator[pa.RecordBatch], files: list[list[str]]) -> Iterator
     yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
 
 
-def train(docs: DataFrame, order: int = ORDER) -> list[list[str]]:
+def train(docs: DataFrame, order: int = ORDER, least: int = MIN_COUNT) -> list[list[str]]:
     """docs (text): the training texts. The names of each level's files, which every executor can fetch."""
     spark, folder, files = docs.sparkSession, shared_folder(docs.sparkSession), []
     for k in range(1, order + 1):
         got = list(files)
         sums = docs.select("text").mapInArrow(lambda it, got=got: _count(it, got), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        sums = written(sums if k == 1 else sums.filter(F.col("n") >= MIN_COUNT), folder, f"counts{k}")
+        sums = written(sums if k == 1 or least <= 1 else sums.filter(F.col("n") >= least), folder, f"counts{k}")
         count = sums.count()
         if not count:
             break
         width = 1 if k == 1 else _next_width(spark, got)
         by = F.floor(F.col("key") / F.lit(width)) if k > 1 else F.col("key")
         parts = sums.select("key", "n", (F.expr(f"key div {width}") if k > 1 else by).alias("context")).repartitionByRange(max(1, -(-count // SEGMENT_ROWS)), "context").sortWithinPartitions("key")
-        coded = written(parts.select("key", "n").mapInArrow(lambda it, got=got: _code(it, got), "blob binary"), folder, f"level{k}")
+        coded = written(parts.select("key", "n").mapInArrow(lambda it, got=got: _code(it, got, least), "blob binary"), folder, f"level{k}")
         names = sorted(coded.inputFiles())
         for name in names:
             spark.sparkContext.addFile(name)
@@ -384,8 +385,8 @@ def _score(batches: Iterator[pa.RecordBatch], files: list[list[str]]) -> Iterato
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (n, *sums)), pa.array(np.full(len(n), total, np.int64))], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score", "train_tokens"])
 
 
-def scored(docs: DataFrame, training: Column, order: int = ORDER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Learns from the rows where `training` (a condition on doc_id) holds and scores all: doc_id, train, n_tokens, n_known, base_score, score, train_tokens."""
+def scored(docs: DataFrame, training: Column, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", least: int = MIN_COUNT) -> DataFrame:
+    """Learns from the rows where `training` (a condition on doc_id) holds, n-grams seen `least` times, and scores all: doc_id, train, n_tokens, n_known, base_score, score, train_tokens."""
     rows = pick(docs, {"doc_id": doc_id, "text": text}).select(F.col("doc_id").cast("long"), training.alias("train"), "text")
-    files = train(rows.filter("train"), order)
+    files = train(rows.filter("train"), order, least)
     return rows.mapInArrow(lambda it: _score(it, files), f"{SCHEMA}, train_tokens long")

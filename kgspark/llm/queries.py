@@ -35,7 +35,7 @@ def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import is_training, scored
 
-    found = scored(table(spark, sf_dir, "documents"), is_training(F.col("doc_id")))
+    found = scored(table(spark, sf_dir, "documents"), is_training(F.col("doc_id")), least=1)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

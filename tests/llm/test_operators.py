@@ -225,6 +225,38 @@ def test_language_model_frequent_context(spark):
     assert quantised(np.array([1e-12])).tolist() == [12 * 32]
 
 
+def test_language_model_of_all_ngrams(docs, monkeypatch):
+    """With least = 1, as in the query: against a plain model that drops nothing; a passage of one training document counts as seen."""
+    from kgspark.llm import queries
+    from kgspark.llm.language_model import scored
+
+    tok = {r.doc_id: [None, *WORD.findall(lowered(r.text)), None] for r in docs.collect()}
+    train = [t for i, t in tok.items() if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for t in train for w in t[1:])
+    two, three = (Counter(g for t in train for g in zip(*(t[k:] for k in range(n)), strict=False)) for n in (2, 3))
+    sizes = Counter(g[:-1] for g in [*two, *three])
+    n, v = sum(c.values()), len(c)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (c[gram[0]] + 0.1) / (n + 0.1 * (v + 1))
+        total = c[gram[0]] if len(gram) == 2 else two[gram[:2]]
+        if not total:
+            return p(gram[1:])
+        seen = (two if len(gram) == 2 else three)[gram]
+        return (seen - 0.75 if seen else 0) / total + 0.75 * sizes[gram[:-1]] / total * p(gram[1:])
+
+    monkeypatch.setattr(queries, "table", lambda *a: docs)
+    found = {r.doc_id: r.score for r in queries.op4_elias_fano_lm(docs.sparkSession, "").collect()}
+    for i, t in tok.items():
+        if len(t) < 200:
+            exact = sum(math.log10(p(tuple(t[max(0, k - 2) : k + 1]))) for k in range(1, len(t)))
+            assert abs(found[i] - exact) < 0.05 * len(t)
+    once = docs.sparkSession.createDataFrame([(0, "a b c d e f g h"), (1, "p q r s t u v w"), (-1, "a b c d e f g h"), (-2, "h g f e d c b a")], "doc_id long, text string")
+    same, other = (scored(once, F.col("doc_id") >= 0, least=1).filter(f"doc_id = {i}").first().score for i in (-1, -2))
+    assert same > other + 3
+
+
 def test_elias_fano():
     from kgspark.llm.elias_fano import EliasFano
 
