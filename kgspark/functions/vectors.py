@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 TOKEN = "[A-Za-z0-9_-]+"
 #: Queries that a search sends to every task at once.
 BLOCK_QUERIES = 1000
+#: Rows of a block of similar pairs that meet as many others at once.
+TILE_ROWS = 2000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -93,10 +95,34 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str =
 
 
 def similar_pairs(vectors: DataFrame, block: str, key: str = "id", threshold: float = 0.88) -> DataFrame:
-    """Pairs a < b of rows in the same block with a cosine of at least the threshold."""
+    """Pairs a < b of rows in the same block with a cosine of at least the threshold.
+
+    Exact: a block is dealt into tiles of about TILE_ROWS rows, and every two tiles meet in a group of their own, so that a large block is many small
+    groups. Work and rows sent grow with the square of a block's rows.
+    """
     size = F.sqrt(dot(F.col("vector"), F.col("vector")))
-    v = vectors.select(block, key, "vector").withColumn("size", size).filter("size > 0")
-    a = v.select(block, F.col(key).alias("a"), F.col("vector").alias("va"), F.col("size").alias("na"))
-    b = v.select(block, F.col(key).alias("b"), F.col("vector").alias("vb"), F.col("size").alias("nb"))
-    pairs = a.join(b, block).filter("a < b").withColumn("similarity", dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb")))
-    return pairs.filter(F.col("similarity") >= threshold).select(block, "a", "b", "similarity")
+    v = vectors.select(F.col(block).alias("block"), F.col(key).alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.size("vector").alias("dims"))
+    v = v.withColumn("size", size).filter("size > 0 AND id IS NOT NULL AND block IS NOT NULL")
+    tiles = v.groupBy("block", "dims").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))
+    v = v.join(tiles, ["block", "dims"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    met = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = met.select("block", "dims", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "id", F.transform("vector", lambda x: x / F.col("size")).alias("vector"))
+    kind = {c: met.schema[c].dataType.simpleString() for c in ("block", "id")}
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        x, ids = np.stack(pdf.vector.to_numpy()), pdf.id.to_numpy()
+        left, right = (np.flatnonzero(pdf.tile.to_numpy() == pdf[c].iloc[0]) for c in ("lo", "hi"))
+        found = []
+        for k in range(0, len(left), TILE_ROWS):
+            i, j = np.nonzero((s := x[left[k : k + TILE_ROWS]] @ x[right].T) >= threshold)
+            a, b = ids[left[k + i]], ids[right[j]]
+            up, down = a < b, (a > b) if left[0] != right[0] else np.zeros(len(a), bool)  # a tile with itself has each pair twice
+            found += [pd.DataFrame({"a": p[m], "b": q[m], "similarity": s[i, j][m]}) for p, q, m in ((a, b, up), (b, a, down))]
+        out = pd.concat(found) if found else pd.DataFrame({"a": ids[:0], "b": ids[:0], "similarity": np.zeros(0)})
+        out.insert(0, "block", pdf.block.iloc[0])
+        return out
+
+    pairs = met.groupBy("block", "dims", "lo", "hi").applyInPandas(close, f"block {kind['block']}, a {kind['id']}, b {kind['id']}, similarity double")
+    return pairs.withColumnRenamed("block", block)

@@ -43,8 +43,9 @@ def tags(t: Tables):
     return t.entities.select("uri", "chunk_index", "pos", F.when(F.col("pos") % 2 == 0, F.col("label")).otherwise(F.upper("label")).alias("tag"))
 
 
-def unit(t: Tables):
-    return t.vectors.filter("chunk_id < 400").select(F.col("uri").alias("block"), F.col("chunk_id").alias("id"), "vector")
+def unit(t: Tables, every: bool = False):
+    """All vectors, or those that the SQL of the three small queries states."""
+    return (t.vectors if every else t.vectors.filter("chunk_id < 400")).select(F.col("uri").alias("block"), F.col("chunk_id").alias("id"), "vector")
 
 
 PAIRS = "(SELECT x.chunk_id AS a, y.chunk_id AS b, list_cosine_similarity(x.vector::DOUBLE[], y.vector::DOUBLE[]) AS s FROM {vectors} x JOIN {vectors} y ON x.uri = y.uri AND x.chunk_id < y.chunk_id WHERE x.chunk_id < 400 AND y.chunk_id < 400 AND list_cosine_similarity(x.vector::DOUBLE[], y.vector::DOUBLE[]) >= 0.3)"
@@ -52,8 +53,13 @@ CLUSTERS = f"""WITH RECURSIVE p AS (SELECT a, b FROM {PAIRS} q), e AS (SELECT a,
 reach(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other), c AS (SELECT id, min(other) AS cluster FROM reach GROUP BY id)"""
 
 
-def pairs(t: Tables):
-    return vx.similar_pairs(unit(t), "block", "id", 0.3)
+def pairs(t: Tables, every: bool = False):
+    return vx.similar_pairs(unit(t, every), "block", "id", 0.3)
+
+
+def canonical(t: Tables, every: bool = False):
+    e = unit(t, every).select("id", F.col("id").alias("pos"), ((F.col("id") * 7) % 10 / 10).alias("confidence"))
+    return mg.canonical_entities(e, mg.entity_clusters(unit(t, every), pairs(t, every)))
 
 
 def responses(t: Tables):
@@ -170,9 +176,12 @@ round(CASE WHEN ext IN ('.xlsx', '.xls', '.xlsm', '.ods') THEN 1.0 WHEN ext IN (
     "similar_pairs": (lambda t: pairs(t).select("a", "b", F.round("similarity", 4).alias("similarity")), f"SELECT a, b, round(s, 4) AS similarity FROM {PAIRS} p"),
     "entity_clusters": (lambda t: mg.entity_clusters(unit(t), pairs(t)), f"{CLUSTERS} SELECT id, cluster FROM c"),
     "canonical_entities": (
-        lambda t: mg.canonical_entities(unit(t).select("id", F.col("id").alias("pos"), ((F.col("id") * 7) % 10 / 10).alias("confidence")), mg.entity_clusters(unit(t), pairs(t))),
+        canonical,
         f"{CLUSTERS}, b AS (SELECT cluster, min(struct_pack(c := -((id * 7) % 10 / 10), id := id)).id AS canonical FROM c GROUP BY cluster) SELECT id, canonical FROM c JOIN b USING (cluster)",
     ),
+    "similar_pairs_all": (lambda t: pairs(t, True).select("a", "b", F.round("similarity", 4).alias("similarity")), None),
+    "entity_clusters_all": (lambda t: mg.entity_clusters(unit(t, True), pairs(t, True)), None),
+    "canonical_entities_all": (lambda t: canonical(t, True), None),
     "remap_endpoints": (
         lambda t: mg.remap_endpoints(t.relations, t.spark.createDataFrame([(f"part_{k}", f"part_{k - k % 2}") for k in range(20)], "id string, canonical string"), mg.dedup_entities(ents(t))).select("uri", "source", "target"),
         f"SELECT DISTINCT uri, source, target FROM (SELECT uri, 'part_' || (k1 - k1 % 2)::VARCHAR AS source, 'part_' || (k2 - k2 % 2)::VARCHAR AS target FROM (SELECT uri, substr(source, 6)::INT AS k1, substr(target, 6)::INT AS k2 FROM {{relations}}) a) r WHERE EXISTS (SELECT 1 FROM {DEDUP} e WHERE e.uri = r.uri AND e.id = r.source) AND EXISTS (SELECT 1 FROM {DEDUP} e WHERE e.uri = r.uri AND e.id = r.target)",

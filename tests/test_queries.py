@@ -160,3 +160,21 @@ def test_gate(spark):
     names = {"x.tar.gz": ".gz", ".bashrc": "", "a.": "", "a.b/c": "", "A.PDF": ".pdf", "d/.x.y": ".y"}
     d = spark.createDataFrame([(n,) for n in names], "n string")
     assert {r.n: r.e for r in d.select("n", extension(F.col("n")).alias("e")).collect()} == names
+
+
+def test_similar_pairs_of_all_vectors(spark, tmp_path, monkeypatch):
+    """Against brute force: ids of 400 and more, one block of most rows, more tiles than one."""
+    import numpy as np
+
+    from kgspark.functions import vectors as vx
+
+    monkeypatch.setattr(vx, "TILE_ROWS", 100)
+    x = np.random.default_rng(3).normal(size=(450, 8))
+    label = [0 if i % 5 else 1 + i % 2 for i in range(450)]
+    spark.createDataFrame([(i, v, b) for i, (v, b) in enumerate(zip(x.tolist(), label, strict=True))], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j): float(x[i] @ x[j]) for i in range(450) for j in range(i + 1, 450) if label[i] == label[j] and x[i] @ x[j] >= 0.3}
+    got = plans.QUERIES["similar_pairs_all"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and all(abs(want[r.a, r.b] - r.similarity) < 1e-4 for r in got) and max(b for _, b in want) > 400
+    assert {r.id for r in plans.QUERIES["entity_clusters_all"](spark, str(tmp_path)).collect()} == set(range(450))
+    assert plans.QUERIES["canonical_entities_all"](spark, str(tmp_path)).count() == 450
