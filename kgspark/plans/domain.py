@@ -62,6 +62,7 @@ SELECT uri, cast(chunk_index AS int) AS chunk_index, cast(pos AS int) AS pos, so
     "questions": "SELECT item_id AS question_id, CASE item_id % 4 WHEN 0 THEN 'What is part 12 of the green order?' WHEN 1 THEN 'customer#000000001 nation' WHEN 2 THEN 'Which supplier, where: supplier#000000002!' ELSE substring(text, 1, 60) END AS question, item_id % 2 = 0 AS include_candidates FROM {benchmark}",
     "vectors": "SELECT vec_id AS chunk_id, cast(label AS string) AS uri, embedding AS vector FROM {embeddings}",
     "vector_queries": "SELECT vec_id AS query_id, embedding AS vector FROM {embeddings} WHERE vec_id < 20",
+    "stated_queries": "SELECT vec_id AS query_id, embedding AS vector FROM {embeddings} WHERE vec_id % 100 = 0",
 }
 
 

@@ -71,7 +71,7 @@ def responses(t: Tables):
 
 
 def doc_questions(t: Tables):
-    return t.documents.filter("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("uri"), "text", "doc_id")
+    return t.documents.select(F.col("doc_id").cast("string").alias("uri"), "text", "doc_id")
 
 
 def template_matches(t: Tables):
@@ -84,7 +84,7 @@ def template_matches(t: Tables):
 
 
 def edge_extract(t: Tables):
-    segs = tx.segment_text(t.documents.filter("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("uri"), "text"), threshold=8000)
+    segs = tx.segment_text(t.documents.select(F.col("doc_id").cast("string").alias("uri"), "text"), threshold=8000)
     prompts = ex.build_prompts(segs, [("Topic", "A word")], ["NEAR"], "Be short")
     return ex.extract_with(prompts, lambda p: '{"summary": "%d", "tags": [], "entities": [], "relations": [], "key_points": []}' % len(p))
 
@@ -196,6 +196,10 @@ round(CASE WHEN ext IN ('.xlsx', '.xls', '.xlsm', '.ods') THEN 1.0 WHEN ext IN (
         lambda t: vx.vector_search(t.vectors, t.vector_queries).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank")),
         "SELECT query_id, chunk_id, round(s, 4) AS score, rank FROM (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, list_dot_product(q.vector::DOUBLE[], v.vector::DOUBLE[]) AS s FROM {vector_queries} q, {vectors} v) a) b WHERE rank <= 5",
     ),
+    "vector_search_stated": (
+        lambda t: vx.vector_search(t.vectors, t.stated_queries).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank")),
+        "SELECT query_id, chunk_id, round(s, 4) AS score, rank FROM (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, list_dot_product(q.vector::DOUBLE[], v.vector::DOUBLE[]) AS s FROM {stated_queries} q, {vectors} v) a) b WHERE rank <= 5",
+    ),
     "parse_responses": (lambda t: ex.parse_responses(responses(t))[0].select("uri", "parsed.summary", F.element_at("parsed.entities", 1)["label"].alias("label")), "SELECT doc_id::VARCHAR AS uri, substr(text, 1, 50) AS summary, 'Word ' || (doc_id % 7)::VARCHAR AS label FROM {documents} WHERE doc_id % 4 < 3"),
     "bad_responses": (lambda t: ex.parse_responses(responses(t))[1].select("uri"), "SELECT doc_id::VARCHAR AS uri FROM {documents} WHERE doc_id % 4 = 3"),
     "normalize_responses": (lambda t: ex.normalize_responses(ex.parse_responses(responses(t))[0])["entities"].select("uri", "id", "label", "type"), "SELECT doc_id::VARCHAR AS uri, 'topic_word_' || (doc_id % 7)::VARCHAR AS id, 'Word ' || (doc_id % 7)::VARCHAR AS label, 'Topic' AS type FROM {documents} WHERE doc_id % 4 < 3"),

@@ -178,3 +178,21 @@ def test_similar_pairs_of_all_vectors(spark, tmp_path, monkeypatch):
     assert len(got) == len(want) and all(abs(want[r.a, r.b] - r.similarity) < 1e-4 for r in got) and max(b for _, b in want) > 400
     assert {r.id for r in plans.QUERIES["entity_clusters_all"](spark, str(tmp_path)).collect()} == set(range(450))
     assert plans.QUERIES["canonical_entities_all"](spark, str(tmp_path)).count() == 450
+
+
+def test_all_documents_are_matched_and_extracted(spark, tmp_path):
+    from kgspark.sources import templates as tp
+
+    texts = ["people and places", "facts of a text", "software services", ""] * 6
+    spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
+    every = set(range(1, 25))
+    got = run("match_templates")
+    assert {(r.doc_id, r.rank) for r in got} == {(i, k) for i in every for k in (1, 2, 3)}
+    assert {r.template_id for r in got if r["rank"] == 1 and r.doc_id % 4 == 1} == {"general/places"}
+    assert {r.doc_id for r in run("merge_ontologies")} == every
+    assert {int(r.uri) for r in run("extract_with")} == {i for i in every if texts[i - 1]}
+    d, t = (spark.createDataFrame(x, f"{c}, vector array<float>") for x, c in (([(1, [1.0, 0.0]), (2, None), (3, [1.0])], "doc_id long"), ([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "template_id string")))
+    assert [tuple(r) for r in tp.match_templates(d, t, 2).collect()] == [(1, "a", 1.0, 1), (1, "b", 1.0, 2)]
+    spark.range(250).selectExpr("id AS vec_id", "array(1.0 * id, 1.0) AS embedding", "0 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r.query_id for r in run("vector_search_stated")} == {0, 100, 200}
