@@ -63,13 +63,18 @@ def canonical(t: Tables, every: bool = False):
 
 
 def responses(t: Tables):
-    body = F.to_json(F.struct(F.substring("text", 1, 50).alias("summary"), F.array("label").alias("tags"), F.array(F.struct(F.lit("").alias("id"), "label", F.lit("Topic").alias("type"), F.lit("d").alias("description"), F.lit(0.9).alias("confidence"))).alias("entities"), F.array().cast("array<struct<source:string,target:string,relation:string>>").alias("relations")))
+    body = F.to_json(F.struct(F.col("text").alias("summary"), F.array("label").alias("tags"), F.array(F.struct(F.lit("").alias("id"), "label", F.lit("Topic").alias("type"), F.lit("d").alias("description"), F.lit(0.9).alias("confidence"))).alias("entities"), F.array().cast("array<struct<source:string,target:string,relation:string>>").alias("relations")))
     d = t.documents.withColumn("label", F.concat(F.lit("Word "), (F.col("doc_id") % 7).cast("string")))
     k = F.col("doc_id") % 4
     content = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here: "), body, F.lit(" done"))).otherwise(F.lit("no json"))
     return d.select(F.col("doc_id").cast("string").alias("uri"), F.lit(0).alias("chunk_index"), content.alias("content"))
 
 
+def contents(t: Tables):
+    artifacts = t.docs.filter("doc_id % 12 <> 3").select(F.col("parsed_text_key").alias("key"), "text")
+    return fs.document_content(t.docs, artifacts, t.docs.select("uri").union(t.spark.range(1).select(F.lit("none"))))
+
+
 def doc_questions(t: Tables):
     return t.documents.select(F.col("doc_id").cast("string").alias("uri"), "text", "doc_id")
 
@@ -106,9 +111,13 @@ QUERIES = {
         "SELECT url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, '' AS \"user\", coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1), ''), '/') AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query, url LIKE 'https://%' AS valid FROM {pages}",
     ),
     "document_content": (
-        lambda t: fs.document_content(t.docs, t.docs.filter("doc_id % 12 <> 3").select(F.col("parsed_text_key").alias("key"), F.substring("text", 1, 20).alias("text")), t.docs.select("uri").union(t.spark.range(1).select(F.lit("none")))),
+        lambda t: contents(t).withColumn("text", F.substring("text", 1, 20)),
         "SELECT uri, CASE WHEN parsed_text_key IS NULL THEN 404 WHEN parsed_text_key LIKE 'cloudreve%' THEN 410 WHEN parsed_text_key LIKE 'ftp%' THEN 422 WHEN doc_id % 12 = 3 THEN 502 ELSE 200 END AS status, CASE WHEN parsed_text_key LIKE 's3%' AND doc_id % 12 <> 3 THEN 's3' END AS source, CASE WHEN parsed_text_key LIKE 's3%' AND doc_id % 12 <> 3 THEN substr(text, 1, 20) END AS text FROM {docs} UNION ALL SELECT 'none', 404, NULL, NULL",
     ),
+    "document_content_whole": (
+        lambda t: contents(t).select("uri", "status", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), F.md5("text").alias("hash")),
+        "SELECT uri, CASE WHEN parsed_text_key IS NULL THEN 404 WHEN parsed_text_key LIKE 'cloudreve%' THEN 410 WHEN parsed_text_key LIKE 'ftp%' THEN 422 WHEN doc_id % 12 = 3 THEN 502 ELSE 200 END AS status, CASE WHEN parsed_text_key LIKE 's3%' AND doc_id % 12 <> 3 THEN 's3' END AS source, CASE WHEN parsed_text_key LIKE 's3%' AND doc_id % 12 <> 3 THEN length(text) ELSE 0 END AS n, CASE WHEN parsed_text_key LIKE 's3%' AND doc_id % 12 <> 3 THEN md5(text) END AS hash FROM {docs} UNION ALL SELECT 'none', 404, NULL, 0, NULL",
+    ),
     "content_preview": (lambda t: t.docs.select("uri", tx.content_preview(F.col("text")).alias("preview")), "SELECT uri, substr(text, 1, 600) AS preview FROM {docs}"),
     "assemble_pages": (
         lambda t: tb.assemble_pages(t.pages_rows),
@@ -200,7 +209,8 @@ round(CASE WHEN ext IN ('.xlsx', '.xls', '.xlsm', '.ods') THEN 1.0 WHEN ext IN (
         lambda t: vx.vector_search(t.vectors, t.stated_queries).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank")),
         "SELECT query_id, chunk_id, round(s, 4) AS score, rank FROM (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, list_dot_product(q.vector::DOUBLE[], v.vector::DOUBLE[]) AS s FROM {stated_queries} q, {vectors} v) a) b WHERE rank <= 5",
     ),
-    "parse_responses": (lambda t: ex.parse_responses(responses(t))[0].select("uri", "parsed.summary", F.element_at("parsed.entities", 1)["label"].alias("label")), "SELECT doc_id::VARCHAR AS uri, substr(text, 1, 50) AS summary, 'Word ' || (doc_id % 7)::VARCHAR AS label FROM {documents} WHERE doc_id % 4 < 3"),
+    "parse_responses": (lambda t: ex.parse_responses(responses(t))[0].select("uri", F.substring("parsed.summary", 1, 50).alias("summary"), F.element_at("parsed.entities", 1)["label"].alias("label")), "SELECT doc_id::VARCHAR AS uri, substr(text, 1, 50) AS summary, 'Word ' || (doc_id % 7)::VARCHAR AS label FROM {documents} WHERE doc_id % 4 < 3"),
+    "parse_responses_whole": (lambda t: ex.parse_responses(responses(t))[0].select("uri", F.length("parsed.summary").cast("long").alias("n"), F.md5("parsed.summary").alias("hash")), "SELECT doc_id::VARCHAR AS uri, length(text) AS n, md5(text) AS hash FROM {documents} WHERE doc_id % 4 < 3"),
     "bad_responses": (lambda t: ex.parse_responses(responses(t))[1].select("uri"), "SELECT doc_id::VARCHAR AS uri FROM {documents} WHERE doc_id % 4 = 3"),
     "normalize_responses": (lambda t: ex.normalize_responses(ex.parse_responses(responses(t))[0])["entities"].select("uri", "id", "label", "type"), "SELECT doc_id::VARCHAR AS uri, 'topic_word_' || (doc_id % 7)::VARCHAR AS id, 'Word ' || (doc_id % 7)::VARCHAR AS label, 'Topic' AS type FROM {documents} WHERE doc_id % 4 < 3"),
     "build_prompts": (lambda t: ex.build_prompts(tx.segment_text(t.docs, threshold=8000), [("Topic", "A word")], ["NEAR"], "Be short").select("uri", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("prompt").cast("long").alias("n")), None),

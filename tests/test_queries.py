@@ -196,3 +196,17 @@ def test_all_documents_are_matched_and_extracted(spark, tmp_path):
     assert [tuple(r) for r in tp.match_templates(d, t, 2).collect()] == [(1, "a", 1.0, 1), (1, "b", 1.0, 2)]
     spark.range(250).selectExpr("id AS vec_id", "array(1.0 * id, 1.0) AS embedding", "0 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert {r.query_id for r in run("vector_search_stated")} == {0, 100, 200}
+
+
+def test_whole_texts(spark, tmp_path):
+    """Texts of 100,000 characters and with quotes, fences and braces behind their beginnings."""
+    import hashlib
+
+    tails = ["long " * 20_000, 'a "quoted" \\ one', "```json\n{}\n``` }{", "} \x01\n é🙂"]
+    texts = {i: "y" * 60 + tails[i // 12] for i in range(48)}
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {int(r.uri): (r.n, r.hash) for r in plans.QUERIES["parse_responses_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(t), hashlib.md5(t.encode()).hexdigest()) for i, t in texts.items() if i % 4 < 3}
+    head = ("Abstract and methodology. ", "Invoice total. ", "The schema of a request; hazard. ", "")
+    found = {r.hash for r in plans.QUERIES["document_content_whole"](spark, str(tmp_path)).collect() if r.status == 200}
+    assert found == {hashlib.md5((head[i % 4] + t).encode()).hexdigest() for i, t in texts.items() if i % 6 > 2 and i % 12 != 3}
