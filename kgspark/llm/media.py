@@ -1,7 +1,7 @@
 """Operator 7: media columns. Bytes as a WAV sound, its spectrum, and fingerprints of pairs of spectral peaks.
 
 A payload becomes a mono WAV of 8-bit samples, which is read again by the wave module. A short-time Fourier transform (frames of
-FRAME samples, a Hann window, a step of HOP samples) gives magnitudes; the strongest bin of each of BANDS frequency bands of a frame
+FRAME samples, a Hann window, a step of HOP samples, a quarter of the frame, so that a passage that recurs at any offset shares most codes) gives magnitudes; the strongest bin of each of BANDS frequency bands of a frame
 is a peak where it stands out of the frame's mean; a peak is paired with the first PAIRS peaks of the frames after it (up to REACH), and
 each pair gives the code (bin, bin, frames between) with the time of its first frame: an array of structs of time and code.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .shared import pick, small_batches, utf8
 
 UNIT, RATE, PAD = 576, 8000, b"\xff"
-FRAME, HOP, BANDS, PAIRS, REACH = 512, 512, 4, 3, 8
+FRAME, HOP, BANDS, PAIRS, REACH = 512, 128, 4, 3, 32
 BLOCK_FRAMES = 4096
 
 SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, fingerprints array<struct<time:int,code:int>>, feature string"
@@ -85,7 +85,7 @@ def fingerprints(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = np.flatnonzero(other < len(at))
         ok = ok[at[other[ok]] - at[ok] <= REACH]
         times.append(at[ok])
-        codes.append(bins[ok] << 16 | bins[other[ok]] << 4 | at[other[ok]] - at[ok])
+        codes.append(bins[ok] << 16 | bins[other[ok]] << 8 | at[other[ok]] - at[ok])
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
     return t[order].astype(np.int32), c[order].astype(np.int32)

@@ -109,6 +109,23 @@ def test_media(docs, empty):
     assert set((fingerprints(tone)[1] >> 16).tolist()) == {39}
 
 
+def test_moved_passage_shares_fingerprints():
+    """A passage behind texts of any length, and a byte at the edge of frames."""
+    from kgspark.llm.media import FRAME, HOP, feature, fingerprints
+
+    r = random.Random(8)
+    text = lambda n: np.frombuffer(" ".join("".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(n)).encode()[:n], np.uint8)
+    for _ in range(10):
+        passage, before = text(6000), text(8 * FRAME)
+        codes = [set(fingerprints(np.concatenate([before[:n], passage, text(FRAME)]))[1].tolist()) for n in (0, r.randrange(1, len(before)))]
+        assert len(codes[0] & codes[1]) > 0.35 * len(codes[0])
+    assert 2 * HOP <= FRAME
+    whole = np.concatenate([text(FRAME), np.full(FRAME, 128, np.uint8)])
+    changed = whole.copy()
+    changed[FRAME - 1] = 0
+    assert feature(*fingerprints(whole)) != feature(*fingerprints(changed))
+
+
 def test_mixing(spark, docs, empty):
     from kgspark.llm.mixing import mixed, repeated
     from kgspark.llm.queries import OP8_SQL
