@@ -4,55 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import extension
 
-#: Categories in order, with words of file names (weight 2), then of contents (weight 1).
-DEFAULT_KEYWORDS: dict[str, tuple[str, str]] = {
-    "academic_paper": ("paper,research,study,thesis,preprint,journal", "abstract,introduction,methodology,experiment,conclusion,references,doi:,keywords:"),
-    "technical_doc": ("api,readme,tech,architecture,spec,design", "endpoint,request,response,schema,install,configuration,class ,def ,function,module"),
-    "meeting_minutes": ("meeting,minutes,agenda,action", "attendees,action item,action:,todo:,next steps,owner:,due date"),
-    "report": ("report,summary,review,analysis", "executive summary,key findings,recommendation,kpi,milestone,progress"),
-    "contract": ("contract,agreement,nda,terms,license", "party,whereas,hereby,clause,term and condition"),
-    "email": ("email,mail,correspondence", "from:,to:,subject:,cc:,dear ,regards,"),
-    "financial_report": ("annual report,prospectus,earnings,10-k,10-q,ownership,shareholder,investor", "revenue,earnings per share,eps,net income,risk factor,management discussion,fiscal year"),
-    "medical_record": ("medical,clinical,patient,discharge,drug,prescription,hospital,treatment", "diagnosis,medication,dosage,contraindicated,treatment plan,chief complaint,vital signs,lab result"),
-    "tcm_text": ("tcm,herbal,acupuncture,meridian,formula", "herb,meridian,syndrome,acupoint"),
-    "industry_manual": ("sop,manual,procedure,equipment,maintenance,failure,safety", "step 1,procedure,equipment,hazard,lockout,safety interlock"),
-    "smart_campus": ("smart campus,smart building,bms,ems,hvac,fdd,brick,rec,realestatecore", "brick schema,realestatecore,haystack,bms,ems,hvac,ahu,vav,fcu,fdd"),
-    "legal_case": ("judgment,judgement,verdict,citation,court,ruling,legal opinion", "plaintiff,defendant,hereby ordered,court finds,appeal,precedent,statute,ratio decidendi"),
-    "biography": ("biography,memoir,chronicle,profile,life of", "born in,early life,career,legacy,autobiography,recollections"),
-    "workflow_doc": ("workflow,skill,agent,pipeline,automation,playbook,runbook", "step 1:,input:,output:,trigger:,condition:,if true,if false,depends on,tool call"),
-}
+#: Categories in order, with words of file names (weight 2) and of contents (weight 1). A default to start with: users pass their own.
+DEFAULT_KEYWORDS: dict[str, tuple[list[str], list[str]]] = {
+    "academic_paper": (["research", "dissertation", "conference"], ["abstract", "we propose", "related work", "et al."]),
+    "technical_doc": (["api", "readme", "howto"], ["parameter", "schema", "returns", "command line", "version"]),
+    "meeting_minutes": (["meeting", "standup"], ["present:", "agreed that", "to be done by", "next meeting"]),
+    "report": (["report", "status", "quarter"], ["overview", "results show", "outlook", "compared with last"]),
+    "contract": (["contract", "lease", "terms"], ["the parties", "shall not", "in witness", "governing law"]),
+    "invoice": (["invoice", "receipt", "bill"], ["invoice", "total", "amount due", "vat"]),
+    "letter": (["letter", "mail"], ["dear ", "sincerely", "kind regards", "subject:"]),
+    "health_record": (["patient", "clinic"], ["symptom", "dose", "blood pressure", "follow-up"]),
+    "maintenance_manual": (["manual", "maintenance"], ["warning:", "torque", "hazard", "replace the", "spare part"]),
+    "court_decision": (["court", "verdict"], ["the court", "claimant", "dismissed", "appeal"]),
+    "building_data": (["building", "hvac"], ["air handling", "set point", "sensor", "floor plan"]),
+    "recipe": (["recipe", "cooking"], ["tablespoon", "preheat", "serves "]),
+    "news": (["news", "press"], ["according to", "spokesperson", "reported on"]),
+}
 #: Extensions that are always tables, and those that are with many rows.
 TABULAR, ROWWISE, MANY_ROWS = [".xlsx", ".xls", ".xlsm", ".ods"], [".csv", ".tsv"], 200
 
 
-def keyword_table(spark: SparkSession, words: dict[str, tuple[str, str]] = DEFAULT_KEYWORDS) -> DataFrame:
+def keyword_table(spark: SparkSession, words: dict[str, tuple[list[str], list[str]]] = DEFAULT_KEYWORDS) -> DataFrame:
     """ordinal, category, field (filename or content), keyword, weight."""
-    rows = [(i, c, f, w, weight) for i, (c, both) in enumerate(words.items()) for f, part, weight in (("filename", both[0], 2.0), ("content", both[1], 1.0)) for w in part.split(",") if w]
+    rows = [(i, c, f, w, weight) for i, (c, both) in enumerate(words.items()) for f, part, weight in zip(("filename", "content"), both, (2.0, 1.0), strict=True) for w in part]
     return spark.createDataFrame(rows, "ordinal int, category string, field string, keyword string, weight double")
 
 
-def category_scores(docs: DataFrame, keywords: DataFrame, key: str = "uri", preview: int = 600) -> DataFrame:
-    """key, ordinal, category, score, signals of the categories with a keyword in the file name or in the first characters of the text.
+def scored_categories(keywords: DataFrame, preview: int = 600) -> Column:
+    """Of a row with filename and text: an array of (ordinal, category, score, signals), a struct for each category that has a keyword in the file name or in
+    the first characters of the text.
 
-    The keywords, a table for people to write, become one expression: each document is read once, without a join.
+    The keywords, a table for people to write, become one expression, so a document is read once and never leaves its row.
     """
-    words = [tuple(r) for r in keywords.select("ordinal", "category", "field", "keyword", "weight").orderBy("ordinal", F.desc("field"), "keyword").collect()]
+    table: dict[tuple[int, str], list[tuple[str, str, float]]] = {}
+    for r in keywords.orderBy("ordinal", "category", F.desc("field"), "keyword").collect():
+        table.setdefault((r.ordinal, r.category), []).append((r.field, r.keyword, r.weight))
     name, text = F.lower("filename"), F.lower(F.substring("text", 1, preview))
-    hit = lambda o, c, f, w, n: F.when((name if f == "filename" else text).contains(w), F.struct(F.lit(o).alias("ordinal"), F.lit(c).alias("category"), F.lit(n).alias("weight"), F.lit(f"{f}:{w}").alias("signal")))
-    hits = docs.select(key, F.explode(F.array_compact(F.array(*(hit(*w) for w in words)))).alias("h")).select(key, "h.*")
-    return hits.groupBy(key, "ordinal", "category").agg(F.sum("weight").alias("score"), F.array_sort(F.collect_list("signal")).alias("signals"))
+    scored = []
+    for (ordinal, category), words in table.items():
+        has = [(name if f == "filename" else text).contains(w) for f, w, _ in words]
+        hits = F.array_compact(F.array(*(F.when(h, F.struct(F.lit(f"{f}:{w}").alias("signal"), F.lit(n).alias("weight"))) for h, (f, w, n) in zip(has, words, strict=True))))
+        scored.append(F.struct(F.lit(ordinal).alias("ordinal"), F.lit(category).alias("category"), hits.alias("hits")))
+    sums = F.transform(F.array(*scored), lambda s: F.struct(s["ordinal"].alias("ordinal"), s["category"].alias("category"), F.aggregate(s["hits"]["weight"], F.lit(0.0), lambda x, y: x + y).alias("score"), F.array_sort(s["hits"]["signal"]).alias("signals")))
+    return F.filter(sums, lambda s: F.size(s["signals"]) > 0)
+
+
+def category_scores(docs: DataFrame, keywords: DataFrame, key: str = "uri", preview: int = 600) -> DataFrame:
+    """key, ordinal, category, score, signals of the categories that a document has a keyword of."""
+    return docs.select(key, F.explode(scored_categories(keywords, preview)).alias("c")).select(key, "c.*")
 
 
 def classify(docs: DataFrame, keywords: DataFrame, key: str = "uri") -> DataFrame:
     """docs (key, filename, text, file_type, row_count): key, doc_type, strategy, confidence, signals."""
-    scores = category_scores(docs, keywords, key)
-    best = scores.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "ordinal"))).filter("rn = 1").drop("rn")
-    d = docs.select(key, extension(F.col("filename")).alias("ext"), F.coalesce("file_type", F.lit("")).alias("file_type"), F.coalesce("row_count", F.lit(0)).alias("row_count")).join(best, key, "left")
+    best = F.array_max(F.transform(scored_categories(keywords), lambda s: F.struct(s["score"].alias("score"), (-s["ordinal"]).alias("first"), s["category"].alias("category"), s["signals"].alias("signals"))))
+    d = docs.select(key, extension(F.col("filename")).alias("ext"), F.coalesce("file_type", F.lit("")).alias("file_type"), F.coalesce("row_count", F.lit(0)).alias("row_count"), best.alias("best"))
+    d = d.select("*", "best.category", "best.score", "best.signals")
     table = (F.col("file_type") == "tabular_data") | F.col("ext").isin(TABULAR)
     long_ = F.col("ext").isin(ROWWISE) & (F.col("row_count") > MANY_ROWS)
     return d.select(

@@ -25,7 +25,20 @@ PROC, BIN, UNS = (", ".join(f"'{x}'" for x in xs) for xs in (fs.PROCESSABLE, fs.
 
 
 def _words() -> str:
-    return ", ".join(f"({i}, '{c}', '{f}', '{w}', {weight})" for i, (c, both) in enumerate(cl.DEFAULT_KEYWORDS.items()) for f, part, weight in (("filename", both[0], 2.0), ("content", both[1], 1.0)) for w in part.split(",") if w)
+    return ", ".join(f"({r[0]}, '{r[1]}', '{r[2]}', '{r[3]}', {r[4]})" for r in ((i, c, f, w, n) for i, (c, both) in enumerate(cl.DEFAULT_KEYWORDS.items()) for f, part, n in zip(("filename", "content"), both, (2.0, 1.0), strict=True) for w in part))
+
+
+CLASSIFIED = f"""WITH s AS (SELECT uri, ordinal, category, sum(weight)::DOUBLE AS score FROM {{docs}} JOIN (VALUES {_words()}) k(ordinal, category, field, keyword, weight) ON contains(CASE WHEN field = 'filename' THEN lower(filename) ELSE lower(substr(text, 1, 600)) END, keyword) GROUP BY 1, 2, 3),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY score DESC, ordinal) AS rn FROM s) x WHERE rn = 1),
+d AS (SELECT d.uri, {EXT} AS ext, len(string_split(text, chr(10))) AS n, category, score FROM {{docs}} d LEFT JOIN b ON b.uri = d.uri)
+SELECT uri, CASE WHEN ext IN ('.xlsx', '.xls', '.xlsm', '.ods') OR (ext IN ('.csv', '.tsv') AND n > 200) THEN 'tabular_data' ELSE coalesce(category, 'general') END AS doc_type, CASE WHEN ext IN ('.xlsx', '.xls', '.xlsm', '.ods') OR (ext IN ('.csv', '.tsv') AND n > 200) THEN 'structural_summary' ELSE 'llm_extract' END AS strategy,
+round(CASE WHEN ext IN ('.xlsx', '.xls', '.xlsm', '.ods') THEN 1.0 WHEN ext IN ('.csv', '.tsv') AND n > 200 THEN 0.9 WHEN score IS NULL THEN 0.3 ELSE least(1.0, score / 6) END::DOUBLE, 6) AS confidence FROM d"""
+
+
+def _chunk_end(b: str) -> str:
+    """Where a chunk of 1000 characters that begins at b ends: behind the last empty line of its second half."""
+    last = f"{b} + 1001 - strpos(reverse(substr(t, {b} + 1, 1000)), chr(10) || chr(10))"
+    return f"CASE WHEN {b} + 1000 >= length(t) THEN length(t) WHEN strpos(reverse(substr(t, {b} + 1, 1000)), chr(10) || chr(10)) > 0 AND {last} > {b} + 500 THEN {last} ELSE {b} + 1000 END"
 
 
 def docs(t: Tables):
@@ -136,15 +149,11 @@ QUERIES = {
     ),
     "classify_documents": (
         lambda t: cl.classify(docs(t), cl.keyword_table(t.spark)).select("uri", "doc_type", "strategy", F.round("confidence", 6).alias("confidence")),
-        f"""WITH s AS (SELECT uri, ordinal, category, sum(weight)::DOUBLE AS score FROM {{docs}} JOIN (VALUES {_words()}) k(ordinal, category, field, keyword, weight) ON contains(CASE WHEN field = 'filename' THEN lower(filename) ELSE lower(substr(text, 1, 600)) END, keyword) GROUP BY 1, 2, 3),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY score DESC, ordinal) AS rn FROM s) x WHERE rn = 1),
-d AS (SELECT d.uri, {EXT} AS ext, len(string_split(text, chr(10))) AS n, category, score FROM {{docs}} d LEFT JOIN b ON b.uri = d.uri)
-SELECT uri, CASE WHEN ext IN ('.xlsx', '.xls', '.xlsm', '.ods') OR (ext IN ('.csv', '.tsv') AND n > 200) THEN 'tabular_data' ELSE coalesce(category, 'general') END AS doc_type, CASE WHEN ext IN ('.xlsx', '.xls', '.xlsm', '.ods') OR (ext IN ('.csv', '.tsv') AND n > 200) THEN 'structural_summary' ELSE 'llm_extract' END AS strategy,
-round(CASE WHEN ext IN ('.xlsx', '.xls', '.xlsm', '.ods') THEN 1.0 WHEN ext IN ('.csv', '.tsv') AND n > 200 THEN 0.9 WHEN score IS NULL THEN 0.3 ELSE least(1.0, score / 6) END::DOUBLE, 6) AS confidence FROM d""",
+        f"SELECT * FROM ({CLASSIFIED}) x",
     ),
     "classify_with": (
         lambda t: cl.classify_with(cl.classify(docs(t), cl.keyword_table(t.spark)), docs(t), lambda name, preview: "report" if "x_" in name else "unknown", list(cl.DEFAULT_KEYWORDS)).select("uri", "doc_type", F.round("confidence", 6).alias("confidence")),
-        None,
+        f"SELECT uri, CASE WHEN low AND told THEN 'report' ELSE doc_type END AS doc_type, CASE WHEN low AND told THEN 0.6 ELSE confidence END AS confidence FROM (SELECT c.*, c.confidence < 0.4 AS low, contains(d.filename, 'x_') AS told FROM ({CLASSIFIED}) c JOIN {{docs}} d USING (uri)) x",
     ),
     "doc_type_from_name": (
         lambda t: t.docs.select("uri", tx.doc_type_from_name(F.col("filename")).alias("doc_type")),
@@ -154,7 +163,11 @@ round(CASE WHEN ext IN ('.xlsx', '.xls', '.xlsm', '.ods') THEN 1.0 WHEN ext IN (
         lambda t: tx.chunk_fixed(t.docs).select("uri", F.col("chunk_index").cast("long").alias("chunk_index"), "text"),
         "SELECT uri, row_number() OVER (PARTITION BY uri ORDER BY s) - 1 AS chunk_index, text FROM (SELECT uri, s, substr(text, s + 1, 1000) AS text FROM (SELECT uri, text, unnest(CASE WHEN length(text) <= 1000 THEN [0] ELSE generate_series(0, length(text) - 1, 900) END) AS s FROM {docs}) a) b WHERE regexp_matches(text, '\\S')",
     ),
-    "chunk_paragraph": (lambda t: tx.chunk_paragraph(t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")), "doc_id"), None),
+    "chunk_paragraph": (
+        lambda t: tx.chunk_paragraph(t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")), "doc_id").select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text"),
+        f"""WITH RECURSIVE d AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS t FROM {{documents}}), s(doc_id, t, b, e) AS (SELECT doc_id, t, 0, {_chunk_end('0')} FROM d WHERE t <> '' UNION ALL SELECT doc_id, t, e - 100, {_chunk_end('e - 100')} FROM s WHERE e < length(t))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS chunk_index, substr(t, b + 1, e - b) AS text FROM s WHERE regexp_matches(substr(t, b + 1, e - b), '\\S')""",
+    ),
     "segment_text": (
         lambda t: tx.segment_text(t.docs, threshold=8000).select("uri", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), F.md5("text").alias("hash")),
         "SELECT uri, i AS chunk_index, i * 7600 AS char_start, least(i * 7600 + 8000, length(text)) AS char_end, md5(substr(text, i * 7600 + 1, 8000)) AS hash FROM (SELECT uri, text, unnest(generate_series(0, CASE WHEN length(text) <= 8000 THEN 0 ELSE ceil((length(text) - 8000) / 7600)::BIGINT END)) AS i FROM {docs} WHERE length(text) > 0) a",

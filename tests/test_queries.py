@@ -48,6 +48,10 @@ def test_paragraph_chunks():
 
     assert paragraph_chunks("  ", 10, 2) == [] and paragraph_chunks("abc", 10, 2) == ["abc"]
     assert paragraph_chunks("aaaaaaa\n\nbbbbbbbbbb", 12, 3) == ["aaaaaaa\n\n", "a\n\nbbbbbbbbb", "bbbb"]
+    text = "one.\n\n" * 400 + "x" * 2500
+    chunks = paragraph_chunks(text, 1000, 100)
+    assert all(len(c) <= 1000 for c in chunks) and text.startswith(chunks[0]) and chunks[0].endswith("\n\n") and text.endswith(chunks[-1])
+    assert sum(map(len, chunks)) - 100 * (len(chunks) - 1) == len(text)
 
 
 def test_merge(spark):
