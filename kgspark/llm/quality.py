@@ -6,8 +6,8 @@ Each indicator is scaled by its log-count ratio between the classes, rows are sc
 model with hinge loss is fitted to them by dual coordinate descent. The score is the logistic function of the margin, so that 0.5 is the
 model's border; a row is rejected below it.
 
-Fitting takes a bounded sample: at most SAMPLE_ROWS labelled rows of each class, those with the smallest digest of their id, and SAMPLE_INDICATORS indicators. It is the
-only part that runs on the driver. Every document is scored, whole, in one pass over the table without a shuffle.
+Fitting takes a bounded sample: at most SAMPLE_ROWS labelled rows of each class, those with the smallest digest of their id, and SAMPLE_INDICATORS indicators. Fitting
+runs in one task, which gets no more than that; the driver holds the model only. Every document is scored, whole, in one pass over the table without a shuffle.
 
 Null or empty text: no indicators, so the score of the bias. Null labels are no labels. Rows with a repeated doc_id are all scored. If one
 class has no labelled row, every score is that of the other class (1 or 0; 0.5 without labels). Extra columns are ignored by `scores`, and kept by `kept`.
@@ -106,7 +106,7 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """docs (doc_id, text), labels (doc_id, label): fits a model to a bounded sample of the rows with a label."""
+    """docs (doc_id, text), labels (doc_id, label; null ids or other labels are none): fits a model to a bounded sample of the rows with a label."""
     labels = labels.filter("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64(F.col("doc_id").cast("string")).alias("digest"))
     some = [labels.filter(F.col("label") == c).orderBy("digest", "doc_id").limit(sample_rows) for c in (0, 1)]
     sample = docs.join(F.broadcast(some[0].union(some[1]).select("doc_id", "label", "digest")), "doc_id")  # bounded by sample_rows
@@ -117,13 +117,23 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.binary())], names=["doc_id", "label", "digest", "buckets"])
 
     table = written(sample.select("doc_id", "label", "digest", "text").mapInArrow(featured, "doc_id long, label int, digest long, buckets binary"), shared_folder(docs.sparkSession), "sample")
-    sizes = table.select("label", "digest", F.octet_length("buckets").alias("size")).toPandas().sort_values("digest")
-    own = {c: sizes[sizes.label == c] for c in (0, 1)}
-    fits = {c: x[x["size"].cumsum() <= 2 * SAMPLE_INDICATORS].digest.max() for c, x in own.items()}
-    chosen = [(F.col("label") == c) & (F.col("digest") <= int(d)) for c, d in fits.items() if d == d]
-    got = table.filter(chosen[0] if len(chosen) == 1 else chosen[0] | chosen[1] if chosen else F.lit(False)).toArrow()
-    got = got.sort_by([("digest", "ascending"), ("doc_id", "ascending"), ("label", "ascending")])
-    return fit([np.frombuffer(x, "<u4") for x in got.column("buckets").to_pylist()], got.column("label").to_numpy())
+    fitted = table.repartition(1).sortWithinPartitions("digest", "doc_id", "label").mapInArrow(_fitted, "weights binary, bias double").first()
+    return Model(np.frombuffer(fitted.weights, np.float64), fitted.bias) if fitted else fit([], np.zeros(0))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model, fitted to the rows that the bound of indicators leaves."""
+    rows: list[np.ndarray] = []
+    labels: list[int] = []
+    room = [2 * SAMPLE_INDICATORS] * 2  # bytes of each class
+    for b in batches:
+        for label, x in zip(b.column(1).to_pylist(), b.column(3), strict=True):
+            room[label] -= len(x.as_buffer())
+            if room[label] >= 0:
+                rows.append(np.frombuffer(x.as_buffer(), "<u4").copy())
+                labels.append(label)
+    model = fit(rows, np.array(labels))
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -331,6 +331,32 @@ def test_neighbours(spark):
     assert nearest(d.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_candidates(spark):
+    """Only rows of probed buckets are compared: few, and enough for the recall wanted."""
+    from kgspark.llm.neighbours import CrossPolytope, Queries, first_equals, hadamard, nearest
+
+    r = np.random.default_rng(5)
+    assert np.allclose(hadamard(np.eye(8)) @ hadamard(np.eye(8)), 8 * np.eye(8)) and set(hadamard(np.eye(4)).ravel()) == {-1.0, 1.0}
+    v = (r.normal(size=(60, 64))[r.integers(0, 60, 4000)] + 0.7 * r.normal(size=(4000, 64))).astype(np.float32)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = nearest(d, F.col("vec_id") % 100 == 0).toPandas()
+    w, hit = v.astype(float), 0
+    for q, own in got.groupby("query_id"):
+        dist = ((w - w[q]) ** 2).sum(1)
+        dist[q] = np.inf
+        hit += len(set(np.argsort(dist)[:10].tolist()) & set(own.vec_id))
+    assert hit >= 0.9 * 400 and got.candidates.max() <= 0.1 * 4000
+    h = CrossPolytope(64, tables=3)
+    codes, probes = h.codes(w[:500]), h.probes(w[:500], 5)
+    assert (probes[:, :, 0] == codes).all()  # the first bucket probed is the vector's own
+    near = Queries(np.arange(20), w[:20], h, 5).candidates(codes)
+    assert near.tolist() == [[any(codes[x, t] in probes[q, t] for t in range(3)) for x in range(500)] for q in range(20)]
+    ids = np.array([5, 3, 9, 1, 7])
+    assert first_equals(ids, np.array([[1.0, 2]] * 3 + [[2.0, 1]] * 2), 2).tolist() == [0, 1, 3, 4]
+    everything = nearest(d.filter("vec_id < 300"), F.col("vec_id") == 0, probes=0).toPandas()
+    assert set(everything.candidates) == {299} and set(everything.vec_id) == set(np.argsort(np.where(np.arange(300) == 0, np.inf, ((w[:300] - w[0]) ** 2).sum(1)))[:10].tolist())
+
+
 def test_url_filter(spark):
     from kgspark.llm.queries import RULES
     from kgspark.llm.url_filter import DigestArray, filter_urls
