@@ -17,14 +17,13 @@ def _padded(bits: bytes) -> bytes:
 class EliasFano:
     """values[i] = high part, by the place of the i-th one of a bit vector, and low part, of `low` bits."""
 
-    def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray, ones: np.ndarray):
-        self.n, self.low, self.highs, self.ones = n, low, highs, ones
+    def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.low, self.highs, self.ones, self.zeros = n, low, highs, ones, zeros
         self.lows = np.ndarray((max(0, len(lows) - 7),), "<u8", lows, strides=(1,))
-        self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
 
     @staticmethod
     def coded(values: np.ndarray) -> bytes:
-        """values: sorted, not negative. Header of four 64-bit integers, low bits, high bits, ones before each word."""
+        """values: sorted, not negative, fewer than 2**31. Header of four 64-bit integers, low bits, high bits, ones and zeros before each word."""
         v = values.astype(np.uint64)
         n = len(v)
         top = int(v[-1]) if n else 0
@@ -37,7 +36,7 @@ class EliasFano:
         words = np.frombuffer(highs, "<u8")
         ones = np.zeros(len(words), np.int64)
         np.cumsum(np.bitwise_count(words)[:-1], out=ones[1:])
-        return np.array([n, low, len(lows), len(highs)], "<i8").tobytes() + lows + highs + ones.astype("<u4").tobytes() + bytes(-4 * len(ones) % 8)
+        return np.array([n, low, len(lows), len(highs)], "<i8").tobytes() + lows + highs + ones.astype("<u4").tobytes() + (np.arange(len(ones)) * 64 - ones).astype("<u4").tobytes()
 
     @classmethod
     def at(cls, raw: np.ndarray) -> tuple[EliasFano, int]:
@@ -45,8 +44,8 @@ class EliasFano:
         n, low, a, b = raw[:32].view("<i8").tolist()
         words = b // 8
         c = 32 + a + b
-        ones = raw[c : c + 4 * words].view("<u4").astype(np.int64)
-        return cls(n, low, raw[32 : 32 + a], raw[32 + a : c].view("<u8"), ones), c + 4 * words + (-4 * words % 8)
+        ones, zeros = (raw[c + 4 * k * words : c + 4 * (k + 1) * words].view("<u4") for k in (0, 1))
+        return cls(n, low, raw[32 : 32 + a], raw[32 + a : c].view("<u8"), ones, zeros), c + 8 * words
 
     @staticmethod
     def _in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -69,13 +68,13 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         if not len(i):
             return np.zeros(0, np.int64)
-        w = np.searchsorted(self.ones, i, "right") - 1
+        w = np.searchsorted(self.ones, i.astype(np.uint32), "right") - 1
         place = w * 64 + self._in_word(self.highs[w], i - self.ones[w])
         return (place - i) << self.low | self._lows(i)
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero of the high bits."""
-        w = np.searchsorted(self.zeros, k, "right") - 1
+        w = np.searchsorted(self.zeros, k.astype(np.uint32), "right") - 1
         return w * 64 + self._in_word(~self.highs[w], k - self.zeros[w])
 
     def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -186,69 +186,9 @@ def test_token_counts(docs, empty):
     assert token_counts(empty, scores).count() == 0
 
 
-def test_language_model(docs, empty):
-    from kgspark.llm.language_model import is_training, scored
-
-    tok = {r.doc_id: [*WORD.findall(lowered(r.text)), None] for r in docs.collect()}
-    train = [i for i in tok if zlib.crc32(str(i).encode()) % 10]
-    c = Counter(w for i in train for w in tok[i])
-    n, v = sum(c.values()), len(c)
-    uni = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    two, three = Counter(), Counter()
-    for i in train:
-        t = [None, *tok[i]]
-        two.update((a, b) for a, b in zip(t, t[1:], strict=False) if c[a] > 1 and c[b] > 1)
-    two = {k: x for k, x in two.items() if x > 1}
-    for i in train:
-        t = [None, *tok[i]]
-        three.update(x for x in zip(t, t[1:], t[2:], strict=False) if x[:2] in two and x[1:] in two)
-    three = {k: x for k, x in three.items() if x > 1}
-
-    def p2(a, b):
-        rest = 1 - sum(x - 0.75 for k, x in two.items() if k[0] == a) / c[a] if c[a] > 1 else 1
-        return ((two.get((a, b), 0.75) - 0.75) / c[a] if c[a] > 1 else 0) + rest * uni(b)
-
-    def p3(x, a, b):
-        if (x, a) not in two:
-            return p2(a, b)
-        total = max(two[x, a], sum(k for y, k in three.items() if y[:2] == (x, a)))
-        rest = 1 - sum(k - 0.75 for y, k in three.items() if y[:2] == (x, a)) / total
-        return (three.get((x, a, b), 0.75) - 0.75) / total + rest * p2(a, b)
-
-    for r in scored(docs, is_training(F.col("doc_id"))).collect():
-        t = tok[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.train) == (len(t), sum(c[w] > 0 for w in t), n, r.doc_id in train)
-        assert math.isclose(r.base_score, sum(math.log10(uni(w)) for w in t), rel_tol=1e-9)
-        if len(t) < 200:
-            full = [None, *t]
-            exact = sum(math.log10(p2(full[k - 1], full[k]) if k == 1 else p3(full[k - 2], full[k - 1], full[k])) for k in range(1, len(full)))
-            assert abs(r.score - exact) < 0.05 * len(t)
-    assert scored(empty, is_training(F.col("doc_id"))).count() == 0
-    assert scored(docs.filter("doc_id < 2"), F.lit(False)).count() == 2
-
-
-def test_language_model_frequent_context(spark):
-    """A bigram seen 1,000 times: trigrams seen once count in its total, which is no byte."""
-    from kgspark.llm.language_model import quantised, scored
-
-    texts = [f"aa bb {'kept' if i < 300 else f'once{i}'}" for i in range(1000)]
-    score = {r.doc_id: r.score for r in scored(spark.createDataFrame([*enumerate(texts), (-1, "aa bb kept")], "doc_id long, text string"), F.col("doc_id") >= 0).collect()}
-    # tokens 4,000; types aa, bb, kept, end, 700 words seen once; kept bigrams: end aa, aa bb, bb kept, kept end
-    uni = lambda c: (c + 0.1) / (4000 + 0.1 * (704 + 1))
-    p2 = lambda n, total, c: (n - 0.75) / total + (1 - (n - 0.75) / total) * uni(c)
-    p3 = lambda n, total, lower: (n - 0.75) / total + (1 - (n - 0.75) / total) * lower
-    exact = [p2(1000, 1000, 1000), p3(1000, 1000, p2(1000, 1000, 1000)), p3(300, 1000, p2(300, 1000, 300)), p3(300, 300, p2(300, 300, 1000))]
-    assert abs(score[-1] - sum(map(math.log10, exact))) < 4 * 0.5 / 32 + 0.02
-    assert quantised(np.array([1e-12])).tolist() == [12 * 32]
-
-
-def test_language_model_of_all_ngrams(docs, monkeypatch):
-    """With least = 1, as in the query: against a plain model that drops nothing; a passage of one training document counts as seen."""
-    from kgspark.llm import queries
-    from kgspark.llm.language_model import scored
-
-    tok = {r.doc_id: [None, *WORD.findall(lowered(r.text)), None] for r in docs.collect()}
-    train = [t for i, t in tok.items() if zlib.crc32(str(i).encode()) % 10]
+def plain_model(texts):
+    """Tokens of documents, and the probability of an n-gram's last token, from training texts."""
+    train = [[None, *WORD.findall(lowered(t)), None] for t in texts]
     c = Counter(w for t in train for w in t[1:])
     two, three = (Counter(g for t in train for g in zip(*(t[k:] for k in range(n)), strict=False)) for n in (2, 3))
     sizes = Counter(g[:-1] for g in [*two, *three])
@@ -258,20 +198,76 @@ def test_language_model_of_all_ngrams(docs, monkeypatch):
         if len(gram) == 1:
             return (c[gram[0]] + 0.1) / (n + 0.1 * (v + 1))
         total = c[gram[0]] if len(gram) == 2 else two[gram[:2]]
-        if not total:
+        if not total or not sizes[gram[:-1]]:
             return p(gram[1:])
         seen = (two if len(gram) == 2 else three)[gram]
         return (seen - 0.75 if seen else 0) / total + 0.75 * sizes[gram[:-1]] / total * p(gram[1:])
 
-    monkeypatch.setattr(queries, "table", lambda *a: docs)
-    found = {r.doc_id: r.score for r in queries.op4_elias_fano_lm(docs.sparkSession, "").collect()}
-    for i, t in tok.items():
-        if len(t) < 200:
-            exact = sum(math.log10(p(tuple(t[max(0, k - 2) : k + 1]))) for k in range(1, len(t)))
-            assert abs(found[i] - exact) < 0.05 * len(t)
-    once = docs.sparkSession.createDataFrame([(0, "a b c d e f g h"), (1, "p q r s t u v w"), (-1, "a b c d e f g h"), (-2, "h g f e d c b a")], "doc_id long, text string")
-    same, other = (scored(once, F.col("doc_id") >= 0, least=1).filter(f"doc_id = {i}").first().score for i in (-1, -2))
-    assert same > other + 3
+    return c, p
+
+
+def plain_score(text, p):
+    t = [None, *WORD.findall(lowered(text)), None]
+    return sum(math.log10(p(tuple(t[max(0, k - 2) : k + 1]))) for k in range(1, len(t))), len(t) - 1
+
+
+def test_language_model(spark, docs, empty, monkeypatch):
+    """Every text, one of 30,000 words and a null doc_id too; segments of any size give the same scores."""
+    from kgspark.llm import queries
+    from kgspark.llm.language_model import is_training, scored
+
+    some = docs.union(docs.filter("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    monkeypatch.setattr(queries, "table", lambda *a: some)
+    text = {r.doc_id: r.text for r in some.collect()}
+    train = {i for i in text if zlib.crc32(str("" if i is None else i).encode()) % 10}
+    c, p = plain_model(text[i] for i in train)
+    every = {r.doc_id: r for r in queries.op4_elias_fano_lm(spark, "").collect()}
+    small = {r.doc_id: r.score for r in scored(some, is_training(F.col("doc_id")), segment_tokens=500).collect()}
+    assert set(every) == set(small) == set(text)
+    for i, r in every.items():
+        exact, n = plain_score(text[i], p)
+        t = [*WORD.findall(lowered(text[i])), None]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, sum(c[w] > 0 for w in t), sum(c.values()), i not in train)
+        assert math.isclose(r.base_score, sum(math.log10(p((w,))) for w in t), rel_tol=1e-9)
+        assert abs(r.score - exact) < 2e-4 * n and math.isclose(small[i], r.score, rel_tol=1e-9)
+    assert scored(empty, is_training(F.col("doc_id"))).count() == 0
+    assert [r.score for r in scored(docs.filter("doc_id < 2"), F.lit(False)).collect()] == [0.0, 0.0]
+
+
+def test_language_model_frequent_context(spark):
+    """A bigram and a word seen 1,000 times, over several ranges of keys: every successor counts in its total; a passage of one document counts as seen."""
+    from kgspark.llm.language_model import quantised, scored
+
+    texts = [f"aa bb {'kept' if i < 300 else f'once{i}'}" for i in range(1000)] + [f"aa {i} bb" for i in range(300)] + ["q r s t u v w"]
+    asked = {-1: "aa bb kept", -2: "aa bb once700 x", -3: "q r s t u v w", -4: "w v u t s r q", -5: "aa 7 bb"}
+    _, p = plain_model(texts)
+    d = spark.createDataFrame([*enumerate(texts), *asked.items()], "doc_id long, text string").repartition(4)
+    for size in (200, 2_000_000):
+        got = {r.doc_id: r.score for r in scored(d, F.col("doc_id") >= 0, segment_tokens=size).filter("doc_id < 0").collect()}
+        for i, text in asked.items():
+            exact, n = plain_score(text, p)
+            assert abs(got[i] - exact) < 2e-4 * n
+        assert got[-3] > got[-4] + 3
+    assert quantised(np.array([1e-12])).tolist() == [12 * 4096]
+
+
+def test_language_model_parts():
+    """Blobs are lossless; ranges ascend with the keys; a context goes on in the next segment."""
+    from kgspark.llm.language_model import Level, Segment, received, sent
+
+    r = np.random.default_rng(2)
+    for top in (5, 1 << 20, 1 << 61):
+        keys = np.unique(r.integers(0, top, 2000))
+        counts = r.integers(1, 70_000, len(keys))
+        assert all((a == b).all() for a, b in zip(received(sent(keys, counts)), (keys, counts), strict=True))
+    keys = np.array([1 * 100 + 4, 2 * 100 + 1, 2 * 100 + 50, 2 * 100 + 51, 7 * 100 + 0])
+    counts, p = np.array([1, 300, 1, 255, 2]), np.array([0.5, 0.1, 0.2, 1e-9, 1.0])
+    level = Level([np.frombuffer(Segment.coded(keys[a:b], counts[a:b], p[a:b], 100), np.uint8) for a, b in ((0, 2), (2, 3), (3, 5))], 100)
+    assert level.successors == 3 and level.counts_of(np.arange(5)).tolist() == counts.tolist()
+    rank, found = level.find(np.array([1, 2, 2, 2, 7, 7]), np.array([4, 1, 2, 51, -1, 0]))
+    assert rank.tolist() == [0, 1, -1, 3, -1, 4] and np.allclose(found, [0.5, 0.1, 0, 1e-9, 0, 1], rtol=3e-4, atol=0)
+    low, types = level.contexts(np.array([1, 2, 5, 7]))
+    assert types.tolist() == [1, 3, 0, 1] and low[[0, 1, 3]].tolist() == [0, 1, 4]
 
 
 def test_elias_fano():
