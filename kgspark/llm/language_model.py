@@ -24,19 +24,15 @@ token has probability 1 / (V + 1) = 1. A null doc_id counts as empty text for th
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
-from .shared import one_word_hash, pick, shared_folder, small_batches, utf8, word_hashes
+from .shared import Folder, one_word_hash, pick, shared_folder, small_batches, utf8, word_hashes
 
 ORDER, DISCOUNT, ADD = 3, 0.75, 0.1
 STEPS = 4096  # of a power of ten
@@ -67,33 +63,6 @@ def quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEPS), 0, 65535).astype("<u2")
 
 
-class Folder:
-    """Files of a shared folder, mapped into memory."""
-
-    def __init__(self, uri: str):
-        self.fs, self.path = fs.FileSystem.from_uri(uri)
-
-    def write(self, name: str, data: bytes) -> None:
-        top = f"{self.path}/{name}"
-        self.fs.create_dir(top.rsplit("/", 1)[0], recursive=True)
-        part = f"{top}.{uuid.uuid4().hex}.part"
-        with self.fs.open_output_stream(part) as f:
-            f.write(data)
-        self.fs.move(part, top)
-
-    def names(self, folder: str) -> list[str]:
-        found = self.fs.get_file_info(fs.FileSelector(f"{self.path}/{folder}", allow_not_found=True))
-        return sorted(f"{folder}/{x.base_name}" for x in found if not x.base_name.endswith(".part"))
-
-    def mapped(self, name: str) -> np.ndarray:
-        if isinstance(self.fs, fs.LocalFileSystem):
-            return np.memmap(f"{self.path}/{name}", np.uint8, "r").view(np.ndarray)
-        with tempfile.TemporaryFile() as f, self.fs.open_input_stream(f"{self.path}/{name}") as there:  # a copy without a name; it goes with the worker
-            shutil.copyfileobj(there, f)
-            f.flush()
-            return np.memmap(f, np.uint8, "r").view(np.ndarray)
-
-
 class Counts:
     """A byte for each count, and the exact ones of MANY and more with their places."""
 
@@ -391,7 +360,6 @@ def _code(table: pa.Table, folder: str, order: int) -> pa.Table:
 def train(docs: DataFrame, order: int = ORDER, segment_tokens: int = SEGMENT_TOKENS) -> str:
     """docs (text): the training texts. The folder that has a trie of all their n-grams up to `order`."""
     folder = shared_folder(docs.sparkSession)
-    folder = folder if folder.startswith("file:") or "://" in folder else f"file://{folder}"
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 + size // (16 * segment_tokens)
 

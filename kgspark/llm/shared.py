@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +65,33 @@ def maybe_in(rows: DataFrame, column: str, words: DataFrame) -> DataFrame:
     return out.withColumn("_maybe", hit).drop("_at", "_word", "_set")
 
 
+class Folder:
+    """Files in a shared folder that tasks write, each whole under its name, and map into memory: from there where it is mounted, else from a copy."""
+
+    def __init__(self, uri: str):
+        self.fs, self.path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+    def write(self, name: str, data: bytes) -> None:
+        top = f"{self.path}/{name}"
+        self.fs.create_dir(top.rsplit("/", 1)[0], recursive=True)
+        part = f"{top}.{uuid.uuid4().hex}.part"
+        with self.fs.open_output_stream(part) as f:
+            f.write(data)
+        self.fs.move(part, top)
+
+    def names(self, folder: str) -> list[str]:
+        found = self.fs.get_file_info(fs.FileSelector(f"{self.path}/{folder}", allow_not_found=True))
+        return sorted(f"{folder}/{x.base_name}" for x in found if not x.base_name.endswith(".part"))
+
+    def mapped(self, name: str) -> np.ndarray:
+        if isinstance(self.fs, fs.LocalFileSystem):
+            return np.memmap(f"{self.path}/{name}", np.uint8, "r").view(np.ndarray)
+        with tempfile.TemporaryFile() as f, self.fs.open_input_stream(f"{self.path}/{name}") as there:  # a copy without a name; it goes with the worker
+            shutil.copyfileobj(there, f)
+            f.flush()
+            return np.memmap(f, np.uint8, "r").view(np.ndarray)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all strings (null: empty) and their n+1 offsets, without copies where Arrow allows it."""
     if isinstance(column, pa.ChunkedArray):
