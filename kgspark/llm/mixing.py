@@ -2,8 +2,8 @@
 
 Of all rates of documents that give every source its target number of words, the wanted ones are closest (in relative entropy, each word
 counted) to the even rates 1. The dual of this problem is convex and separates by source: the rate is exp(multiplier of the source), the
-gradient words * exp(multiplier) - target, and words and gradient are sums over all documents. They are gathered once by source, with
-partial sums on the map side; then each step of Newton's method runs for all sources at once, distributed by source.
+gradient the sum of words * exp(multiplier) over its documents, less the target. Documents are first summed by source and by the beginning of a digest of
+their ids, on the map side; each step of Newton's method then sums gradient and Hessian over these sums, for all sources at once, until all constraints hold.
 
 Rates become whole copies: each document of a source gets the whole part; of the rest, documents in the order of a digest of their id
 take one copy more, as long as the source's need is not passed; up to FILLS further documents, each the largest that still fits, close
@@ -12,7 +12,7 @@ the gap. A source is described by its digest bound and these few documents, so t
 Targets: sources by code point (null last) weigh WEIGHTS, repeating, and share SHARE of all words; no target passes MOST times its source's
 words, what is above is reshared by weight.
 
-Null text has size 0. Null doc_ids are in order as empty ones; rows with equal source, doc_id and size take the same number of copies. A source without words has
+Null and empty texts have size 0; texts of any length count whole. Null doc_ids are in order as empty ones; rows with equal source, doc_id and size take the same number of copies. A source without words has
 target 0. An empty table gives no rows. Extra columns of the input are ignored by `mixed`, and kept by `repeated`.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import WORD, packed, pick, quoted, shared_folder, unpacked, written
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-NEWTON_STEPS, FILLS = 60, 3
+NEWTON_STEPS, PRECISION, FILLS = 60, 1e-9, 3
 #: Hexadecimal digits of the digest by which sizes are first summed.
 BUCKET_DIGITS = 3
 
@@ -43,25 +43,44 @@ def _order(doc_id: Column) -> Column:
     return F.concat(F.md5(d), d)
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def sums_before(rows: DataFrame, order: list[str], values: list[str], folder: str, name: str) -> DataFrame:
+    """The rows with `<value>_before` for each value: its sum over all rows that come before in the order. Rows are dealt by ranges of the order; only the ranges' sums meet in one task."""
+    dealt = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), folder, name)
+    ranges = dealt.groupBy("_range").agg(*(F.sum(v).alias(v) for v in values))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", *(F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_{v}") for v in values))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(ranges, "_range").select(*rows.columns, *((F.col(f"_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(f"{v}_before") for v in values))
+
+
+def targets(sizes: DataFrame, folder: str, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """sizes (src, source_size), a row for each source, with the target number of words of each."""
-    every = Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(every.orderBy("src"))
-    w = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int")))
+    w = sums_before(sizes.withColumn("one", F.lit(1)), ["src"], ["one"], folder, "ranks").drop("one")
+    w = w.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("one_before") % len(weights) + 1).cast("int")))
     w = w.withColumn("limit", most * F.col("source_size")).withColumn("level", F.col("limit") / F.col("weight"))
-    by = every.orderBy("level", "src")
-    before = F.coalesce(F.sum("limit").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    w = w.withColumn("water", (share * F.sum("source_size").over(every) - before) / rest)
+    w = written(sums_before(w, ["level", "src"], ["limit", "weight"], folder, "levels"), folder, "shares")
+    words, weight = w.agg(F.sum("source_size"), F.sum("weight")).first()
     # the first source whose own limit lies above the level at which it and all after it share what is left
-    w = w.withColumn("found", F.min(F.when(F.col("water") <= F.col("level"), F.struct("level", "src", "water"))).over(every)["water"])
-    return w.select("src", "source_size", F.least(F.col("limit"), F.col("weight") * F.coalesce("found", F.lit(float("inf")))).alias("target"))
+    water = (F.lit(share * (words or 0)) - F.col("limit_before")) / (F.lit(weight or 0.0) - F.col("weight_before"))
+    found = w.withColumn("water", water).filter("water <= level").agg(F.min(F.struct("level", "src", "water"))["water"]).first()[0]
+    return w.select("src", "source_size", F.least(F.col("limit"), F.col("weight") * F.lit(float("inf") if found is None else found)).alias("target"))
+
 
+def newton(units: DataFrame, targets: DataFrame, folder: str, steps: int = NEWTON_STEPS) -> DataFrame:
+    """units (src, unit): the words; targets (src, target). src, multiplier of the sources that have words and a target.
 
-def newton(words: Column, target: Column, steps: int = NEWTON_STEPS) -> Column:
-    """The source's multiplier: Newton's method on words * exp(x) - target * x, from 0."""
-    step = lambda x, _: x - (words * F.exp(x) - target) / (words * F.exp(x))
-    return F.when((words > 0) & (target > 0), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step))
+    A step sums the tilted words over all units: these less the target are the gradient, and, as no unit has two sources, the Hessian's
+    diagonal, which is all of it. It ends when no gradient is above PRECISION of its target.
+    """
+    x = written(targets.filter("target > 0 and source_size > 0").select("src", "target", F.lit(0.0).alias("multiplier")), folder, "dual0")
+    for k in range(steps):
+        tilted = units.join(x, "src").groupBy("src").agg(F.sum(F.col("unit") * F.exp("multiplier")).alias("hessian"))
+        new = x.join(tilted, "src").withColumn("gradient", F.col("hessian") - F.col("target"))
+        x = written(new.select("src", "target", (F.col("multiplier") - F.col("gradient") / F.col("hessian")).alias("multiplier"), (F.abs("gradient") / F.col("target")).alias("off")), folder, f"dual{k + 1}")
+        if (x.agg(F.max("off")).first()[0] or 0.0) < PRECISION:
+            break
+        x = x.drop("off")
+    return x.select("src", "multiplier")
 
 
 def source_plans(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -70,8 +89,8 @@ def source_plans(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: f
     units = docs.groupBy(_source(F.col("source")).alias("src"), _order(F.col("doc_id")).alias("ord"), "size").agg(F.count("*").alias("times"))
     units = written(units.select("src", "ord", "size", (F.col("size") * F.col("times")).alias("unit"), F.substring("ord", 1, BUCKET_DIGITS).alias("bucket")), folder, "sizes")
     buckets = written(units.groupBy("src", "bucket").agg(F.sum("unit").alias("unit")), folder, "buckets")
-    plans = targets(buckets.groupBy("src").agg(F.sum("unit").alias("source_size")), weights, share, most)
-    plans = plans.withColumn("multiplier", newton(F.col("source_size").cast("double"), F.col("target")))
+    plans = written(targets(buckets.groupBy("src").agg(F.sum("unit").alias("source_size")), folder, weights, share, most), folder, "targets")
+    plans = plans.join(newton(buckets, plans, folder), "src", "left")
     plans = plans.withColumn("whole", F.coalesce(F.floor(F.exp("multiplier") + 1e-9), F.lit(0)))
     plans = written(plans.withColumn("need", F.round(F.col("target") - F.col("whole") * F.col("source_size"), 6)), folder, "plans")
     run = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

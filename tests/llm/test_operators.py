@@ -148,6 +148,21 @@ def test_mixing(spark, docs, empty):
     assert mixed(equal).count() == 4
 
 
+def test_newton_against_closed_form(spark, tmp_path):
+    """The dual of one constraint for each source: the multiplier is the logarithm of target / words."""
+    from kgspark.llm.mixing import newton, sums_before
+
+    units = spark.createDataFrame([(f"s{i % 7}", i + 1) for i in range(200)] + [("none", 0)], "src string, unit long")
+    words = {r.src: r.w for r in units.groupBy("src").agg(F.sum("unit").alias("w")).collect()}
+    share = dict(zip(sorted(words), (2.0, 1e-4, 0.5, 1.0, 1.9, 0.01, 1.3, 0.0), strict=True))
+    targets = spark.createDataFrame([(s, w, share[s] * w) for s, w in words.items()], "src string, source_size long, target double")
+    got = {r.src: r.multiplier for r in newton(units, targets, str(tmp_path)).collect()}
+    assert set(got) == {s for s in words if words[s] and share[s]}
+    assert all(math.isclose(got[s], math.log(share[s]), abs_tol=1e-12) for s in got)
+    rows = spark.range(100).select(((F.col("id") * 37) % 100).alias("k"), F.lit(2).alias("v")).repartition(5)
+    assert all(r.v_before == 2 * r.k for r in sums_before(rows, ["k"], ["v"], str(tmp_path), "sums").collect())
+
+
 def test_lines(docs, empty):
     from kgspark.llm.line_dedup import within, without_repeated_lines
 
