@@ -42,8 +42,8 @@ def dense(sparse: DataFrame, docs: DataFrame, key: str = "uri", dims: int = 64)
     return docs.select(key).join(m, key, "left").select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value).alias("vector"))
 
 
-def embed_with(docs: DataFrame, embed: Callable[[list[str]], list[list[float]]], key: str = "uri", batch: int = 64, parallel: int | None = None) -> DataFrame:
-    """key, vector by a user's function on up to `batch` texts a call, in order; `parallel` bounds the calls at a time."""
+def embed_with(docs: DataFrame, embed: Callable[[list[str]], list[list[float]]], key: str = "uri", batch: int = 64, parallel: int | None = None, limit: int | None = None) -> DataFrame:
+    """key, vector by a user's function on up to `batch` texts a call, in order; `parallel` bounds the calls at a time, `limit` the characters of a text (all, unless given): cut long texts into chunks first where the function has a limit."""
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
@@ -51,7 +51,7 @@ def embed_with(docs: DataFrame, embed: Callable[[list[str]], list[list[float]]],
             yield pd.Series([v for k in range(0, len(texts), batch) for v in embed(texts[k : k + batch])], dtype=object)
 
     rows = docs.repartition(parallel) if parallel else docs
-    return rows.select(key, F.pandas_udf(run, "array<float>")(F.substring("text", 1, 2048)).alias("vector"))
+    return rows.select(key, F.pandas_udf(run, "array<float>")(F.substring("text", 1, limit) if limit else F.col("text")).alias("vector"))
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "chunk_id") -> DataFrame:

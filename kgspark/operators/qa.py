@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import question_keywords
@@ -11,16 +11,26 @@ from .graph import both_ways, is_entity
 HITS, BUDGET = 6, 30
 
 
+def _grams(c: Column, n: int) -> Column:
+    """All runs of n characters."""
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def qa_entities(questions: DataFrame, nodes: DataFrame, hits: int = HITS) -> DataFrame:
     """question_id, rank, uri, label, keyword: up to `hits` nodes by label for each keyword; the first keyword keeps a node.
 
-    Labels are looked at once each: distinct keywords, a few for each question of a stated set, meet distinct labels.
+    Keywords meet labels by a join on runs of three characters (of two, for keywords of two): each keyword by that of its runs which the fewest labels have.
+    Labels that hold it are looked at once each, and every task sends on the first `hits` of a keyword only.
     """
     words = questions.select("question_id", F.posexplode(question_keywords(F.col("question"))).alias("k", "keyword"))
-    by = Window.partitionBy("keyword").orderBy("label", "uri")
     terms = words.select("keyword").distinct()
-    found = nodes.filter(is_entity(F.col("uri"))).select("uri", "label").join(F.broadcast(terms), F.contains(F.lower("label"), F.col("keyword")))
-    found = found.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= hits)
+    terms = terms.select("keyword", F.explode(F.array_distinct(F.when(F.length("keyword") == 2, F.array("keyword")).otherwise(_grams(F.col("keyword"), 3)))).alias("gram"))
+    low = F.lower("label")
+    labels = nodes.filter(is_entity(F.col("uri"))).select("uri", "label", F.explode(F.array_distinct(F.concat(_grams(low, 2), _grams(low, 3)))).alias("gram"))
+    counts = labels.join(terms.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = terms.join(counts, "gram", "left").groupBy("keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram"))["gram"].alias("gram"))
+    found = labels.join(rarest, "gram").filter(F.contains(F.lower("label"), F.col("keyword"))).select("keyword", "uri", "label")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("keyword").orderBy("label", "uri"))).filter(F.col("place") <= hits)
     rows = words.join(found, "keyword")
     one = rows.withColumn("rn", F.row_number().over(Window.partitionBy("question_id", "uri").orderBy("k"))).filter("rn = 1")
     return one.select("question_id", F.row_number().over(Window.partitionBy("question_id").orderBy("k", "label", "uri")).alias("rank"), "uri", "label", "keyword")
@@ -45,15 +55,20 @@ def qa_evidence(entities: DataFrame, relations: DataFrame, evidence: DataFrame)
     return ids.join(evidence.filter(~F.col("status").isin("stale", "purged")), "graph_item_id")
 
 
-def qa_candidates(questions: DataFrame, items: DataFrame, batches: DataFrame) -> DataFrame:
-    """For questions that ask for candidates: items with a keyword, of batches that aren't committed, without rejected ones."""
-    words = questions.filter("include_candidates").select("question_id", F.explode(question_keywords(F.col("question"))).alias("keyword"))
-    open_ = items.filter("status <> 'rejected' and kind = 'node'").join(batches.filter("status <> 'committed'").select(F.col("id").alias("batch_id")), "batch_id")
-    hit = F.contains(F.lower("payload.label"), F.col("keyword"))
-    return open_.join(F.broadcast(words), hit).select("question_id", F.col("id").alias("item_id"), F.col("payload.label").alias("label"), "status").distinct()
+def qa_candidates(items: DataFrame, batches: DataFrame) -> DataFrame:
+    """Of every batch that isn't committed, all items that aren't rejected, nodes and edges: batch_id, source_uri, batch_status, item_id, kind, payload, status.
+
+    The same rows are the context of every question that asks for candidates (qa_candidate_questions), so they stand here once.
+    """
+    open_ = batches.filter("status <> 'committed'").select(F.col("id").alias("batch_id"), "source_uri", F.col("status").alias("batch_status"))
+    return items.filter("status <> 'rejected'").join(open_, "batch_id").select("batch_id", "source_uri", "batch_status", F.col("id").alias("item_id"), "kind", "payload", "status")
+
+
+def qa_candidate_questions(questions: DataFrame) -> DataFrame:
+    return questions.filter("include_candidates").select("question_id")
 
 
-def qa_context(questions: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> dict[str, DataFrame]:
+def qa_context(questions: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, items: DataFrame, batches: DataFrame) -> dict[str, DataFrame]:
     entities = qa_entities(questions, nodes)
     relations = qa_relations(entities, edges)
-    return {"entities": entities, "relations": relations, "evidence": qa_evidence(entities, relations, evidence)}
+    return {"entities": entities, "relations": relations, "evidence": qa_evidence(entities, relations, evidence), "candidates": qa_candidates(items, batches), "candidate_questions": qa_candidate_questions(questions)}

@@ -58,8 +58,8 @@ SELECT uri, cast(chunk_index AS int) AS chunk_index, cast(pos AS int) AS pos, id
 SELECT uri, cast(chunk_index AS int) AS chunk_index, cast(pos AS int) AS pos, source, target, relation FROM (
   SELECT 'order://' || cast(l_orderkey AS string) AS uri, l_linenumber AS chunk_index, l_partkey AS pos, 'part_' || cast(l_partkey % 20 AS string) AS source, 'part_' || cast(l_suppkey % 20 AS string) AS target, 'NEAR' AS relation,
          row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_suppkey, l_shipdate) AS rn FROM {lineitem}) a WHERE rn = 1""",
-    "segments": "SELECT 'conv://' || cast(conv_id AS string) AS uri, cast(turn AS int) AS chunk_index, CASE WHEN turn = 0 THEN ' ' ELSE substring(text, 1, 80) END AS summary, cast((turn * 7 + conv_id) % 10 AS double) / 10 AS confidence FROM {conversations}",
-    "questions": "SELECT item_id AS question_id, CASE item_id % 4 WHEN 0 THEN 'What is part 12 of the green order?' WHEN 1 THEN 'customer#000000001 nation' WHEN 2 THEN 'Which supplier, where: supplier#000000002!' ELSE substring(text, 1, 60) END AS question, item_id % 2 = 0 AS include_candidates FROM {benchmark}",
+    "segments": "SELECT 'conv://' || cast(conv_id AS string) AS uri, cast(turn AS int) AS chunk_index, CASE WHEN turn = 0 THEN ' ' ELSE text END AS summary, cast((turn * 7 + conv_id) % 10 AS double) / 10 AS confidence FROM {conversations}",
+    "questions": "SELECT item_id AS question_id, CASE item_id % 4 WHEN 0 THEN 'What is part 12 of the green order?' WHEN 1 THEN 'customer#000000001 nation' WHEN 2 THEN 'Which supplier, where: supplier#000000002!' ELSE text END AS question, item_id % 2 = 0 AS include_candidates FROM {benchmark}",
     "vectors": "SELECT vec_id AS chunk_id, cast(label AS string) AS uri, embedding AS vector FROM {embeddings}",
     "vector_queries": "SELECT vec_id AS query_id, embedding AS vector FROM {embeddings} WHERE vec_id < 20",
     "stated_queries": "SELECT vec_id AS query_id, embedding AS vector FROM {embeddings} WHERE vec_id % 100 = 0",

@@ -172,7 +172,7 @@ UNION ALL SELECT 'alert', 'stale_evidence', n FROM (SELECT count(*) AS n FROM {e
         lambda t: lc.stale_report(t.evidence).select("source_uri", "stale", "purged", F.array_join("rows.id", ",").alias("ids")),
         "SELECT source_uri, count(*) FILTER (WHERE status = 'stale') AS stale, count(*) FILTER (WHERE status = 'purged') AS purged, string_agg(id, ',' ORDER BY id) AS ids FROM {evidence} WHERE status IN ('stale', 'purged') GROUP BY 1",
     ),
-    "list_evidence": (lambda t: t.evidence.filter("source_uri like '%2' and graph_item_id like 'node%'").orderBy("created_at", "id").select("id", "status"), "SELECT id, status FROM {evidence} WHERE source_uri LIKE '%2' AND graph_item_id LIKE 'node%'"),
+    "list_evidence": (lambda t: t.evidence.filter("source_uri like '%0' and graph_item_id like 'node%'").orderBy("created_at", "id").select("id", "status"), "SELECT id, status FROM {evidence} WHERE source_uri LIKE '%0' AND graph_item_id LIKE 'node%'"),
     "distinct_sources": (lambda t: lc.distinct_sources(t.evidence), "SELECT DISTINCT source_uri AS uri FROM {evidence}"),
     "inventory_diff": (
         lambda t: lc.inventory_diff(t.docs, some(t)),

@@ -56,23 +56,22 @@ def tags(t: Tables):
     return t.entities.select("uri", "chunk_index", "pos", F.when(F.col("pos") % 2 == 0, F.col("label")).otherwise(F.upper("label")).alias("tag"))
 
 
-def unit(t: Tables, every: bool = False):
-    """All vectors, or those that the SQL of the three small queries states."""
-    return (t.vectors if every else t.vectors.filter("chunk_id < 400")).select(F.col("uri").alias("block"), F.col("chunk_id").alias("id"), "vector")
+def unit(t: Tables):
+    return t.vectors.select(F.col("uri").alias("block"), F.col("chunk_id").alias("id"), "vector")
 
 
-PAIRS = "(SELECT x.chunk_id AS a, y.chunk_id AS b, list_cosine_similarity(x.vector::DOUBLE[], y.vector::DOUBLE[]) AS s FROM {vectors} x JOIN {vectors} y ON x.uri = y.uri AND x.chunk_id < y.chunk_id WHERE x.chunk_id < 400 AND y.chunk_id < 400 AND list_cosine_similarity(x.vector::DOUBLE[], y.vector::DOUBLE[]) >= 0.3)"
-CLUSTERS = f"""WITH RECURSIVE p AS (SELECT a, b FROM {PAIRS} q), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), n AS (SELECT chunk_id AS id FROM {{vectors}} WHERE chunk_id < 400),
+PAIRS = "(SELECT x.chunk_id AS a, y.chunk_id AS b, list_cosine_similarity(x.vector::DOUBLE[], y.vector::DOUBLE[]) AS s FROM {vectors} x JOIN {vectors} y ON x.uri = y.uri AND x.chunk_id < y.chunk_id WHERE list_cosine_similarity(x.vector::DOUBLE[], y.vector::DOUBLE[]) >= 0.3)"
+CLUSTERS = f"""WITH RECURSIVE p AS (SELECT a, b FROM {PAIRS} q), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), n AS (SELECT chunk_id AS id FROM {{vectors}}),
 reach(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other), c AS (SELECT id, min(other) AS cluster FROM reach GROUP BY id)"""
 
 
-def pairs(t: Tables, every: bool = False):
-    return vx.similar_pairs(unit(t, every), "block", "id", 0.3)
+def pairs(t: Tables):
+    return vx.similar_pairs(unit(t), "block", "id", 0.3)
 
 
-def canonical(t: Tables, every: bool = False):
-    e = unit(t, every).select("id", F.col("id").alias("pos"), ((F.col("id") * 7) % 10 / 10).alias("confidence"))
-    return mg.canonical_entities(e, mg.entity_clusters(unit(t, every), pairs(t, every)))
+def canonical(t: Tables):
+    e = unit(t).select("id", F.col("id").alias("pos"), ((F.col("id") * 7) % 10 / 10).alias("confidence"))
+    return mg.canonical_entities(e, mg.entity_clusters(unit(t), pairs(t)))
 
 
 def responses(t: Tables):
@@ -107,8 +106,27 @@ def edge_extract(t: Tables):
     return ex.extract_with(prompts, lambda p: '{"summary": "%d", "tags": [], "entities": [], "relations": [], "key_points": []}' % len(p))
 
 
+PROMPT = "'List the entities and relations in the text as JSON.' || chr(10) || '- Topic: A word' || chr(10) || '- NEAR' || chr(10) || 'Rules: '"
+#: Segments of a table of texts, of 8000 characters every 7600.
+SEGMENTS = "(SELECT uri, i AS chunk_index, substr(text, i * 7600 + 1, 8000) AS text FROM (SELECT {key} AS uri, text, unnest(generate_series(0, CASE WHEN length(text) <= 8000 THEN 0 ELSE ceil((length(text) - 8000) / 7600)::BIGINT END)) AS i FROM {table} WHERE length(text) > 0) a)"
+
 TABLES = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "benchmark": ["item_id"]}
 COLUMNS = {"region": "r_regionkey,r_name", "nation": "n_nationkey,n_name,n_regionkey", "customer": "c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment", "supplier": "s_suppkey,s_name,s_nationkey,s_acctbal", "part": "p_partkey,p_name,p_brand,p_type,p_size,p_retailprice", "benchmark": "item_id,text"}
+FIELDS = "(SELECT table_name AS sheet, column_name AS field FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{n}'" for n in TABLES) + "))"
+
+#: Keywords of the questions (k from 0), and the entities, relations and evidence that they lead to.
+KEYWORDS = f"(WITH w AS (SELECT question_id, generate_subscripts(l, 1) AS pos, unnest(l) AS keyword FROM (SELECT question_id, regexp_split_to_array(lower(question), '[\\s,，。？?！!、；;：:「」【】()（）]+') AS l FROM {{questions}}) a), d AS (SELECT question_id, keyword, min(pos) AS pos FROM w WHERE length(keyword) >= 2 AND keyword NOT IN ({', '.join(repr(x) for x in tx.STOP)}) GROUP BY 1, 2) SELECT question_id, k, keyword FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos) - 1 AS k FROM d) x WHERE k < 5)"
+QA_ENTITIES = f"""(WITH kw AS {KEYWORDS}, found AS (SELECT * FROM (SELECT keyword, uri, label, row_number() OVER (PARTITION BY keyword ORDER BY label, uri) AS place FROM (SELECT DISTINCT keyword FROM kw) t JOIN {{nodes}} n ON uri LIKE 'entity://%' AND contains(lower(label), keyword)) x WHERE place <= 6),
+one AS (SELECT * FROM (SELECT question_id, k, kw.keyword, uri, label, row_number() OVER (PARTITION BY question_id, uri ORDER BY k) AS rn FROM kw JOIN found ON found.keyword = kw.keyword) y WHERE rn = 1)
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY k, label, uri) AS rank, uri, label, keyword FROM one)"""
+QA_RELATIONS = f"""(WITH e AS {QA_ENTITIES}, b AS (SELECT src_uri AS uri, dst_uri AS other, * FROM {{edges}} UNION ALL SELECT dst_uri, src_uri, * FROM {{edges}} WHERE src_uri <> dst_uri),
+t AS (SELECT question_id, rank, other, id, src_uri, dst_uri, relation, layer FROM e JOIN b ON b.uri = e.uri),
+f AS (SELECT question_id, other, min(rank) AS rank FROM t WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.question_id = t.question_id AND e.uri = t.other) GROUP BY 1, 2),
+s AS (SELECT e.question_id, e.rank, count(f.other) AS fresh FROM e LEFT JOIN f ON f.question_id = e.question_id AND f.rank = e.rank GROUP BY 1, 2),
+o AS (SELECT * FROM (SELECT question_id, rank, coalesce(sum(fresh) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM s) x WHERE spent < 30)
+SELECT DISTINCT t.question_id, id, src_uri, dst_uri, relation, layer FROM t JOIN o ON o.question_id = t.question_id AND o.rank = t.rank)"""
+QA_EVIDENCE = f"""(WITH i AS (SELECT question_id, uri FROM {QA_ENTITIES} a UNION SELECT question_id, unnest([src_uri, dst_uri]) FROM {QA_RELATIONS} b)
+SELECT question_id, e.id, e.graph_item_id, e.status FROM i JOIN {{evidence}} e ON e.graph_item_id = 'node:' || substr(i.uri, 10) WHERE i.uri LIKE 'entity://%' AND e.status NOT IN ('stale', 'purged'))"""
 
 QUERIES = {
     "file_gate": (
@@ -124,8 +142,8 @@ QUERIES = {
         "SELECT url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, '' AS \"user\", coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1), ''), '/') AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query, url LIKE 'https://%' AS valid FROM {pages}",
     ),
     "document_content": (
-        lambda t: contents(t).withColumn("text", F.substring("text", 1, 20)),
-        "SELECT uri, CASE WHEN parsed_text_key IS NULL THEN 404 WHEN parsed_text_key LIKE 'cloudreve%' THEN 410 WHEN parsed_text_key LIKE 'ftp%' THEN 422 WHEN doc_id % 12 = 3 THEN 502 ELSE 200 END AS status, CASE WHEN parsed_text_key LIKE 's3%' AND doc_id % 12 <> 3 THEN 's3' END AS source, CASE WHEN parsed_text_key LIKE 's3%' AND doc_id % 12 <> 3 THEN substr(text, 1, 20) END AS text FROM {docs} UNION ALL SELECT 'none', 404, NULL, NULL",
+        contents,
+        "SELECT uri, CASE WHEN parsed_text_key IS NULL THEN 404 WHEN parsed_text_key LIKE 'cloudreve%' THEN 410 WHEN parsed_text_key LIKE 'ftp%' THEN 422 WHEN doc_id % 12 = 3 THEN 502 ELSE 200 END AS status, CASE WHEN parsed_text_key LIKE 's3%' AND doc_id % 12 <> 3 THEN 's3' END AS source, CASE WHEN parsed_text_key LIKE 's3%' AND doc_id % 12 <> 3 THEN text END AS text FROM {docs} UNION ALL SELECT 'none', 404, NULL, NULL",
     ),
     "document_content_whole": (
         lambda t: contents(t).select("uri", "status", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), F.md5("text").alias("hash")),
@@ -141,8 +159,14 @@ QUERIES = {
         lambda t: tb.table_structural_summary({n: (getattr(t, n), k) for n, k in TABLES.items()}).select("name", "n_rows", "n_cols", "columns"),
         " UNION ALL ".join(f"SELECT '{n}' AS name, (SELECT count(*) FROM {{{n}}}) AS n_rows, {len(c.split(','))} AS n_cols, '{c.replace(',', ' | ')}' AS columns" for n, c in COLUMNS.items()),
     ),
-    "tabular_schema_graph": (lambda t: tb.tabular_schema_graph({n: getattr(t, n) for n in TABLES}, "Shop")[0], None),
-    "tabular_schema_relations": (lambda t: tb.tabular_schema_graph({n: getattr(t, n) for n in TABLES}, "Shop")[1], None),
+    "tabular_schema_graph": (
+        lambda t: tb.tabular_schema_graph({n: getattr(t, n) for n in TABLES}, "Shop")[0].select("id", "label", "type"),
+        f"SELECT 'dataset_shop' AS id, 'Shop' AS label, 'Dataset' AS type UNION ALL SELECT DISTINCT 'sheet_' || sheet, sheet, 'Sheet' FROM {FIELDS} f UNION ALL SELECT 'field_' || sheet || '_' || field, field, 'Field' FROM {FIELDS} f",
+    ),
+    "tabular_schema_relations": (
+        lambda t: tb.tabular_schema_graph({n: getattr(t, n) for n in TABLES}, "Shop")[1],
+        f"SELECT 'dataset_shop' AS source, 'field_' || sheet || '_' || field AS target, 'HAS_FIELD' AS relation FROM {FIELDS} f UNION ALL SELECT 'field_' || sheet || '_' || field, 'sheet_' || sheet, 'BELONGS_TO_SHEET' FROM {FIELDS} f",
+    ),
     "classification_scores": (
         lambda t: cl.category_scores(docs(t), cl.keyword_table(t.spark)).select("uri", "category", "score"),
         f"SELECT uri, category, sum(weight)::DOUBLE AS score FROM {{docs}} JOIN (VALUES {_words()}) k(ordinal, category, field, keyword, weight) ON contains(CASE WHEN field = 'filename' THEN lower(filename) ELSE lower(substr(text, 1, 600)) END, keyword) GROUP BY 1, 2",
@@ -201,9 +225,6 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS chunk_i
         canonical,
         f"{CLUSTERS}, b AS (SELECT cluster, min(struct_pack(c := -((id * 7) % 10 / 10), id := id)).id AS canonical FROM c GROUP BY cluster) SELECT id, canonical FROM c JOIN b USING (cluster)",
     ),
-    "similar_pairs_all": (lambda t: pairs(t, True).select("a", "b", F.round("similarity", 4).alias("similarity")), None),
-    "entity_clusters_all": (lambda t: mg.entity_clusters(unit(t, True), pairs(t, True)), None),
-    "canonical_entities_all": (lambda t: canonical(t, True), None),
     "remap_endpoints": (
         lambda t: mg.remap_endpoints(t.relations, t.spark.createDataFrame([(f"part_{k}", f"part_{k - k % 2}") for k in range(20)], "id string, canonical string"), mg.dedup_entities(ents(t))).select("uri", "source", "target"),
         f"SELECT DISTINCT uri, source, target FROM (SELECT uri, 'part_' || (k1 - k1 % 2)::VARCHAR AS source, 'part_' || (k2 - k2 % 2)::VARCHAR AS target FROM (SELECT uri, substr(source, 6)::INT AS k1, substr(target, 6)::INT AS k2 FROM {{relations}}) a) r WHERE EXISTS (SELECT 1 FROM {DEDUP} e WHERE e.uri = r.uri AND e.id = r.source) AND EXISTS (SELECT 1 FROM {DEDUP} e WHERE e.uri = r.uri AND e.id = r.target)",
@@ -212,8 +233,12 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS chunk_i
         lambda t: vx.hashed_embedding(t.docs).select("uri", "bucket", F.round("value", 6).alias("value")),
         "WITH w AS (SELECT uri, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_-]+')) AS w FROM {docs}), s AS (SELECT uri, (('0x' || substr(sha256(w), 1, 8))::BIGINT % 64)::INT AS bucket, CASE WHEN ('0x' || substr(sha256(w), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign FROM w), v AS (SELECT uri, bucket, sum(sign)::DOUBLE AS v FROM s GROUP BY 1, 2 HAVING sum(sign) <> 0) SELECT uri, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY uri)), 6) AS value FROM v",
     ),
-    "embed_with": (lambda t: vx.embed_with(t.docs, lambda texts: [[float(len(x)), 1.0] for x in texts]).select("uri", F.element_at("vector", 1).cast("double").alias("value")), "SELECT uri, length(substr(text, 1, 2048))::DOUBLE AS value FROM {docs}"),
+    "embed_with": (lambda t: vx.embed_with(t.docs, lambda texts: [[float(len(x)), 1.0] for x in texts]).select("uri", F.element_at("vector", 1).cast("double").alias("value")), "SELECT uri, length(text)::DOUBLE AS value FROM {docs}"),
     "cosine": (lambda t: t.vectors.join(F.broadcast(t.vector_queries.filter("query_id = 3").select(F.col("vector").alias("q"))), F.lit(True)).select("chunk_id", F.round(vx.cosine(F.col("vector"), F.col("q")), 4).alias("value")), "SELECT chunk_id, round(list_cosine_similarity(vector::DOUBLE[], (SELECT vector::DOUBLE[] FROM {vector_queries} WHERE query_id = 3)), 4) AS value FROM {vectors}"),
+    "dot": (
+        lambda t: t.vectors.join(F.broadcast(t.vector_queries.filter("query_id = 3").select(F.col("vector").alias("q"))), F.lit(True)).select("chunk_id", F.round(vx.dot(F.col("vector"), F.col("q")), 4).alias("value")),
+        "SELECT chunk_id, round(list_dot_product(vector::DOUBLE[], (SELECT vector::DOUBLE[] FROM {vector_queries} WHERE query_id = 3)), 4) AS value FROM {vectors}",
+    ),
     "vector_search": (
         lambda t: vx.vector_search(t.vectors, t.vector_queries).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank")),
         "SELECT query_id, chunk_id, round(s, 4) AS score, rank FROM (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, list_dot_product(q.vector::DOUBLE[], v.vector::DOUBLE[]) AS s FROM {vector_queries} q, {vectors} v) a) b WHERE rank <= 5",
@@ -222,18 +247,27 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS chunk_i
         lambda t: vx.vector_search(t.vectors, t.stated_queries).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank")),
         "SELECT query_id, chunk_id, round(s, 4) AS score, rank FROM (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, list_dot_product(q.vector::DOUBLE[], v.vector::DOUBLE[]) AS s FROM {stated_queries} q, {vectors} v) a) b WHERE rank <= 5",
     ),
-    "parse_responses": (lambda t: ex.parse_responses(responses(t))[0].select("uri", F.substring("parsed.summary", 1, 50).alias("summary"), F.element_at("parsed.entities", 1)["label"].alias("label")), "SELECT doc_id::VARCHAR AS uri, substr(text, 1, 50) AS summary, 'Word ' || (doc_id % 7)::VARCHAR AS label FROM {documents} WHERE doc_id % 4 < 3"),
+    "parse_responses": (lambda t: ex.parse_responses(responses(t))[0].select("uri", "parsed.summary", F.element_at("parsed.entities", 1)["label"].alias("label")), "SELECT doc_id::VARCHAR AS uri, text AS summary, 'Word ' || (doc_id % 7)::VARCHAR AS label FROM {documents} WHERE doc_id % 4 < 3"),
     "parse_responses_whole": (lambda t: ex.parse_responses(responses(t))[0].select("uri", F.length("parsed.summary").cast("long").alias("n"), F.md5("parsed.summary").alias("hash")), "SELECT doc_id::VARCHAR AS uri, length(text) AS n, md5(text) AS hash FROM {documents} WHERE doc_id % 4 < 3"),
     "bad_responses": (lambda t: ex.parse_responses(responses(t))[1].select("uri"), "SELECT doc_id::VARCHAR AS uri FROM {documents} WHERE doc_id % 4 = 3"),
     "normalize_responses": (lambda t: ex.normalize_responses(ex.parse_responses(responses(t))[0])["entities"].select("uri", "id", "label", "type"), "SELECT doc_id::VARCHAR AS uri, 'topic_word_' || (doc_id % 7)::VARCHAR AS id, 'Word ' || (doc_id % 7)::VARCHAR AS label, 'Topic' AS type FROM {documents} WHERE doc_id % 4 < 3"),
-    "build_prompts": (lambda t: ex.build_prompts(tx.segment_text(t.docs, threshold=8000), [("Topic", "A word")], ["NEAR"], "Be short").select("uri", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("prompt").cast("long").alias("n")), None),
-    "extract_with": (edge_extract, None),
+    "build_prompts": (lambda t: ex.build_prompts(tx.segment_text(t.docs, threshold=8000), [("Topic", "A word")], ["NEAR"], "Be short").select("uri", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("prompt").alias("hash")), f"SELECT uri, chunk_index, md5({PROMPT} || 'Be short' || chr(10) || 'Text:' || chr(10) || text) AS hash FROM {SEGMENTS.format(table='{docs}', key='uri')} s"),
+    "extract_with": (
+        lambda t: edge_extract(t).select("uri", F.col("chunk_index").cast("long").alias("chunk_index"), "content", "error"),
+        f"""SELECT uri, chunk_index, '{{"summary": "' || length({PROMPT} || 'Be short' || chr(10) || 'Text:' || chr(10) || text)::VARCHAR || '", "tags": [], "entities": [], "relations": [], "key_points": []}}' AS content, NULL::VARCHAR AS error FROM {SEGMENTS.format(table='{documents}', key='doc_id::VARCHAR')} s""",
+    ),
     "summarize_with": (lambda t: ex.summarize_with(t.segments, lambda xs: str(len(xs))), "SELECT uri, CASE WHEN count(*) > 1 THEN count(*)::VARCHAR ELSE min(summary) END AS summary FROM {segments} WHERE trim(summary) <> '' GROUP BY uri"),
     "rule_extraction": (lambda t: ex.rule_extraction(t.docs)[0], "SELECT uri, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS summary FROM {docs}"),
-    "qa_entities": (lambda t: qa.qa_entities(t.questions, t.nodes), None),
-    "qa_relations": (lambda t: qa.qa_relations(qa.qa_entities(t.questions, t.nodes), t.edges), None),
-    "qa_evidence": (lambda t: qa.qa_context(t.questions, t.nodes, t.edges, t.evidence)["evidence"], None),
-    "qa_candidates": (lambda t: qa.qa_candidates(t.questions, t.items, t.batches), None),
+    "qa_entities": (lambda t: qa.qa_entities(t.questions, t.nodes).withColumn("rank", F.col("rank").cast("long")), f"SELECT * FROM {QA_ENTITIES} q"),
+    "qa_relations": (lambda t: qa.qa_relations(qa.qa_entities(t.questions, t.nodes), t.edges), f"SELECT * FROM {QA_RELATIONS} q"),
+    "qa_evidence": (lambda t: qa.qa_context(t.questions, t.nodes, t.edges, t.evidence, t.items, t.batches)["evidence"].select("question_id", "id", "graph_item_id", "status"), f"SELECT * FROM {QA_EVIDENCE} q"),
+    "qa_candidates": (
+        lambda t: qa.qa_candidates(t.items, t.batches).select("batch_id", "source_uri", "batch_status", "item_id", "kind", F.col("payload.label").alias("label"), "status"),
+        "SELECT batch_id, source_uri, b.status AS batch_status, i.id AS item_id, kind, p_label AS label, i.status FROM {flat_items} i JOIN {batches} b ON b.id = batch_id WHERE b.status <> 'committed' AND i.status <> 'rejected'",
+    ),
+    "qa_candidate_questions": (lambda t: qa.qa_candidate_questions(t.questions), "SELECT question_id FROM {questions} WHERE include_candidates"),
     "match_templates": (lambda t: template_matches(t)[0].select("doc_id", "template_id", F.round("score", 4).alias("score"), "rank"), None),
     "merge_ontologies": (lambda t: tp.merge_ontologies(*template_matches(t))[0].select("doc_id", "rank", "concept", "description"), None),
 }
+#: The same queries under the names that they had when the first ones read less.
+QUERIES |= {f"{name}_all": QUERIES[name] for name in ("similar_pairs", "entity_clusters", "canonical_entities")}

@@ -178,10 +178,10 @@ def test_similar_pairs_of_all_vectors(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, v, b) for i, (v, b) in enumerate(zip(x.tolist(), label, strict=True))], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     want = {(i, j): float(x[i] @ x[j]) for i in range(450) for j in range(i + 1, 450) if label[i] == label[j] and x[i] @ x[j] >= 0.3}
-    got = plans.QUERIES["similar_pairs_all"](spark, str(tmp_path)).collect()
+    got = plans.QUERIES["similar_pairs"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and all(abs(want[r.a, r.b] - r.similarity) < 1e-4 for r in got) and max(b for _, b in want) > 400
-    assert {r.id for r in plans.QUERIES["entity_clusters_all"](spark, str(tmp_path)).collect()} == set(range(450))
-    assert plans.QUERIES["canonical_entities_all"](spark, str(tmp_path)).count() == 450
+    assert {r.id for r in plans.QUERIES["entity_clusters"](spark, str(tmp_path)).collect()} == set(range(450))
+    assert plans.QUERIES["canonical_entities"](spark, str(tmp_path)).count() == 450
 
 
 def test_all_documents_are_matched_and_extracted(spark, tmp_path):
