@@ -39,6 +39,8 @@ STEPS = 4096  # of a power of ten
 MANY = 255  # counts from here on are stored apart
 #: Tokens of the training texts that a segment stands for, about; and that a task holds before it sends their counts on.
 SEGMENT_TOKENS = 2_000_000
+#: Bytes of text that are looked up together, in the order of keys: more find each other's pages, and repeated n-grams are looked up once.
+STEP = 4 << 20
 END = one_word_hash(b"\x00end of text") >> 1  # a word can hold this only with a byte 0 and spaces
 SCHEMA = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -310,7 +312,7 @@ def _count(batches: Iterator[pa.RecordBatch], folder: str, order: int, first_ran
     """n-grams of the level `order`: context * successors + successor, and counts; at level 1 the hashes. By ranges of keys."""
 
     def parts() -> Iterator[np.ndarray]:
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", STEP):
             h, starts = tokens(*utf8(b.column(b.schema.get_field_index("text"))))
             if order > 1:
                 t = trie(folder, order - 1)
@@ -377,7 +379,7 @@ def train(docs: DataFrame, order: int = ORDER, segment_tokens: int = SEGMENT_TOK
 
 
 def _score(batches: Iterator[pa.RecordBatch], folder: str, order: int) -> Iterator[pa.RecordBatch]:
-    for b in small_batches(batches, "text"):
+    for b in small_batches(batches, "text", STEP):
         h, starts = tokens(*utf8(b.column(2)))
         n, t = np.diff(starts), trie(folder, order)
         if t.levels:
