@@ -20,13 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filter_words, maybe_in, packed, quoted, shared_folder, unpacked, written
+from .shared import maybe_in, packed, quoted, shared_folder, unpacked, written
 
 EDITS, SHORTEST = 2, 20
 #: Disjoint classes of characters, whose counts bound the edit distance from below.
 CLASSES = ("eE", "tT", "aA", "oO", "nN", "iI", "hH", "sS", "rR", "dD", "lL", "uU", "gG", "bB", "wW", "fF", "cC", "pP", "mM", "vV", "yY", "kK", " ", ",", ".", "éÉèÈêÊ", "äÄöÖüÜß", "áíóúñ", "0123", "456789")
-#: Documents with lines that go, and such lines, up to which they are sent to all tasks; beyond, texts are joined by id.
-SENT_DOCUMENTS, SENT_LINES = 500_000, 4_000_000
 
 
 def places(t: int) -> list[tuple[int, int, int]]:
@@ -128,9 +126,9 @@ def near_lines(lines: DataFrame, folder: str, t: int = EDITS) -> DataFrame:
     filed = filed_lines(lines, t)
     keys = filed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max(F.col("own").cast("int")).alias("own")).filter("low <> high and own = 1").select("key")
     keys = written(keys, folder, "keys")
-    some = maybe_in(filed.select("key", "own", "h", "g"), "key", filter_words(keys, "key")).filter("_maybe").drop("_maybe").distinct().join(keys, "key")
+    some = maybe_in(filed.select("key", "own", "h", "g"), "key", keys).filter("_maybe").drop("_maybe").distinct().join(keys, "key")
     some = written(some, folder, "filed")
-    needed = maybe_in(lines, "h", filter_words(some, "h")).filter("_maybe").join(some.select("h", "g").distinct(), ["h", "g"], "left_semi")
+    needed = maybe_in(lines, "h", some).filter("_maybe").join(some.select("h", "g").distinct(), ["h", "g"], "left_semi")
     texts = written(needed.groupBy("h", "g").agg(F.min("line").alias("line")), folder, "texts")
     some = some.join(written(texts.select("h", "g", _profile(F.col("line")).alias("profile")), folder, "profiles"), ["h", "g"])
     x, y = some.filter("own").alias("x"), some.alias("y")
@@ -149,8 +147,8 @@ def near_lines(lines: DataFrame, folder: str, t: int = EDITS) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, folder: str, t: int = EDITS) -> DataFrame:
     """docs (doc_id, text): doc_id, equal and near (arrays of places of lines that go, from 0) of documents with such lines."""
-    lines = lines_of(docs)
-    near = written(near_lines(lines, folder, t), folder, "near")
+    near = written(near_lines(lines_of(docs), folder, t), folder, "near")
+    lines = written(lines_of(docs).select("doc_id", "pos", "h", "g"), folder, "lines")  # without their texts
     first = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("times"))
     ends = near.select(F.col("h_a").alias("h"), F.col("g_a").alias("g")).distinct().withColumn("paired", F.lit(True))
     first = first.join(ends, ["h", "g"], "left").filter("times > 1 or paired")
@@ -158,7 +156,7 @@ def dropped_lines(docs: DataFrame, folder: str, t: int = EDITS) -> DataFrame:
     one = near.join(first.select(F.col("h").alias("h_a"), F.col("g").alias("g_a"), F.col("first").alias("mine")), ["h_a", "g_a"]).join(first.select(F.col("h").alias("h_b"), F.col("g").alias("g_b"), F.col("first").alias("its")), ["h_b", "g_b"])
     late = one.filter("its < mine").select(F.col("h_a").alias("h"), F.col("g_a").alias("g")).distinct().withColumn("late", F.lit(True))
     first = written(first.join(late, ["h", "g"], "left").filter("times > 1 or late").select("h", "g", "first", "late"), folder, "judged")
-    some = maybe_in(lines.select("doc_id", "pos", "h", "g"), "h", filter_words(first, "h")).filter("_maybe").join(first, ["h", "g"])
+    some = maybe_in(lines, "h", first).filter("_maybe").join(first, ["h", "g"])
     again = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.pos") != F.col("pos"))
     gone = some.filter(again | F.coalesce("late", F.lit(False))).select("doc_id", "pos", again.alias("equal")).distinct()
     places = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("pos"))))
@@ -171,13 +169,11 @@ def without_repeated_lines(docs: DataFrame, t: int = EDITS, doc_id: str = "doc_i
     columns = [c for c in docs.columns if c not in ("_lines", "_equal", "_near")]
     rows = packed(docs, doc_id=F.col(quoted(doc_id)), text=F.col(quoted(text)))
     gone = dropped_lines(rows.select("doc_id", "text"), folder, t)
-    rows = maybe_in(rows, "doc_id", filter_words(gone, "doc_id"))
+    rows = maybe_in(rows, "doc_id", gone)
     all_ = F.split("text", "\n", -1)
     count = F.coalesce(F.size(F.filter(all_, lambda x: x.rlike(r"\S"))), F.lit(0)).alias("_lines")
     same = rows.filter("not _maybe").select(*unpacked(columns), count, F.lit(0).alias("_equal"), F.lit(0).alias("_near"))
-    n, lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("equal") + F.size("near")), F.lit(0))).first()
-    small = n <= SENT_DOCUMENTS and lines <= SENT_LINES
-    some = rows.filter("_maybe").join(F.broadcast(gone) if small else gone, "doc_id", "left")
+    some = rows.filter("_maybe").join(gone.hint("shuffle_hash"), "doc_id", "left")  # places are hashed, so that no texts are sorted
     none = F.array().cast("array<int>")
     out = F.array_union(F.coalesce("equal", none), F.coalesce("near", none))
     left = F.when(F.size(out) > 0, F.array_join(F.filter(all_, lambda _, i: ~F.array_contains(out, i)), "\n")).otherwise(F.col("text"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .shared import filter_words, maybe_in, mix, packed, pick, quoted, shared_folder, small_batches, steps, unpacked, utf8, word_hashes, written
+from .shared import maybe_in, mix, packed, pick, quoted, shared_folder, small_batches, steps, unpacked, utf8, word_hashes, written
 
 SHINGLE = 5
 #: Symbols of a signature, and chunks that it is split into.
@@ -144,8 +144,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(pairs: DataFrame, docs: DataFrame, folder: str, name: str) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts are similar enough, by their full sets. docs: doc_id, text."""
     pairs = written(pairs.select("a", "b"), folder, f"{name}_pairs")
-    words = filter_words(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
-    some = maybe_in(docs, "doc_id", words).filter("_maybe")
+    some = maybe_in(docs, "doc_id", pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).filter("_maybe")
     texts = written(some.select("doc_id", "text"), folder, f"{name}_texts").dropDuplicates(["doc_id"])
     for c in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), c)

@@ -43,24 +43,20 @@ def pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(quoted(old)).alias(new) for new, old in columns.items()))
 
 
-#: Bits of the filters below; of this size for any input.
-FILTER_BITS = 1 << 23
+#: Bits of a filter for each of its values, and at most: beyond that it drops fewer rows, and the join behind it does the rest.
+FILTER_SHARE, FILTER_BITS = 16, 1 << 26
 
 
-def _place(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+def maybe_in(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows with `_maybe`: false only where no value of ids (a column of that name) equals the column's (null: false).
 
-
-def filter_words(ids: DataFrame, column: str) -> DataFrame:
-    """A bit map of the hashed values of a column, FILTER_BITS / 64 rows at most; to drop rows without a partner before they are shuffled."""
-    at = ids.select(_place(F.col(column)).alias("at"))
-    return at.groupBy(F.shiftright("at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("_set"))
-
-
-def maybe_in(rows: DataFrame, column: str, words: DataFrame) -> DataFrame:
-    """The rows with `_maybe`: false only where no value of the filter equals the column's (null: false)."""
-    at = rows.withColumn("_at", _place(F.col(column))).withColumn("_word", F.shiftright("_at", 6))
-    out = at.join(F.broadcast(words), "_word", "left")  # bounded: see filter_words
+    A bit map of the hashed values, sized by their number and sent to all tasks; to drop rows without a partner before they are shuffled.
+    """
+    bits = min(FILTER_BITS, 1 << max(12, (FILTER_SHARE * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    words = ids.select(place.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("_set"))
+    at = rows.withColumn("_at", place).withColumn("_word", F.shiftright("_at", 6))
+    out = at.join(F.broadcast(words), "_word", "left")  # at most FILTER_BITS / 64 rows
     hit = F.expr("coalesce((shiftright(_set, cast(_at & 63 as int)) & 1) = 1, false)") & F.col(column).isNotNull()
     return out.withColumn("_maybe", hit).drop("_at", "_word", "_set")
 
@@ -135,7 +131,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     global _powers
     if _powers is None or len(_powers[0]) < n:
-        n = max(n, STEP_BYTES * 2)
+        n += -n % (STEP_BYTES * 2)
         both = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             x = np.full(n, base, np.uint64)
