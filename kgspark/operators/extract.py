@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_tags, lead_summary
+from ..storage import shared_folder, written
 from .merge import confident, prune_dangling, with_entity_ids
 
 RESPONSE = (
@@ -79,6 +80,26 @@ def extract_with(prompts: DataFrame, call: Callable[[str], str | None], doc: str
     return prompts.select(doc, "chunk_index", "prompt").repartition(parallel, doc, "chunk_index").mapInPandas(run, f"{doc} {kind}, chunk_index int, content string, error string")
 
 
+def extract_two_stage(segments: DataFrame, call: Callable[[str], str | None], concepts: list[tuple[str, str]], relations: list[str], instructions: str = "", doc: str = "uri", parallel: int = 4) -> dict[str, DataFrame]:
+    """segments (doc, chunk_index, text): entities first, then relations, each segment with the ids of its own entities. A failed call leaves its segment without the one or the other.
+
+    entities, relations (as normalize_responses has them; pruned when segments are merged) and failures (doc, chunk_index, stage, error).
+    Responses are written to the shared folder, so that each call is made once.
+    """
+    folder, failures = shared_folder(segments.sparkSession), []
+
+    def ask(rows: DataFrame, kind: str) -> dict[str, DataFrame]:
+        told = written(extract_with(build_prompts(rows, concepts, relations, instructions, kind), call, doc, parallel), folder, kind)
+        good, bad = parse_responses(told)
+        failures.append(bad.select(doc, "chunk_index", F.lit(kind).alias("stage"), F.coalesce("error", F.lit("no JSON object")).alias("error")))
+        return normalize_responses(good, doc)
+
+    entities = ask(segments, "nodes")["entities"]
+    known = entities.groupBy(doc, "chunk_index").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("known")).select(doc, "chunk_index", F.col("known.id").alias("known"))
+    with_known = segments.join(known, [doc, "chunk_index"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    return {"entities": entities, "relations": ask(with_known, "edges")["relations"], "failures": failures[0].unionByName(failures[1])}
+
+
 def rule_extraction(docs: DataFrame, key: str = "uri") -> tuple[DataFrame, DataFrame]:
     """Without a model: summaries (key, summary) and entities of the frequent words (key, chunk_index, pos, id, label, type, confidence)."""
     tags = keyword_tags(docs, key)

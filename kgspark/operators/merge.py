@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import similar_pairs
+from ..storage import shared_folder, written
 from .components import connected_components
 
 
@@ -89,3 +94,31 @@ def remap_endpoints(relations: DataFrame, canonical: DataFrame, entities: DataFr
         m = canonical.select(F.col("id").alias(end), F.col("canonical").alias("_to"))
         relations = relations.join(m, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
     return prune_dangling(dedup_relations(relations, doc), entities, doc)
+
+
+def semantic_dedup(entities: DataFrame, relations: DataFrame, embed: Callable[[list[str]], list[list[float]]], threshold: float = 0.88, doc: str = "uri") -> dict[str, DataFrame]:
+    """entities (doc, id, label, confidence, chunk_index, pos), one row for each id of a document: those of a document whose labels' vectors are near become the surest one.
+
+    entities, relations (with canonical ends) and merged (doc, id, canonical). embed is a user's function on labels; where it fails, entities stay as they are.
+    """
+    folder = shared_folder(entities.sparkSession)
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            try:
+                yield pd.Series(list(embed(s.fillna("").tolist())), dtype=object)
+            except Exception:  # a user's call may fail in any way
+                yield pd.Series([None] * len(s), dtype=object)
+
+    e = entities.withColumn("_key", F.struct(doc, "id"))
+    keyed = e.select("_key", doc, F.struct("chunk_index", "pos").alias("place"), "confidence", F.pandas_udf(run, "array<double>")(F.coalesce("label", "id")).alias("vector"))
+    keyed = written(keyed.withColumn("key", F.to_json("_key")), folder, "vectors")
+    clusters = entity_clusters(keyed.select("key"), similar_pairs(keyed.filter("vector is not null"), doc, "key", threshold), "key")
+    best = canonical_entities(keyed, clusters, "key", "place").filter("key <> canonical")
+    id_of = keyed.select(F.col("key").alias("canonical"), F.col("_key.id").alias("to"))
+    merged = written(best.join(keyed.select("key", "_key"), "key").join(id_of, "canonical").select(F.col(f"_key.{doc}").alias(doc), F.col("_key.id").alias("id"), F.col("to").alias("canonical")), folder, "merged")
+    kept = entities.join(merged, [doc, "id"], "left_anti")
+    for end in ("source", "target"):
+        m = merged.select(doc, F.col("id").alias(end), F.col("canonical").alias("_to"))
+        relations = relations.join(m, [doc, end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return {"entities": kept, "relations": prune_dangling(dedup_relations(relations, doc), kept, doc), "merged": merged}

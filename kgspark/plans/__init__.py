@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, review, text
+from . import graph, library, review, text
 from .domain import Tables, with_tables
 
-_ALL = {**graph.QUERIES, **review.QUERIES, **text.QUERIES}
+_ALL = {**graph.QUERIES, **review.QUERIES, **text.QUERIES, **library.QUERIES}
 
 
 def _query(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -157,6 +157,12 @@ SELECT * FROM have UNION ALL SELECT uri, substr(uri, 10), substr(uri, 10), 'L2'
   UNION ALL SELECT id, src_uri, dst_uri, 'MENTIONS' FROM {MENTIONS} m)
 SELECT * FROM fresh UNION ALL SELECT id, src_uri, dst_uri, relation FROM {{edges}} e WHERE NOT (relation = 'MENTIONS' AND src_uri IN (SELECT source_uri FROM {{batches}})) AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.id = e.id AND f.src_uri = e.src_uri AND f.dst_uri = e.dst_uri)""",
     ),
+    "commit_batch_evidence": (lambda t: committed(t, "evidence").select("graph_item_id", "batch_id", "status"), f"SELECT graph_item_id, batch_id, status FROM {{evidence}} UNION ALL SELECT graph_item_id, batch_id, 'active' FROM {NEW} n"),
+    "commit_batch_links": (
+        lambda t: committed(t, "links").select("source_uri", "target_uri", "relation", "layer"),
+        f"SELECT src_uri AS source_uri, dst_uri AS target_uri, relation, layer FROM {{edges}} WHERE layer = 'L2' UNION ALL SELECT 'entity://' || p_source, 'entity://' || p_target, p_relation, 'L2' FROM {NEW} n WHERE kind = 'edge'",
+    ),
+    "commit_batch_warnings": (lambda t: committed(t, "warnings"), "SELECT id, batch_id, 'edge without source or target' AS warning FROM {flat_items} WHERE kind = 'edge' AND status = 'accepted' AND p_source = ''"),
     "commit_batch_items": (lambda t: committed(t, "items").groupBy("status").agg(F.count("*").alias("n")), "SELECT CASE WHEN status = 'accepted' THEN 'committed' ELSE status END AS status, count(*) AS n FROM {flat_items} GROUP BY 1"),
     "dashboard": (
         lambda t: lc.dashboard(t.batches, t.items, t.evidence),
@@ -198,7 +204,13 @@ UNION ALL SELECT 'alert', 'stale_evidence', n FROM (SELECT count(*) AS n FROM {e
         f"SELECT DISTINCT source_uri AS uri FROM {{batches}} WHERE source_uri NOT IN {GONE}",
     ),
     "document_status": (lambda t: lc.document_status(t.docs, some(t).union(t.spark.range(1).select(F.lit("none"))))[["uri", "status"]], f"SELECT uri, status FROM {{docs}} WHERE uri IN {SOME} UNION ALL SELECT 'none', NULL"),
-    "ingest": (lambda t: flagship(t), None),
+    "ingest": (
+        flagship,
+        """WITH w AS (SELECT uri, generate_subscripts(l, 1) AS pos, unnest(l) AS tag FROM (SELECT uri, regexp_split_to_array(trim(lower(text)), '\\s+') AS l FROM {docs} WHERE status = 'active') a), c AS (SELECT uri, tag, count(*) AS n, min(pos) AS pos FROM w WHERE length(tag) >= 5 GROUP BY 1, 2),
+k AS (SELECT uri, tag FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY n DESC, pos) AS rank FROM c) x WHERE rank <= 8)
+SELECT 'batches' AS section, 'committed' AS key, count(*) AS value FROM {docs} WHERE status = 'active' UNION ALL SELECT 'items', 'committed', count(*) FROM k UNION ALL SELECT 'kinds', 'nodes', count(*) FROM k
+UNION ALL SELECT 'evidence', unnest(['total', 'stale', 'purged', 'healthy']), unnest([n, 0, 0, n]) FROM (SELECT count(DISTINCT tag) AS n FROM k) y""",
+    ),
     "list_documents": (lambda t: t.docs.orderBy(F.desc("created_at"), "uri").limit(100).select("uri", "created_at"), "SELECT uri, created_at FROM {docs} ORDER BY created_at DESC, uri LIMIT 100"),
     "get_document": (lambda t: t.docs.filter(F.col("uri").endswith("/notes_2.PDF")).select("uri", "n_chars"), "SELECT uri, n_chars FROM {docs} WHERE uri LIKE '%/notes\\_2.PDF' ESCAPE '\\'"),
     "list_chunks": (lambda t: chunks(t).filter("document_uri like '%/1'").orderBy("chunk_index", "id").select("id", "chunk_index", "text"), f"SELECT id, chunk_index, text FROM {CHUNKS} c WHERE document_uri LIKE '%/1'"),
