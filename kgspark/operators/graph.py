@@ -77,10 +77,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
+def touching(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """seeds (uri): the edges from and to each, with seed, other_uri and direction. Seeds meet the stored edges by either end, so that only what they touch is doubled."""
+    some = seeds.select("uri").distinct()
+    out = edges.join(some.withColumnRenamed("uri", "src_uri"), "src_uri").withColumns({"seed": F.col("src_uri"), "other_uri": F.col("dst_uri"), "direction": F.lit("out")})
+    back = edges.filter("src_uri <> dst_uri").join(some.withColumnRenamed("uri", "dst_uri"), "dst_uri").withColumns({"seed": F.col("dst_uri"), "other_uri": F.col("src_uri"), "direction": F.lit("in")})
+    return out.unionByName(back)
+
+
 def neighborhood(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, layers: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """seeds (uri): all edges that touch each seed (seed, direction and edge columns), and the nodes at their ends (seed and node columns)."""
-    some = edges.filter(F.col("layer").isin(layers)) if layers else edges
-    e = seeds.select("uri").distinct().join(both_ways(some), "uri").withColumnRenamed("uri", "seed")
+    e = touching(seeds, edges.filter(F.col("layer").isin(layers)) if layers else edges)
     ends = e.select("seed", F.explode(F.array("seed", "other_uri")).alias("uri")).distinct()
     return e.drop("other_uri"), ends.join(nodes, "uri")
 
@@ -116,12 +123,13 @@ def filter_graph(nodes: DataFrame, edges: DataFrame, query: str = "", types: lis
     if focus:
         near = both_ways(some).filter(F.col("uri") == focus).select(F.col("other_uri").alias("uri")).union(nodes.filter(F.col("uri") == focus).select("uri")).distinct()
         keep = keep.join(near, "uri", "left_semi")
-    hits = matching(keep, query, NODE_TEXT).select("uri").distinct()
-    e = some.join(keep.select(F.col("uri").alias("src_uri")).distinct(), "src_uri", "left_semi").join(keep.select(F.col("uri").alias("dst_uri")).distinct(), "dst_uri", "left_semi")
+    hit = F.contains(F.lower(F.concat_ws(" ", *NODE_TEXT)), F.lit(query.lower()))
+    ends = keep.groupBy("uri").agg(F.max(hit).alias("hit"))
+    hits = ends.filter("hit").select("uri")
+    e = some.join(ends.select(F.col("uri").alias("src_uri"), F.col("hit").alias("_src")), "src_uri").join(ends.select(F.col("uri").alias("dst_uri"), F.col("hit").alias("_dst")), "dst_uri")
     if query:
-        own = matching(e, query, EDGE_TEXT)
-        at = [e.join(hits.select(F.col("uri").alias(c)), c, "left_semi") for c in ("src_uri", "dst_uri")]
-        e = own.unionByName(at[0]).unionByName(at[1]).dropDuplicates(["id", "src_uri", "dst_uri"])
+        e = e.filter(F.col("_src") | F.col("_dst") | F.contains(F.lower(F.concat_ws(" ", *EDGE_TEXT)), F.lit(query.lower())))
+    e = e.select(edges.columns)
     shown = e.select(F.explode(F.array("src_uri", "dst_uri")).alias("uri"))
     if query or types or focus:
         shown = shown.union(hits)
@@ -133,7 +141,7 @@ def filter_graph(nodes: DataFrame, edges: DataFrame, query: str = "", types: lis
 
 def related_edges(seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """seed, id, relation, direction, other_uri, other_label (its id, or the uri, where there is no label)."""
-    e = seeds.select("uri").distinct().join(both_ways(edges), "uri").select(F.col("uri").alias("seed"), "id", "relation", "direction", "other_uri")
+    e = touching(seeds, edges).select("seed", "id", "relation", "direction", "other_uri")
     labels = nodes.select(F.col("uri").alias("other_uri"), F.coalesce("label", "id").alias("_label"))
     return e.join(labels, "other_uri", "left").select("seed", "id", "relation", "direction", "other_uri", F.coalesce("_label", "other_uri").alias("other_label"))
 

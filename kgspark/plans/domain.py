@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.review import PAYLOAD
+from ..storage import shared_folder, written
 
 DOMAIN = {
     "docs": """
@@ -87,6 +88,11 @@ def with_tables(sql: str) -> str:
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
 
 
+#: Derived tables that queries name more than once, or that aggregate; each is written once for an application and folder of given tables.
+KEPT = ("nodes", "edges", "flat_items", "graph_items", "evidence", "entities", "relations")
+_kept: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
     """Given and derived tables as DataFrames: t.nodes, t.lineitem."""
 
@@ -101,5 +107,13 @@ class Tables:
             return self.batches.withColumn("template_ids", F.array("template_id")).drop("template_id")
         if name in DOMAIN:
             text = DOMAIN[name]
-            return self.spark.sql(text, **{n: getattr(self, n) for n in set(re.findall(r"\{(\w+)\}", text))})
+            derived = self.spark.sql(text, **{n: getattr(self, n) for n in set(re.findall(r"\{(\w+)\}", text))})
+            if name not in KEPT:
+                return derived
+            key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+            if key not in _kept:
+                folder = shared_folder(self.spark)
+                written(derived, folder, name)
+                _kept[key] = f"{folder}/{name}"
+            return self.spark.read.schema(derived.schema).parquet(_kept[key])
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
