@@ -128,8 +128,8 @@ def near_lines(lines: DataFrame, folder: str, t: int = EDITS) -> DataFrame:
     keys = written(keys, folder, "keys")
     some = maybe_in(filed.select("key", "own", "h", "g"), "key", keys).filter("_maybe").drop("_maybe").distinct().join(keys, "key")
     some = written(some, folder, "filed")
-    needed = maybe_in(lines, "h", some).filter("_maybe").join(some.select("h", "g").distinct(), ["h", "g"], "left_semi")
-    texts = written(needed.groupBy("h", "g").agg(F.min("line").alias("line")), folder, "texts")
+    needed = maybe_in(lines, "h", some).filter("_maybe").groupBy("h", "g").agg(F.min("line").alias("line"))  # equal lines become one before they meet anything
+    texts = written(needed.join(some.select("h", "g").distinct(), ["h", "g"], "left_semi"), folder, "texts")
     some = some.join(written(texts.select("h", "g", _profile(F.col("line")).alias("profile")), folder, "profiles"), ["h", "g"])
     x, y = some.filter("own").alias("x"), some.alias("y")
     differ = F.aggregate(F.zip_with("x.profile", "y.profile", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)

@@ -2,11 +2,11 @@
 
 A payload becomes a mono WAV of 8-bit samples, which is read again by the wave module. A short-time Fourier transform (frames of
 FRAME samples, a Hann window, a step of HOP samples, a quarter of the frame, so that a passage that recurs at any offset shares most codes) gives magnitudes; the strongest bin of each of BANDS frequency bands of a frame
-is a peak where it stands out of the frame's mean; a peak is paired with the first PAIRS peaks of the frames after it (up to REACH), and
+is a peak (of equal ones the lowest) where it stands out of the frame's mean; a peak is paired with the first PAIRS peaks of the frames after it (up to REACH), and
 each pair gives the code (bin, bin, frames between) with the time of its first frame: an array of structs of time and code.
 
-Null or empty text: a payload of 576 bytes of 255 (silence at full level, without peaks). Equal texts have equal values, repeated rows are
-kept. Very long texts are transformed in blocks of frames. Extra columns of the input are ignored; an empty table gives no rows.
+Null or empty text: a payload of 576 bytes of 255 (silence at full level, without peaks). Equal texts have equal values, repeated rows and
+null doc_ids are kept. Very long texts are transformed in blocks of frames. Extra columns of the input are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ model's border; a row is rejected below it.
 Fitting takes a bounded sample: at most SAMPLE_ROWS labelled rows of each class, those with the smallest digest of their id, and SAMPLE_INDICATORS indicators. Fitting
 runs in one task, which gets no more than that; the driver holds the model only. Every document is scored, whole, in one pass over the table without a shuffle.
 
-Null or empty text: no indicators, so the score of the bias. Null labels are no labels. Rows with a repeated doc_id are all scored. If one
+Null or empty text: no indicators, so the score of the bias. Null labels are no labels. Rows with a repeated or null doc_id are all scored; a null one has no labels. If one
 class has no labelled row, every score is that of the other class (1 or 0; 0.5 without labels). Extra columns are ignored by `scores`, and kept by `kept`.
 An empty table gives no rows.
 """

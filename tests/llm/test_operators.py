@@ -126,6 +126,34 @@ def test_moved_passage_shares_fingerprints():
     assert feature(*fingerprints(whole)) != feature(*fingerprints(changed))
 
 
+def test_fingerprints_against_plain():
+    """Frames, transform, peaks and pairs by their definitions, without the operator's helpers."""
+    from kgspark.llm.media import fingerprints
+
+    r = random.Random(4)
+    silence = bytes([128]) * 576
+    texts = [" ".join(r.choice(["lorem", "ipsum", "dolor", "sit", "É"]) for _ in range(n)).encode() for n in (30, 200, 700)]
+    for raw in [silence, *texts]:
+        x = list(raw) + [255] * (-len(raw) % 576)
+        count = max(1, -(-(len(x) - 512) // 128) + 1)
+        peaks = []
+        turn = np.exp(-2j * np.pi * np.outer(np.arange(1, 257), np.arange(512)) / 512)
+        hann = [0.5 - 0.5 * math.cos(2 * math.pi * k / 511) for k in range(512)]
+        for f in range(count):
+            part = (x[128 * f : 128 * f + 512] + [128] * 512)[:512]
+            size = np.abs(turn @ np.array([(v - 128) * h for v, h in zip(part, hann, strict=True)]))
+            for band in range(4):
+                b = max(range(64 * band, 64 * band + 64), key=lambda k: (size[k], -k))
+                if size[b] > 2 * size.mean() + 1e-3:
+                    peaks.append((f, b))
+        pairs = []
+        for f, b in peaks:
+            later = [p for p in peaks if p[0] > f][:3]
+            pairs += [(f, b << 16 | c << 8 | g - f) for g, c in later if g - f <= 32]
+        t, c = fingerprints(np.array(x, np.uint8))
+        assert list(zip(t.tolist(), c.tolist(), strict=True)) == sorted(pairs) and (pairs or raw == silence)
+
+
 def test_mixing(spark, docs, empty):
     from kgspark.llm.mixing import mixed, repeated
     from kgspark.llm.queries import OP8_SQL
@@ -315,6 +343,71 @@ def test_quality(spark, docs, empty):
     assert train(d, labels.filter("label = 1")).bias > 0 and train(d, labels.limit(0)).bias == 0
 
 
+def plain_indicators(text):
+    """The buckets of a text, as the operator's docstring says."""
+    from kgspark.llm.quality import BACK, BITS
+    from kgspark.llm.shared import one_word_hash
+
+    raw, size = (text or "").encode(), 1 << BITS
+    out = {(int.from_bytes(raw[k : k + 3], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - BITS for k in range(len(raw) - 2)}
+    words = [one_word_hash(w.encode()) for w in WORD.findall(lowered(text))]
+    n = len(words)
+    out |= {((a * 0x9FB21C651E98DF25 + b) * 0xD6E8FEB86659FD93 & (1 << 64) - 1) >> 64 - BITS for a, b in zip(words, words[1:], strict=False)}
+    for k, back in enumerate(BACK):
+        if n > back:
+            share = sum(words[i] == words[i - back] for i in range(back, n)) / (n - back)
+            out |= {size - 1 - k} if share > 1 / 2 else set()
+            out |= {size - 11 - k} if share > 1 / 20 else set()
+    return out | ({size - 31 - 8 * len(set(words)) // n} if n >= 8 else set())
+
+
+def test_quality_against_plain(spark, docs):
+    """Indicators, log-count ratios and the hinge-loss fit against dense versions, the latter run until it no longer moves."""
+    from kgspark.llm.quality import BITS, MOST_WEIGHT, fit, indicators
+    from kgspark.llm.shared import utf8
+
+    texts = [r.text for r in docs.collect() if len(r.text or "") < 3000]
+    import pyarrow as pa
+
+    found = list(indicators(*utf8(pa.array(texts, pa.string()))))
+    assert [set(x.tolist()) for x in found] == [plain_indicators(t) for t in texts] and all(len(set(x)) == len(x) for x in found)
+    r = random.Random(3)
+    made = [" ".join(r.choice(["ta ri no", "el su", "mi na", "so"] if i % 3 else ["ta ri", "mi na", "zu ko pa", "so", "zu"]) for _ in range(r.randint(4, 14))) for i in range(90)]
+    labels = np.array([int(i % 3 > 0) for i in range(90)])
+    rows = [np.array(sorted(plain_indicators(t))) for t in made]
+    model = fit(rows, labels, epochs=60)
+    x = np.zeros((90, 1 << BITS))
+    for i, row in enumerate(rows):
+        x[i, row] = 1
+    used = np.flatnonzero(x.sum(0) > 1)
+    x = x[:, used] / np.sqrt([[len(row)] for row in rows])
+    up, down = ((x[labels == c] > 0).sum(0) + 1 for c in (1, 0))
+    ratio = np.log(up / (60 + 2)) - np.log(down / (30 + 2))
+    v, y = np.hstack([x * ratio, np.ones((90, 1))]), np.where(labels == 1, 1.0, -1.0)
+    most = np.where(labels == 1, 1.0, min(MOST_WEIGHT, 2.0))
+    w, alpha = np.zeros(v.shape[1]), np.zeros(90)
+    for _ in range(3000):
+        for i in range(90):
+            new = min(max(alpha[i] - (y[i] * (v[i] @ w) - 1) / (v[i] @ v[i]), 0), most[i])
+            w += (new - alpha[i]) * y[i] * v[i]
+            alpha[i] = new
+    loss = lambda z: z[:-1] @ z[:-1] / 2 + z[-1] ** 2 / 2 + (most * np.maximum(0, 1 - y * (v @ z))).sum()
+    mine = np.append(np.divide(model.weights[used], ratio, out=np.zeros(len(used)), where=ratio != 0), model.bias)
+    assert loss(w) <= loss(mine) * (1 + 1e-9) and loss(mine) < 1.01 * loss(w)
+    margins = model.margins(*utf8(pa.array(made)))
+    assert np.abs(margins - v @ mine).max() < 1e-9 and ((margins >= 0) == (labels == 1)).mean() > 0.95
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_quality_of_held_out_labels(spark):
+    """On the given tables: labels of rows that weren't learned from."""
+    from kgspark.llm.queries import op9_naive_bayes_svm
+
+    got = op9_naive_bayes_svm(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out and quality is not null").toPandas()
+    recall = [((got.predicted == c) & (got.quality == c)).sum() / (got.quality == c).sum() for c in (0, 1)]
+    assert len(got) > 50 and (got.predicted == got.quality).mean() > 0.9 and min(recall) > 0.8, (len(got), recall)
+
+
 def test_neighbours(spark):
     from kgspark.llm.neighbours import nearest
 

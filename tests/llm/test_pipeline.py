@@ -74,3 +74,36 @@ def test_stages(spark, tmp_path):
     size = sum(len(whole.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in d.collect())
     assert sum(p.length for p in e) == size
     assert {r.doc_id for r in cp.run(spark, sf).collect()} <= set(before)
+
+
+def test_stages_take_any_table(spark, tmp_path):
+    """Columns with names that operators use, null doc_ids and texts, repeated rows, a long text; and no rows at all."""
+    import corpus_pipeline as cp
+
+    sf = str(tmp_path)
+    tables(spark, sf)
+    names = ["row", "key", "h", "g", "ord", "src", "size", "_lines", "_maybe", "_at", "_word", "component", "copies", "score", "ids", "id"]
+    extra = lambda i: tuple(f"{n} {i}" for n in names)
+    r = random.Random(7)
+    long_ = "\n".join(" ".join(r.choice(["ta", "ri", "no", "el", "su", "mi"]) * r.randint(1, 3) for _ in range(9)) for _ in range(700))
+    docs = sorted(spark.read.parquet(f"{sf}/documents.parquet").collect())
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, *extra(r.doc_id)) for r in docs]
+    rows += [rows[3], rows[3], (None, docs[1].text, None, None, None, *extra(None)), (None, None, None, None, None, *extra(None)), (500, long_, "en", "a", 1, *extra(500))]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    for table in (spark.createDataFrame(rows, columns), spark.createDataFrame([], columns)):
+        rows_in = table.count()
+        for k, (name, stage) in enumerate(cp.STAGES):
+            out = stage(spark, table, sf)
+            if k < 4:
+                assert out.columns == table.columns
+                kept = out.collect()
+                assert all(tuple(r[n] for n in names) == extra(r.doc_id) for r in kept), name
+                assert bool(kept) == bool(rows_in)
+                if rows_in:
+                    assert sum(r.doc_id == 3 for r in kept) in (3, 0) or name == "mixing"
+                    assert any(r.doc_id is None and r.text for r in kept) and any(r.doc_id == 500 for r in kept) or name == "mixing"
+                table = spark.createDataFrame(kept, table.schema)
+            else:
+                assert (out.count() > 0) == bool(rows_in)
+    plain = spark.createDataFrame([(1, "a b c", "x")], "doc_id long, text string, source string")
+    assert [r.text for r in cp.line_deduplication(spark, plain, sf).collect()] == ["a b c"]
