@@ -38,6 +38,8 @@ SHINGLE = 5
 SYMBOLS, CHUNKS = 48, 9
 #: Links need 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
+#: Documents of a block of a key, and rows of a task, where pairs across components are compared.
+BLOCK_ROWS, TASK_ROWS = 256, 4096
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, SYMBOLS, np.uint32)
 _MUL = _rng.integers(0, 1 << 31, SYMBOLS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -172,11 +174,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     found = connected_components(links, folder=f"{folder}/components1")
     filed = written(filed.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "tag", "doc", F.coalesce("component", "doc").alias("component")), folder, "coloured")
-    largest = filed.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("colours"), F.max_by("component", F.struct("size", "component")).alias("largest"))
-    left = filed.join(largest.filter("colours > 1"), "key").select("key", "tag", "doc", "component", (F.col("component") == F.col("largest")).alias("most"))
+    largest = filed.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("colours"), F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("rows"))
+    left = filed.join(largest.filter("colours > 1"), "key").select("key", "tag", "doc", "component", (F.col("component") == F.col("largest")).alias("most"), F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"))
     left = written(left.join(first.select("doc", "n", "bits", "sig"), "doc"), folder, "left")
-    x, y = left.filter("not most").alias("x"), left.alias("y")
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.most") | (F.col("x.doc") < F.col("y.doc")))
+    # one side of a key's documents is dealt into blocks, the other meets each of them: a key of many documents is many small groups
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), left.count() // TASK_ROWS)
+    x = left.filter("not most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition(tasks, "key", "block").alias("x")
+    y = left.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).repartition(tasks, "key", "block").alias("y")
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.most") | (F.col("x.doc") < F.col("y.doc")))
     across &= _possible(F.col("x.n"), F.col("x.bits"), F.col("y.n"), F.col("y.bits")) & (F.col("x.tag") == _first_key(F.col("x.sig"), F.col("y.sig")))
     more = confirmed(x.join(y, across).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")), docs, folder, "links2")
     found = connected_components(links.union(more), folder=f"{folder}/components2")

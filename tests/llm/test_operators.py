@@ -51,6 +51,21 @@ def test_near_duplicates(spark, docs, empty):
     assert near_duplicates(twice).filter("doc_id is not null and kept").count() == 6
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Many documents under the same keys, in blocks of two: the classes of brute force."""
+    from kgspark.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 2)
+    r = random.Random(8)
+    base = [f"w{r.randint(0, 999)}" for _ in range(120)]
+    texts = []
+    for i in range(40):  # families about 55 % alike, of two that are nearly equal
+        own = base[:90] + [f"own{i}x{k}" for k in range(25)]
+        texts += [" ".join(own), " ".join([*own[:-1], "other"])]
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == classes({i: shingles(t) for i, t in enumerate(texts)}) and len(set(got.values())) == 40
+
+
 def test_hamming_join_guarantee():
     from kgspark.llm import near_dedup as nd
 
