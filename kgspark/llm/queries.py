@@ -172,5 +172,15 @@ SELECT h.page_id, host, path, best.rule AS rule,
 FROM h LEFT JOIN fits USING (page_id) LEFT JOIN again ON again.key = host || path
 """
 
-QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_minhash_near_dedup, op3_trie_token_counts, op4_elias_fano_lm, op5_segment_edit_lines, op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op9_naive_bayes_svm, op10_digest_url_filter)}
+
+
+def op13_identity_map_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_minhash_near_dedup, op3_trie_token_counts, op4_elias_fano_lm, op5_segment_edit_lines, op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op9_naive_bayes_svm, op10_digest_url_filter, op13_identity_map_alignment)}
 ORACLE_SQL: dict[str, str] = {"op5_segment_edit_lines": OP5_SQL, "op8_entropy_balanced_mix": OP8_SQL, "op10_digest_url_filter": OP10_SQL}
