@@ -174,6 +174,62 @@ FROM h LEFT JOIN fits USING (page_id) LEFT JOIN again ON again.key = host || pat
 
 
 
+def op11_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op12_nested_struct_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves by language; where 3 divides the crc32 of the id, somebody has lower-cased the text."""
+    from .manifest import folded, manifest, proof_digest
+    from .url_filter import LOWER, UPPER
+
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = manifest(table(spark, sf_dir, "documents"), "lang", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], {"text": F.when(hit, F.translate("text", UPPER, LOWER))})
+    found = found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), folded(F.coalesce("seen", "leaf"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _op12_sql(levels: int = 8, heads: int = 5) -> str:
+    """Trees of up to 8 ** levels leaves a language, and 8 ** heads languages, level by level."""
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT)"
+    part = lambda x: f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(part, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"e AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS bad FROM documents)",
+        "d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM e)",
+    ]
+
+    def tree(name: str, first: str, key: str, many: int) -> list[str]:
+        out = [f"{name}0 AS ({first})"]
+        for j in range(many):
+            out.append(f"{name}s{j} AS (SELECT {key}, r // 8 AS p, any_value(n) AS n, list(h ORDER BY r) AS hs FROM {name}{j} WHERE n > {8**j} GROUP BY ALL)")
+            out.append(f"{name}{j + 1} AS (SELECT {key}, p AS r, n, sha256(array_to_string(hs, '')) AS h FROM {name}s{j})")
+        tops = " UNION ALL ".join(f"SELECT {key}, h FROM {name}{j} WHERE r = 0 AND n <= {8**j}" + (f" AND n > {8 ** (j - 1)}" if j else "") for j in range(many + 1))
+        return [*out, f"{name}top AS ({tops})"]
+
+    def walk(name: str, first: str, key: str, many: int) -> list[str]:
+        out = [f"{name}w0 AS ({first})"]
+        for j in range(many):
+            pos = f"((w.r // {8**j}) % 8)"
+            left, right = f"coalesce(array_to_string(s.hs[1:{pos}], ''), '')", f"coalesce(array_to_string(s.hs[{pos} + 2:], ''), '')"
+            out.append(f"{name}w{j + 1} AS (SELECT w.* REPLACE (w.proof || {left} || {right} AS proof, CASE WHEN s.hs IS NULL THEN w.f ELSE sha256({left} || w.f || {right}) END AS f) FROM {name}w{j} w LEFT JOIN {name}s{j} s ON s.{key} IS NOT DISTINCT FROM w.{key} AND s.p = w.r // {8 ** (j + 1)})")
+        return out
+
+    steps += tree("g", "SELECT lang, r, n, leaf AS h FROM d", "lang", levels)
+    steps += ["hs AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM gtop)"]
+    steps += tree("u", "SELECT 0 AS one, r, n, h FROM hs", "one", heads)
+    steps += walk("g", "SELECT doc_id, lang, leaf, r, '' AS proof, bad AS f FROM d", "lang", levels)
+    steps += [f"m AS (SELECT w.doc_id, w.leaf, w.proof, w.f, hs.h AS subroot, hs.r, 0 AS one FROM gw{levels} w JOIN hs ON hs.lang IS NOT DISTINCT FROM w.lang)"]
+    steps += walk("u", "SELECT * FROM m", "one", heads)
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t.h AS verified FROM uw{heads} CROSS JOIN utop t"
+
+
+OP12_SQL = _op12_sql()
+
+
 def op13_identity_map_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -182,5 +238,5 @@ def op13_identity_map_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_minhash_near_dedup, op3_trie_token_counts, op4_elias_fano_lm, op5_segment_edit_lines, op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op9_naive_bayes_svm, op10_digest_url_filter, op13_identity_map_alignment)}
-ORACLE_SQL: dict[str, str] = {"op5_segment_edit_lines": OP5_SQL, "op8_entropy_balanced_mix": OP8_SQL, "op10_digest_url_filter": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_cross_polytope, op2_minhash_near_dedup, op3_trie_token_counts, op4_elias_fano_lm, op5_segment_edit_lines, op6_cost_balanced_packing, op7_wav_fingerprints, op8_entropy_balanced_mix, op9_naive_bayes_svm, op10_digest_url_filter, op11_site_style_tree, op12_nested_struct_manifest, op13_identity_map_alignment)}
+ORACLE_SQL: dict[str, str] = {"op5_segment_edit_lines": OP5_SQL, "op8_entropy_balanced_mix": OP8_SQL, "op10_digest_url_filter": OP10_SQL, "op12_nested_struct_manifest": OP12_SQL}
