@@ -5,7 +5,7 @@ groups; all A tokens of a group are linked with all its B tokens. How often an A
 
 Identity map: an array gives for each A id the B id of the same bytes. In most groups one A token meets exactly that B token, so those
 pairs are counted in a vector as long as A's vocabulary, one for each task, summed afterwards. Only the pairs of other groups are shuffled, and these
-pre-aggregated. Their counts are kept as sorted arrays in the shared folder, a file for each range of A ids; tasks map those they
+pre-aggregated. Their counts are kept as sorted arrays in files of the shared folder; tasks map those they
 need into memory and look up each distinct chunk once. No text and no document's links are moved.
 
 Texts are cut into chunks before each run of spaces: no token of A or B reaches across such a cut (B: checked on its pieces), so that a task
@@ -19,6 +19,7 @@ input are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -33,15 +34,17 @@ from .shared import Folder, pick, shared_folder, small_batches, written
 
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 #: Chunks, and bytes of them, that a task remembers: beyond that it forgets all before the next step.
-CACHE_CHUNKS, CACHE_BYTES = 150_000, 3_000_000
+CACHE_CHUNKS, CACHE_BYTES = 400_000, 8_000_000
 #: Distinct pairs that a task gathers before it hands them on.
 GATHERED = 400_000
-#: A ids of one range of pairs.
-RANGE_IDS = 128
+#: Files of pairs; a prime, so that pairs are spread evenly.
+SHARDS = 509
 #: Links of a group that are listed one by one; larger groups are listed by distinct ids.
 LISTED = 4096
 
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Chunks of characters whose kind no library's version of Unicode sees differently; longer ones go to A's own library, too.
+_COMMON = re.compile(r"[\x00-\u024f]{1,200}")
 _SPACE = "▁"
 
 
@@ -70,8 +73,35 @@ class Tokenizers:
                     same[raw] = i
         self.identity = np.array([same.get(raw, -1) for raw in self.a_bytes], np.int64)
         self.a_size, self.b_size = (np.array([len(x) for x in some], np.int64) for some in (self.a_bytes, self.b_bytes))
-        self.a_text, self.b_text = [str(i) for i in range(n)], [str(i) for i in range(self.n_b)]
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(x), np.uint8) for x in (self.a_bytes, self.b_bytes))
+        self.a_at, self.b_at = (np.r_[0, np.cumsum(x)] for x in (self.a_size, self.b_size))
         self._mark = self.b.encode("a")
+        self._ranks = self._ranked(a_path)
+
+    def _ranked(self, a_path: str):
+        """A faster encoder of the same ids, where A is plain byte-level BPE whose ids are in the order of its merges; else None."""
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(a_path) as f:
+            a = json.load(f)
+        model, cut = a["model"], a["pre_tokenizer"] or {}
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", ())]
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not a["normalizer"]
+        if model.get("type") != "BPE" or not plain or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        if [model["vocab"][x + y] for x, y in pairs] != list(range(256, 256 + len(pairs))):
+            return None
+        ranks = {self.a_bytes[i]: i for i in model["vocab"].values()}
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+    def encode_a(self, chunks: Sequence[str]) -> list[list[int]]:
+        if self._ranks is None:
+            return [e.ids for e in self.a.encode_batch_fast(list(chunks), add_special_tokens=False)]
+        fast, common = self._ranks, _COMMON.fullmatch
+        return [fast(c) if common(c) else self.a.encode(c, add_special_tokens=False).ids for c in chunks]
 
     def encode_b(self, chunks: Sequence[str]) -> list[list[int]]:
         """B's ids of chunks that begin with a space, which B adds by itself before the rest."""
@@ -87,14 +117,14 @@ def chunks_of(text: str) -> list[str]:
 class Aligned:
     """Groups and pairs of distinct chunks, each worked out once."""
 
-    def __init__(self, tokenizers: Tokenizers):
-        self.t = tokenizers
+    def __init__(self, tokenizers: Tokenizers, texts: bool = True):
+        self.t, self.texts = tokenizers, texts
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.size, self.held = 0, 0
-        self.text: list[str | None] = []
+        self.held = 0
+        self.text: list[bytes] = []  # the groups of a chunk, each ended by ;
         self.ok, self.counts = np.zeros(0, bool), np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links
         self.at, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -105,7 +135,11 @@ class Aligned:
         number, old, out, ends = self.number, len(self.number), [], [0]
         for text in texts:
             if text:
-                out += [number.setdefault(c, len(number)) for c in chunks_of(text)]
+                chunks = chunks_of(text)
+                there = list(map(number.get, chunks))
+                if None in there:
+                    there = [number.setdefault(c, len(number)) if k is None else k for c, k in zip(chunks, there, strict=True)]
+                out += there
             ends.append(len(out))
         if len(number) > old:
             self._add(list(number)[old:] if old else list(number))
@@ -114,13 +148,13 @@ class Aligned:
     def _add(self, new: list[str]) -> None:
         t = self.t
         raw = [c.encode("utf-8", "surrogatepass") for c in new]
-        self.held += sum(map(len, raw))
-        ids_a = [e.ids for e in t.a.encode_batch_fast(new, add_special_tokens=False)]
-        ids_b = t.encode_b(new)
-        ok = np.array([b"".join(map(t.a_bytes.__getitem__, a)) == r and b"".join(map(t.b_bytes.__getitem__, b)) == r for a, b, r in zip(ids_a, ids_b, raw, strict=True)], bool)
-        ids_a, ids_b = [x if k else [] for x, k in zip(ids_a, ok, strict=True)], [x if k else [] for x, k in zip(ids_b, ok, strict=True)]
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
-        a, b = (np.fromiter((i for x in some for i in x), np.int64, int(n.sum())) for some, n in ((ids_a, n_a), (ids_b, n_b)))
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.held += int(size.sum())
+        (a, n_a), (b, n_b) = (self._flat(ids) for ids in (t.encode_a(new), t.encode_b(new)))
+        raw = np.frombuffer(b"".join(raw), np.uint8)
+        ok = self._same(a, n_a, t.a_flat, t.a_at, raw, size) & self._same(b, n_b, t.b_flat, t.b_at, raw, size)
+        a, b = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)]
+        n_a, n_b = n_a * ok, n_b * ok
         end_a, end_b = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
         # a group ends where tokens of both end; the end of a chunk is one, so all chunks are cut at once
         last_a = np.flatnonzero(np.isin(end_a, end_b, assume_unique=True))
@@ -136,7 +170,25 @@ class Aligned:
         self.counts = np.r_[self.counts, np.stack([n_a, n_b, groups, links], 1)]
         self.at = np.r_[self.at, self.at[-1] + np.cumsum(np.bincount(owner, minlength=n))]
         self.pairs, self.times = np.r_[self.pairs, keys], np.r_[self.times, times]
-        self.text += self._texts(a, b, many_a, many_b, groups)
+        if self.texts:
+            self.text += self._texts(a, b, many_a, many_b, chunk, n)
+
+    @staticmethod
+    def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum())), n
+
+    @staticmethod
+    def _same(ids: np.ndarray, n: np.ndarray, flat: np.ndarray, at: np.ndarray, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each chunk's tokens are the chunk's."""
+        place, many = _spread(at, ids)
+        owner = np.repeat(np.arange(len(n)), n)
+        total = np.bincount(owner, many, minlength=len(n)).astype(np.int64)
+        ok = total == size
+        made, there = flat[place][np.repeat(ok, total)], raw[np.repeat(ok, size)]
+        wrong = np.flatnonzero(made != there)
+        ok[np.repeat(np.flatnonzero(ok), size[ok])[wrong]] = False
+        return ok
 
     def _pairs(self, a: np.ndarray, b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray, many_a: np.ndarray, many_b: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each chunk its distinct pairs, as A id * B's ids + B id, and how often each is linked."""
@@ -161,26 +213,38 @@ class Aligned:
         first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
         return keys[first], owner[first], np.add.reduceat(times, first)
 
-    def _texts(self, a: np.ndarray, b: np.ndarray, many_a: np.ndarray, many_b: np.ndarray, groups: np.ndarray) -> list[str]:
-        """The groups of each chunk as `a1,a2|b1;a3|b2,b3`."""
-        sa, sb = [self.t.a_text[i] for i in a.tolist()], [self.t.b_text[i] for i in b.tolist()]
-        out, i, j, g = [], 0, 0, 0
-        ma, mb = many_a.tolist(), many_b.tolist()
-        for n in groups.tolist():
-            some = []
-            for k in range(g, g + n):
-                i2, j2 = i + ma[k], j + mb[k]
-                some.append(f"{','.join(sa[i:i2])}|{','.join(sb[j:j2])}" if i2 - i + j2 - j > 2 else f"{sa[i]}|{sb[j]}")
-                i, j = i2, j2
-            g += n
-            out.append(";".join(some))
-        return out
+    def _texts(self, a: np.ndarray, b: np.ndarray, many_a: np.ndarray, many_b: np.ndarray, chunk: np.ndarray, n: int) -> list[bytes]:
+        """The groups of each chunk as `a1,a2|b1;a3|b2,b3;`, all at once: each id's digits and the mark behind it."""
+        first = np.cumsum(many_a + many_b) - many_a - many_b  # where a group's ids begin, those of A before those of B
+        at_a, _ = _runs(first, many_a)
+        at_b, _ = _runs(first + many_a, many_b)
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[at_a], ids[at_b] = a, b
+        mark = np.full(len(ids), ord(","), np.uint8)
+        mark[first + many_a - 1], mark[first + many_a + many_b - 1] = ord("|"), ord(";")
+        width = len(str(max(len(self.t.a_size), len(self.t.b_size))))
+        digits = np.empty((len(ids), width + 1), np.uint8)
+        for k in range(width):
+            digits[:, k] = ids // 10 ** (width - 1 - k) % 10 + ord("0")
+        digits[:, width] = mark
+        long_ = np.maximum(1, np.ceil(np.log10(ids + 1)).astype(np.int64)) + 1
+        shown = np.arange(width + 1)[None, :] >= width + 1 - long_[:, None]
+        text = digits[shown].tobytes()
+        size = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(long_, out=size[1:])
+        groups = np.r_[first, len(ids)]
+        ends = size[groups[np.searchsorted(chunk, np.arange(n), "right")]].tolist()
+        return [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of runs that begin at `first` and are `size` long, and the run of each."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum())), size
 
 
 def _spread(at: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of the runs `some` of at (n+1 bounds), and how long each run is."""
-    size = at[some + 1] - at[some]
-    return np.repeat(at[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum())), size
+    return _runs(at[some], at[some + 1] - at[some])
 
 
 def _documents(numbers: np.ndarray, ends: np.ndarray, aligned: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,7 +261,7 @@ def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tokenizers(a_path, b_path)
-        aligned, vector = Aligned(t), np.zeros(len(t.identity), np.int64)
+        aligned, vector = Aligned(t, texts=False), np.zeros(len(t.identity), np.int64)
         others: list[tuple[np.ndarray, np.ndarray]] = []
         gathered = 0
 
@@ -240,10 +304,10 @@ def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 class PairArrays:
-    """Sorted pairs and their counts, in a file for each range of A ids; opened when first needed."""
+    """Sorted pairs and their counts, in SHARDS files; opened when first needed."""
 
-    def __init__(self, folder: str, n_b: int):
-        self.there, self.width, self.open = Folder(folder), n_b * RANGE_IDS, {}
+    def __init__(self, folder: str):
+        self.there, self.open = Folder(folder), {}
 
     @staticmethod
     def coded(pairs: np.ndarray, counts: np.ndarray) -> bytes:
@@ -252,11 +316,11 @@ class PairArrays:
 
     def counts(self, pairs: np.ndarray) -> np.ndarray:
         out = np.zeros(len(pairs), np.int64)
-        range_ = pairs // self.width
-        for r in np.unique(range_).tolist():
+        shard = pairs % SHARDS
+        for r in np.unique(shard).tolist():
             if r not in self.open:
                 self.open[r] = self.there.mapped(f"pairs/{r}").view("<i8").reshape(2, -1)
-            at = np.flatnonzero(range_ == r)
+            at = np.flatnonzero(shard == r)
             known, n = self.open[r]
             out[at] = n[np.searchsorted(known, pairs[at])]
         return out
@@ -268,14 +332,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     docs = pick(docs, {"doc_id": doc_id, "text": text})
     counts = written(pair_counts(docs, a_path, b_path), folder, "counts")
     t = Tokenizers(a_path, b_path)
-    n_b, width, n_a = t.n_b, t.n_b * RANGE_IDS, len(t.identity)
+    n_b, n_a = t.n_b, len(t.identity)
 
     def build(some: pa.Table) -> pa.Table:
         data = PairArrays.coded(some.column("pair").to_numpy(), some.column("n").to_numpy())
-        Folder(folder).write(f"pairs/{some.column('range')[0].as_py()}", data)
-        return some.slice(0, 1).select(["range"])
+        Folder(folder).write(f"pairs/{some.column('shard')[0].as_py()}", data)
+        return some.slice(0, 1).select(["shard"])
 
-    counts.filter("not vector").select("pair", "n", F.floor(F.col("pair") / width).cast("long").alias("range")).groupBy("range").applyInArrow(build, "range long").count()
+    counts.filter("not vector").select("pair", "n", (F.col("pair") % SHARDS).alias("shard")).groupBy("shard").applyInArrow(build, "shard long").count()
     # both are at most as long as A's vocabulary
     vector, best = np.zeros(n_a, np.int64), np.zeros(n_a, np.int64)
     a_id = F.floor(F.col("pair") / n_b).cast("int")
@@ -283,7 +347,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
         best[row.a], vector[row.a] = row.best, row.exact or 0
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligned, there = Aligned(Tokenizers(a_path, b_path)), PairArrays(folder, n_b)
+        aligned, there = Aligned(Tokenizers(a_path, b_path)), PairArrays(folder)
         sums = np.zeros((0, 2), np.int64)  # best links and sum of counts of each chunk
 
         def judged(first: int) -> np.ndarray:
@@ -310,7 +374,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
             digests = []
             for i, full in enumerate(whole.tolist()):
                 some = numbers[ends[i] : ends[i + 1]].tolist() if full else ()
-                digests.append(hashlib.sha256(";".join([aligned.text[k] for k in some]).encode()).hexdigest() if full else "")
+                digests.append(hashlib.sha256(b"".join([aligned.text[k] for k in some])[:-1]).hexdigest() if full else "")
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(out[:, k]) for k in range(6)), pa.array(digests, pa.string())], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return docs.mapInArrow(judge, SCHEMA)
