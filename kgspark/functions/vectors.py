@@ -8,11 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+from .inverted_lists import build_index, search
+from .metric_join import near_pairs, unit_rows
+
 TOKEN = "[A-Za-z0-9_-]+"
 #: Queries that a search sends to every task at once.
 BLOCK_QUERIES = 1000
-#: Rows of a block of similar pairs that meet as many others at once.
-TILE_ROWS = 2000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,7 +57,13 @@ def embed_with(docs: DataFrame, embed: Callable[[list[str]], list[list[float]]],
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "chunk_id") -> DataFrame:
-    """vectors (key, vector), queries (query_id, vector; a stated set): query_id, key, score (inner product), rank.
+    """vectors (key, vector), queries (query_id, vector): query_id, key, score (inner product), rank, through an index built for them; keep that of build_index to search it again."""
+    folder = shared_folder(vectors.sparkSession)
+    return search(build_index(vectors, f"{folder}/index", key), queries, k, folder)[0]
+
+
+def flat_search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "chunk_id") -> DataFrame:
+    """The same rows by a scan of all vectors, for a stated set of queries.
 
     Each block of queries meets all vectors in one pass that keeps the k best of every task; no vector is moved.
     """
@@ -95,38 +103,6 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str =
 
 
 def similar_pairs(vectors: DataFrame, block: str, key: str = "id", threshold: float = 0.88) -> DataFrame:
-    """Pairs a < b of rows in the same block with a cosine of at least the threshold.
-
-    Exact: a block is dealt into tiles of about TILE_ROWS rows, and every two tiles meet in a group of their own, so that a large block is many small
-    groups; blocks of one tile share groups of about that many rows. Work and rows sent grow with the square of a block's rows.
-    """
-    size = F.sqrt(dot(F.col("vector"), F.col("vector")))
-    v = vectors.select(F.col(block).alias("block"), F.col(key).alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.size("vector").alias("dims"))
-    v = v.withColumn("size", size).filter("size > 0 AND id IS NOT NULL AND block IS NOT NULL")
-    tiles = v.groupBy("block", "dims").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))
-    v = v.join(tiles, ["block", "dims"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    groups = v.count() // TILE_ROWS + 1
-    v = v.withColumn("shared", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("block"), F.lit(groups))).otherwise(F.xxhash64("block")))
-    met = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    met = met.select("block", "dims", "shared", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "id", F.transform("vector", lambda x: x / F.col("size")).alias("vector"))
-    kind = {c: met.schema[c].dataType.simpleString() for c in ("block", "id")}
-
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        x, ids, tile = np.stack(pdf.vector.to_numpy()), pdf.id.to_numpy(), pdf.tile.to_numpy()
-        lo, hi = pdf.lo.iloc[0], pdf.hi.iloc[0]
-        number = pd.factorize(pdf.block)[0]
-        order = np.argsort(number, kind="stable")
-        found = [pd.DataFrame({"block": pdf.block.iloc[:0], "a": ids[:0], "b": ids[:0], "similarity": np.zeros(0)})]
-        for rows in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
-            left, right = rows[tile[rows] == lo], rows[tile[rows] == hi]
-            for k in range(0, len(left), TILE_ROWS):
-                i, j = np.nonzero((s := x[left[k : k + TILE_ROWS]] @ x[right].T) >= threshold)
-                a, b = ids[left[k + i]], ids[right[j]]
-                up, down = a < b, (a > b) if lo != hi else np.zeros(len(a), bool)  # a tile with itself has each pair twice
-                found += [pd.DataFrame({"block": pdf.block.iloc[rows[0]], "a": p[m], "b": q[m], "similarity": s[i, j][m]}) for p, q, m in ((a, b, up), (b, a, down)) if m.any()]
-        return pd.concat(found)
-
-    pairs = met.groupBy("shared", "dims", "lo", "hi").applyInPandas(close, f"block {kind['block']}, a {kind['id']}, b {kind['id']}, similarity double")
-    return pairs.withColumnRenamed("block", block)
+    """Pairs a < b of rows in the same block with a cosine of at least the threshold, exactly: see metric_join. Null ids, blocks and vectors, and vectors without a direction, have no pairs."""
+    rows = unit_rows(vectors, block, key, dot(F.col("vector"), F.col("vector")))
+    return near_pairs(rows, threshold).withColumnRenamed("block", block)

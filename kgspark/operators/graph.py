@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Id prefixes that name a type.
@@ -16,22 +16,30 @@ def is_entity(uri: Column) -> Column:
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of the highest `order` for each key."""
-    by = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_rn", F.row_number().over(by)).filter("_rn = 1").drop("_rn")
+    """The row of the highest `order` (null: the lowest) for each key; of equal ones the greatest row by its columns, so that a repeated task gives the same one.
+
+    A merge of rows on the map side, then of what is left: a key of very many changes is one row from each task.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    first = F.struct(order, *(c for c in rest if c != order))
+    return rows.groupBy(*keys).agg(F.max(first).alias("_last")).select(*(F.col(c) if c in keys else F.col("_last").getField(c).alias(c) for c in rows.columns))
+
+
+def _over(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """By the keys the newest row: any new one (of these the highest seq) before the old one. seq may be a struct, which is compared field by field."""
+    kind = new.schema["seq"].dataType
+    both = old.withColumn("seq", F.struct(F.lit(False).alias("new"), F.lit(None).cast(kind).alias("seq"))).unionByName(new.withColumn("seq", F.struct(F.lit(True).alias("new"), F.col("seq").alias("seq"))))
+    return latest(both, keys, "seq").drop("seq")
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """old, new (seq): by uri, new rows over old ones, of new ones the highest seq. Null uris go."""
-    both = old.withColumn("seq", F.lit(-1).cast("long")).unionByName(new.withColumn("seq", F.col("seq").cast("long")))
-    return latest(both.filter("uri is not null"), ["uri"], "seq").drop("seq")
+    return _over(old, new, ["uri"]).filter("uri is not null")
 
 
 def upsert_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes, with bare ones for new ends, and edges by (src_uri, dst_uri, id), new rows (seq) over old ones."""
-    both = edges.withColumn("seq", F.lit(-1).cast("long")).unionByName(new.withColumn("seq", F.col("seq").cast("long")))
-    kept = latest(both, ["src_uri", "dst_uri", "id"], "seq").drop("seq")
-    return stub_nodes(nodes, new, labelled=False), kept
+    return stub_nodes(nodes, new, labelled=False), _over(edges, new, ["src_uri", "dst_uri", "id"])
 
 
 def stub_nodes(nodes: DataFrame, edges: DataFrame, labelled: bool = True) -> DataFrame:

@@ -175,20 +175,23 @@ def describe_batch(batches: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def commit_batch(batches: DataFrame, items: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, links: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
-    """All state tables after the commit of all batches given; of several batches of a source, the last one's mentions stay."""
+    """All state tables after the commit of all batches given, as if one after another: by their time, id, and the items' seq and id, later rows go over earlier ones.
+    Of several batches of a source, the last one's mentions stay."""
     from .graph import clear_mentions, stub_nodes, upsert_edges, upsert_nodes
     from .state import upsert_links
 
-    accepted = items.filter("status = 'accepted'")
+    times = batches.select(F.col("id").alias("batch_id"), F.col("created_at").alias("_at"))
+    place = F.struct(F.col("_at").alias("at"), F.col("batch_id").alias("batch"), F.col("seq").alias("seq"), F.col("id").alias("item"))
+    accepted = items.filter("status = 'accepted'").join(times, "batch_id").withColumn("seq", place).drop("_at")
     new = commit_evidence(items, batches, evidence)
     found = items_to_nodes(accepted)
     docs = batches.select(F.col("source_uri").alias("uri")).distinct()
-    doc_nodes = docs.select("uri", F.col("uri").alias("id"), F.element_at(F.split("uri", "/"), -1).alias("label"), F.lit("").alias("summary"), F.lit("document").alias("type"), F.lit("L1").alias("layer"), F.lit(1.0).alias("confidence"), F.lit(True).alias("accessible"), F.lit(0).cast("long").alias("seq"))
+    doc_nodes = docs.select("uri", F.col("uri").alias("id"), F.element_at(F.split("uri", "/"), -1).alias("label"), F.lit("").alias("summary"), F.lit("document").alias("type"), F.lit("L1").alias("layer"), F.lit(1.0).alias("confidence"), F.lit(True).alias("accessible"), F.lit(None).cast(accepted.schema["seq"].dataType).alias("seq"))
     all_nodes = upsert_nodes(nodes, found.unionByName(doc_nodes).select(*nodes.columns, "seq"))
     last = batches.withColumn("_rn", F.row_number().over(Window.partitionBy("source_uri").orderBy(F.desc("created_at"), F.desc("id")))).filter("_rn = 1")
     mentions = mention_edges(items.join(last.select(F.col("id").alias("batch_id")), "batch_id", "left_semi"), last)
     edge_items, warnings = items_to_edges(accepted, batches)
-    fresh = edge_items.unionByName(mentions.withColumn("seq", F.lit(0).cast("long")))
+    fresh = edge_items.unionByName(mentions.withColumn("seq", F.lit(None).cast(accepted.schema["seq"].dataType)))
     all_nodes = stub_nodes(all_nodes, edge_items)
     _, all_edges = upsert_edges(all_nodes, clear_mentions(edges, docs), fresh.select(*edges.columns, "seq"))
     when = now if now is not None else F.current_timestamp()

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .graph import latest
 
@@ -47,14 +52,70 @@ def register_source_active(documents: DataFrame, batches: DataFrame) -> DataFram
     return known.unionByName(fresh.select(*(value.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in documents.schema)))
 
 
+#: Hash buckets of a table's key, and the keys: a change of a few keys rewrites their buckets only.
+BUCKETS = 64
+BUCKET_KEYS = {"documents": "uri", "evidence": "source_uri", "chunks": "document_uri", "vectors": "uri", "nodes": "uri"}
+MANIFEST = "name string, bucket int, version string, schema string"
+
+
+def bucket_of(key: Column | str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _write_buckets(df: DataFrame, root: str, name: str, version: str) -> list[int]:
+    """The rows in folders of their buckets; a large bucket is split among tasks. Which buckets have rows."""
+    key = BUCKET_KEYS.get(name)
+    path = f"{root}/{name}/version={version}"
+    rows = df.withColumn("_bucket", bucket_of(key) if key else F.lit(0)).hint("rebalance", "_bucket")
+    rows.write.mode("overwrite").partitionBy("_bucket").parquet(path)
+    try:
+        return sorted(r[0] for r in df.sparkSession.read.parquet(path).select("_bucket").distinct().collect())  # names of folders, at most BUCKETS
+    except AnalysisException:  # no rows, no folders
+        return []
+
+
+def _write_manifest(spark: SparkSession, root: str, version: str, rows: list[tuple]) -> None:
+    """The last step of a version: a row for each bucket of each table, with the version that has its rows."""
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{root}/_done/{version}")
+
+
+def manifest(spark: SparkSession, root: str, version: str | None = None) -> tuple[str, list]:
+    """The version, or the last one, and its manifest: tables times buckets rows at most."""
+    if version is None:
+        named = spark.read.schema(MANIFEST).parquet(f"{root}/_done/*").select(F.regexp_extract(F.input_file_name(), "/_done/([^/]+)/", 1).alias("v"))
+        version = named.agg(F.max("v")).first()[0]
+    return version, spark.read.schema(MANIFEST).parquet(f"{root}/_done/{version}").collect()
+
+
 def write_version(tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """All tables of a state below one new folder; a reader takes the last version with a row in _done."""
-    spark = next(iter(tables.values())).sparkSession
+    """All tables of a state, whole, below new folders; a reader takes the last version that has a manifest."""
+    spark, rows = next(iter(tables.values())).sparkSession, []
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
-    spark.createDataFrame([(version,)], "version string").write.mode("append").parquet(f"{root}/_done")
+        rows += [(name, -1, version, df.schema.json()), *((name, b, version, None) for b in _write_buckets(df, root, name, version))]
+    _write_manifest(spark, root, version, rows)
+
+
+def _read(spark: SparkSession, root: str, name: str, rows: list, buckets: set[int] | None = None) -> DataFrame:
+    schema = StructType.fromJson(json.loads(next(r.schema for r in rows if r.name == name and r.bucket < 0)))
+    paths = [f"{root}/{name}/version={r.version}/_bucket={r.bucket}" for r in rows if r.name == name and r.bucket >= 0 and (buckets is None or r.bucket in buckets)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def read_version(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame:
-    version = version or spark.read.parquet(f"{root}/_done").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{root}/{name}/version={version}")
+    return _read(spark, root, name, manifest(spark, root, version)[1])
+
+
+def update_version(root: str, keys: DataFrame, old: str, new: str, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]) -> None:
+    """Version `new` from `old`: change gets the tables' rows in the buckets of the keys (one column) and returns them changed; all other buckets stay where they are.
+
+    What is read and written grows with the touched buckets, not with the state. Done again for the same versions, it writes the same.
+    """
+    spark = keys.sparkSession
+    rows = manifest(spark, root, old)[1]
+    touched = {r[0] for r in keys.select(bucket_of(keys.columns[0])).distinct().collect()}  # at most BUCKETS
+    names = sorted({r.name for r in rows})
+    kept = [tuple(r) for r in rows if r.bucket < 0 or r.bucket not in touched]
+    if touched:
+        for name, df in change({n: _read(spark, root, n, rows, touched) for n in names}).items():
+            kept += [(name, b, new, None) for b in _write_buckets(df, root, name, new)]
+    _write_manifest(spark, root, new, kept)

@@ -61,6 +61,18 @@ def event_lines(t: Tables):
     return named.unionByName(data)
 
 
+def events_by_lines(t: Tables):
+    """The lines of each connection in two micro-batches, cut behind an event line, whose data line comes with the second."""
+    folder, lines = shared_folder(t.spark), event_lines(t)
+    cuts = lines.filter("line like 'event:%'").groupBy("conn_id").agg(F.max("line_no").alias("cut"))
+    lines = lines.join(cuts, "conn_id", "left").withColumn("late", F.coalesce(F.col("line_no") > F.col("cut"), F.lit(False)))
+    for late in (False, True):
+        lines.filter(F.col("late") == late).select("conn_id", "line_no", "line").write.mode("append").json(f"{folder}/in")
+        found = streaming.typed_events(streaming.stream_event_lines(t.spark, f"{folder}/in"))
+        found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("conn_id long, line_no long, type string, raw string").parquet(f"{folder}/out")
+
+
 def file_events(t: Tables):
     """Events as they land in a folder, read as a stream until all are there."""
     folder = shared_folder(t.spark)
@@ -154,6 +166,10 @@ FROM (SELECT *, p_partkey % 4 IN (1, 3) AS flat, split_part(p_name, ' ', 1) AS a
         lambda t: streaming.event_records(event_lines(t)).select("conn_id", "line_no", "type", "raw"),
         "SELECT user_id AS conn_id, event_id * 2 + 1 AS line_no, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'message' END AS type, event_id::VARCHAR AS raw FROM {events}",
     ),
+    "stream_event_lines": (
+        events_by_lines,
+        "SELECT user_id AS conn_id, event_id * 2 + 1 AS line_no, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'message' END AS type, event_id::VARCHAR AS raw FROM {events}",
+    ),
     "stream_file_events": (file_events, "SELECT event_type AS type, count(*) AS n, min(user_id::VARCHAR) AS least, max(user_id::VARCHAR) AS most FROM {events} GROUP BY 1"),
     "stream_ingest": (
         ingested,

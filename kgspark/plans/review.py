@@ -69,6 +69,12 @@ def committed(t: Tables, part: str):
     return r.commit_batch(t.full_batches, t.items, t.nodes, t.edges, t.evidence, links(t), F.lit("2024-01-01").cast("timestamp"))[part]
 
 
+def named_by_batch(t: Tables):
+    """Items whose labels and descriptions differ between batches."""
+    label = F.concat(F.lit("Part "), "payload.id", F.lit(" in "), "batch_id")
+    return t.items.withColumn("payload", F.col("payload").withField("label", label).withField("description", F.col("id")))
+
+
 def flagship_tables(t: Tables):
     docs = t.docs.filter("status = 'active'").select("uri", "text")
     none = lambda d: d.limit(0)
@@ -150,6 +156,18 @@ QUERIES = {
 have AS (SELECT * FROM fresh UNION ALL SELECT uri, id, label, layer FROM {nodes} WHERE uri NOT IN (SELECT uri FROM fresh)),
 ends AS (SELECT DISTINCT unnest(['entity://' || p_source, 'entity://' || p_target]) AS uri FROM {flat_items} WHERE kind = 'edge' AND status = 'accepted' AND p_source <> '')
 SELECT * FROM have UNION ALL SELECT uri, substr(uri, 10), substr(uri, 10), 'L2' FROM ends WHERE uri NOT IN (SELECT uri FROM have)""",
+    ),
+    "commit_batch_labels": (
+        lambda t: r.commit_batch(t.full_batches, named_by_batch(t), t.nodes, t.edges, t.evidence, links(t), F.lit("2024-01-01").cast("timestamp"))["nodes"].filter("type = 'Product' and layer = 'L2'").select("uri", "label", "summary"),
+        """WITH item AS (SELECT 'entity://' || p_id AS uri, 'Part ' || p_id || ' in ' || batch_id AS label, i.id || '' AS summary, row_number() OVER (PARTITION BY p_id ORDER BY b.created_at DESC, batch_id DESC, seq DESC, i.id DESC) AS rn
+  FROM {flat_items} i JOIN {batches} b ON b.id = batch_id WHERE kind = 'node' AND i.status = 'accepted')
+SELECT uri, label, summary FROM item WHERE rn = 1 UNION ALL SELECT uri, label, summary FROM {nodes} WHERE type = 'Product' AND layer = 'L2' AND uri NOT IN (SELECT uri FROM item)""",
+    ),
+    "commit_batch_edge_sources": (
+        lambda t: committed(t, "edges").filter("relation = 'SUPPLIES'").select("id", "source_file_uri", "owner_scope", "confidence"),
+        """WITH item AS (SELECT graph_item_id AS id, source_uri AS source_file_uri, requested_by AS owner_scope, confidence, row_number() OVER (PARTITION BY graph_item_id ORDER BY b.created_at DESC, batch_id DESC, seq DESC, i.id DESC) AS rn
+  FROM {graph_items} i JOIN {batches} b ON b.id = batch_id WHERE kind = 'edge' AND i.status = 'accepted' AND p_source <> '')
+SELECT id, source_file_uri, owner_scope, confidence FROM item WHERE rn = 1 UNION ALL SELECT id, source_file_uri, owner_scope, confidence FROM {edges} WHERE relation = 'SUPPLIES' AND id NOT IN (SELECT id FROM item)""",
     ),
     "commit_batch_edges": (
         lambda t: committed(t, "edges").select("id", "src_uri", "dst_uri", "relation"),

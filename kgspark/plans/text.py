@@ -240,11 +240,11 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS chunk_i
         "SELECT chunk_id, round(list_dot_product(vector::DOUBLE[], (SELECT vector::DOUBLE[] FROM {vector_queries} WHERE query_id = 3)), 4) AS value FROM {vectors}",
     ),
     "vector_search": (
-        lambda t: vx.vector_search(t.vectors, t.vector_queries).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank")),
-        "SELECT query_id, chunk_id, round(s, 4) AS score, rank FROM (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, list_dot_product(q.vector::DOUBLE[], v.vector::DOUBLE[]) AS s FROM {vector_queries} q, {vectors} v) a) b WHERE rank <= 5",
+        lambda t: vx.vector_search(t.vectors, t.stated_queries).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank")),
+        "SELECT query_id, chunk_id, round(s, 4) AS score, rank FROM (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, list_dot_product(q.vector::DOUBLE[], v.vector::DOUBLE[]) AS s FROM {stated_queries} q, {vectors} v) a) b WHERE rank <= 5",
     ),
     "vector_search_stated": (
-        lambda t: vx.vector_search(t.vectors, t.stated_queries).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank")),
+        lambda t: vx.flat_search(t.vectors, t.stated_queries).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank")),
         "SELECT query_id, chunk_id, round(s, 4) AS score, rank FROM (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, list_dot_product(q.vector::DOUBLE[], v.vector::DOUBLE[]) AS s FROM {stated_queries} q, {vectors} v) a) b WHERE rank <= 5",
     ),
     "parse_responses": (lambda t: ex.parse_responses(responses(t))[0].select("uri", "parsed.summary", F.element_at("parsed.entities", 1)["label"].alias("label")), "SELECT doc_id::VARCHAR AS uri, text AS summary, 'Word ' || (doc_id % 7)::VARCHAR AS label FROM {documents} WHERE doc_id % 4 < 3"),

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import chunk_fixed
 from ..operators.lifecycle import mark_source_deleted
-from ..operators.state import read_version, write_version
+from ..operators.state import update_version
 from ..sources.files import file_gate
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 EVENT = "type string, raw string, ts timestamp"
+LINES = "conn_id long, line_no long, line string"
 
 
 def event_records(lines: DataFrame) -> DataFrame:
@@ -40,16 +43,51 @@ def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -
 
 
 def stream_lifecycle(events: DataFrame, root: str, checkpoint: str, after: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Delete events (raw: the uri) mark sources deleted; each batch writes a version of documents and evidence named by its number, so a repeated batch changes nothing."""
+    """Delete events (raw: the uri) mark sources deleted. A micro-batch rewrites only the buckets of documents and evidence that its uris fall in (update_version), as the version of its number: repeated, it changes nothing."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        uris = batch.filter("type = 'deleted'").select(F.col("raw").alias("uri"))
+        uris = batch.filter("type = 'deleted' and raw is not null").select(F.col("raw").alias("uri"))
         at = batch.agg(F.max("ts")).first()[0]
-        state = {n: read_version(spark, root, n, f"{number:012d}") for n in ("documents", "evidence")}
-        d, e, _ = mark_source_deleted(state["documents"], state["evidence"], uris, F.lit(at))
-        write_version({"documents": d, "evidence": e}, root, f"{number + 1:012d}")
+
+        def change(state: dict[str, DataFrame]) -> dict[str, DataFrame]:
+            d, e, _ = mark_source_deleted(state["documents"], state["evidence"], uris, F.lit(at))
+            return {"documents": d, "evidence": e}
+
+        update_version(root, uris, f"{number:012d}", f"{number + 1:012d}", change)
         if after:
             after(number)
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_event_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of server-sent events (JSON lines of conn_id, line_no, line) that land in a folder, those of a connection in order."""
+    return spark.readStream.schema(LINES).json(folder)
+
+
+def typed_events(lines: DataFrame) -> DataFrame:
+    """A stream of lines: conn_id, line_no, type, raw for each data line, as event_records gives them for a table.
+
+    The type that an event line has set, and no data line has used yet, is the state of its connection: it is carried from one micro-batch to the next. Other lines are passed over.
+    """
+
+    def take(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values("line_no", kind="stable")  # of one connection in one micro-batch
+        kind = state.get[0] if state.exists else None
+        numbers, kinds, raws = [], [], []
+        for number, line in zip(rows.line_no.tolist(), rows.line.tolist(), strict=True):
+            head, mark, text = (line or "").partition(":")
+            if mark and head == "event":
+                kind = text.strip(" ")
+            elif mark and head == "data":
+                numbers.append(number)
+                kinds.append("message" if kind is None else kind)
+                raws.append(text.strip(" "))
+                kind = None
+        if kind is not None:
+            state.update((kind,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"conn_id": key[0], "line_no": numbers, "type": kinds, "raw": raws})
+
+    return lines.groupBy("conn_id").applyInPandasWithState(take, "conn_id long, line_no long, type string, raw string", "type string", "append", GroupStateTimeout.NoTimeout)
