@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..storage import shared_folder
 from .inverted_lists import build_index, search
@@ -15,6 +20,8 @@ from .metric_join import near_pairs, unit_rows
 TOKEN = "[A-Za-z0-9_-]+"
 #: Queries that a search sends to every task at once.
 BLOCK_QUERIES = 1000
+#: Tokens whose places a task remembers.
+MOST_TOKENS = 500_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,13 +35,43 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def hashed_embedding(docs: DataFrame, key: str = "uri", dims: int = 64) -> DataFrame:
-    """key, bucket, value (sparse): tokens add their sign to a bucket, both from the token's SHA-256; of unit length, or without rows."""
-    token = docs.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({TOKEN})"), 1)).alias("token"))
-    counts = token.groupBy(key, "token").agg(F.count("*").alias("n")).withColumn("sha", F.sha2("token", 256))
-    bucket = (F.conv(F.substring("sha", 1, 8), 16, 10).cast("long") % dims).cast("int")
-    sign = F.when(F.conv(F.substring("sha", 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    sums = counts.groupBy(key, bucket.alias("bucket")).agg(F.sum(F.col("n") * sign).cast("double").alias("value")).filter("value <> 0")
-    return sums.withColumn("value", F.col("value") / F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(key))))
+    """key, bucket, value (sparse): tokens add their sign to a bucket, both from the token's SHA-256; of unit length, or without rows. Rows are summed where they are; no token is shuffled."""
+    kind = docs.schema[key].dataType
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, places = re.compile(TOKEN).findall, _Places(dims)
+        for b in batches:
+            of, buckets, values = [], [], []
+            for row, text in enumerate(b.column("low").to_pylist()):
+                tokens = find(text or "")
+                if tokens:
+                    at = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens))
+                    sums = np.bincount(at, minlength=2 * dims).astype(np.int64)
+                    sums = sums[:dims] - sums[dims:]
+                    some = np.flatnonzero(sums)
+                    of += [row] * len(some)
+                    buckets += some.tolist()
+                    values.append(sums[some] / np.sqrt(float((sums * sums).sum())) if len(some) else np.zeros(0))
+            keys = b.column(key).take(pa.array(of, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(buckets, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0))], names=[key, "bucket", "value"])
+
+    return docs.select(key, F.lower("text").alias("low")).mapInArrow(embed, StructType([StructField(key, kind), StructField("bucket", IntegerType()), StructField("value", DoubleType())]))
+
+
+class _Places(dict):
+    """The bucket of a token, `dims` higher for a negative sign; worked out once for each token while fewer than MOST_TOKENS are remembered."""
+
+    def __init__(self, dims: int):
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, token: str) -> int:
+        d = hashlib.sha256(token.encode()).digest()
+        place = int.from_bytes(d[:4], "big") % self.dims + (self.dims if d[4] % 2 else 0)
+        if len(self) >= MOST_TOKENS:
+            self.clear()
+        self[token] = place
+        return place
 
 
 def dense(sparse: DataFrame, docs: DataFrame, key: str = "uri", dims: int = 64) -> DataFrame:

@@ -44,6 +44,23 @@ def stale_report(evidence: DataFrame) -> DataFrame:
     return e.groupBy(uri.alias("source_uri")).agg(F.count_if(F.col("status") == "stale").alias("stale"), F.count_if(F.col("status") == "purged").alias("purged"), F.array_sort(F.collect_list(F.struct("id", F.substring("evidence_text", 1, 200).alias("text")))).alias("rows"))
 
 
+#: What a report recommends.
+RECOMMEND, NOTHING = "Purge the sources with stale evidence, then extract those that are still there again.", "There is no stale evidence."
+
+
+def stale_rows(evidence: DataFrame) -> DataFrame:
+    """The stale report in long form, a row for each stale or purged evidence: source_uri (none: unknown), id, graph_item_id, batch_id, status, confidence, text (its first 200 characters)."""
+    e = evidence.filter(F.col("status").isin("stale", "purged"))
+    return e.select(F.coalesce(F.nullif("source_uri", F.lit("")), F.lit("unknown")).alias("source_uri"), "id", "graph_item_id", "batch_id", "status", "confidence", F.substring(F.coalesce("evidence_text", F.lit("")), 1, 200).alias("text"))
+
+
+def stale_totals(evidence: DataFrame) -> DataFrame:
+    """One row: stale_total, stale, purged, sources_affected, recommendation."""
+    by = stale_rows(evidence).groupBy("source_uri").agg(F.count_if(F.col("status") == "stale").alias("stale"), F.count("*").alias("n"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return by.agg(zero("n").alias("stale_total"), zero("stale").alias("stale"), (zero("n") - zero("stale")).alias("purged"), F.count("*").alias("sources_affected"), F.when(zero("n") > 0, RECOMMEND).otherwise(NOTHING).alias("recommendation"))
+
+
 def inventory_diff(documents: DataFrame, listing: DataFrame) -> DataFrame:
     """Known active documents of the drive that the listing lacks, with all_stale: whether that is every one of them."""
     known = documents.filter(F.startswith("uri", F.lit("cloudreve://")) & (F.col("status") == "active")).select("uri")

@@ -55,6 +55,28 @@ def create_batches(requests: DataFrame, entities: DataFrame, relations: DataFram
     return b, items(entities, "node", ["id", "label", "type", "description"], 0).unionByName(items(relations, "edge", ["source", "target", "relation", "evidence"], 1))
 
 
+#: A candidate ontology: what a batch proposes to know of.
+CONCEPTS = "array<struct<type:string,label:string,description:string>>"
+RELATIONS = "array<struct<relation:string,source:string,target:string,description:string>>"
+
+
+def create_ontologies(batches: DataFrame, proposed: DataFrame) -> DataFrame:
+    """proposed (source_uri, name, concepts, relations, confidence; null columns allowed): an ontology for each proposal of a batch's source that proposes anything.
+
+    id, batch_id, name, concepts, relations, status, confidence, review_note. Concepts of equal type and relations of equal name become one, the first of each; those without are dropped.
+    """
+    of = batches.select("source_uri", F.col("id").alias("batch_id"))
+
+    def first(items: Column, key: str) -> Column:
+        named = F.filter(items, lambda x: given(x[key]).isNotNull())
+        return F.filter(named, lambda x, i: ~F.exists(F.slice(named, 1, i), lambda y: F.lower(y[key]) == F.lower(x[key])))
+
+    p = proposed.join(of, "source_uri").select("batch_id", given("name").alias("name"), F.coalesce(F.col("concepts").cast(CONCEPTS), F.array().cast(CONCEPTS)).alias("concepts"), F.coalesce(F.col("relations").cast(RELATIONS), F.array().cast(RELATIONS)).alias("relations"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.8)).alias("confidence"))
+    p = p.withColumns({"concepts": first(F.col("concepts"), "type"), "relations": first(F.col("relations"), "relation"), "name": F.coalesce("name", F.lit("candidate_ontology"))})
+    p = p.filter((F.size("concepts") > 0) | (F.size("relations") > 0)).distinct()
+    return p.select(stable_id("batch_id", "name", F.to_json(F.struct("concepts", "relations", "confidence"))).alias("id"), "batch_id", "name", "concepts", "relations", F.lit("candidate").alias("status"), "confidence", F.lit(None).cast("string").alias("review_note"))
+
+
 def graph_item_id(kind: Column, payload: Column, item_id: Column) -> Column:
     edge = F.concat_ws(":", F.lit("edge"), *(F.coalesce(payload[c], F.lit("")) for c in ("source", "relation", "target")))
     return F.when(kind == "edge", edge).otherwise(F.concat(F.lit("node:"), given(payload["id"], payload["label"], item_id)))
@@ -168,10 +190,25 @@ def commit_summary(items: DataFrame, batches: DataFrame, new_evidence: DataFrame
     return r.select("batch_id", c.alias("committed"), (F.coalesce("n", F.lit(0)) - c).alias("skipped"), c.alias("evidence_created"))
 
 
-def describe_batch(batches: DataFrame, items: DataFrame) -> DataFrame:
-    """Batches with their items as an array, by seq."""
+def describe_batch(batches: DataFrame, items: DataFrame, ontologies: DataFrame | None = None) -> DataFrame:
+    """Batches with their items as an array, by seq; and with their ontologies, by name. A batch is what people review: its arrays are as long as that. batch_rows gives the same in long form."""
     own = items.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("seq", "id", "kind", "status", "confidence"))).alias("items"))
-    return batches.join(own, batches["id"] == own["batch_id"], "left").drop("batch_id")
+    out = batches.join(own, batches["id"] == own["batch_id"], "left").drop("batch_id")
+    if ontologies is None:
+        return out
+    known = ontologies.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("name", "id", "status", "confidence", "concepts", "relations"))).alias("ontologies"))
+    return out.join(known, out["id"] == known["batch_id"], "left").drop("batch_id")
+
+
+def batch_rows(batches: DataFrame, items: DataFrame, ontologies: DataFrame) -> DataFrame:
+    """What a batch holds, a row each: batch_id, batch_status, part (item, concept, relation), of (the ontology's name), seq, id, kind, status, confidence. Batches of any size; an empty one has one row without part."""
+    b = batches.select(F.col("id").alias("batch_id"), F.col("status").alias("batch_status"))
+    none = F.lit(None).cast("string")
+    rows = items.select("batch_id", F.lit("item").alias("part"), none.alias("of"), "seq", "id", "kind", "status", "confidence")
+    for part, column, name in (("concept", "concepts", "type"), ("relation", "relations", "relation")):
+        some = ontologies.select("batch_id", "name", "status", "confidence", F.posexplode(column).alias("seq", "x"))
+        rows = rows.unionByName(some.select("batch_id", F.lit(part).alias("part"), F.col("name").alias("of"), F.col("seq").cast("long").alias("seq"), F.col(f"x.{name}").alias("id"), none.alias("kind"), "status", "confidence"))
+    return b.join(rows, "batch_id", "left")
 
 
 def commit_batch(batches: DataFrame, items: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, links: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:

@@ -18,6 +18,7 @@ NEW = """(SELECT * FROM (SELECT g.*, b.source_uri, b.template_id, b.created_at,
   FROM {graph_items} g JOIN {batches} b ON b.id = g.batch_id WHERE g.status = 'accepted') x WHERE rn = 1 AND graph_item_id NOT IN (SELECT graph_item_id FROM {evidence}))"""
 LAST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_uri ORDER BY created_at DESC, id DESC) AS rn FROM {batches}) x WHERE rn = 1)"
 MENTIONS = f"(SELECT 'mention:' || source_uri || ':' || p_id AS id, source_uri AS src_uri, 'entity://' || p_id AS dst_uri, max(confidence) AS confidence FROM {{flat_items}} i JOIN {LAST} b ON b.id = i.batch_id WHERE i.status = 'accepted' AND kind = 'node' GROUP BY source_uri, p_id)"
+ONTOLOGY = "(SELECT id AS batch_id, m, CASE WHEN m = 0 THEN 'candidate_ontology' ELSE 'onto_' || m::VARCHAR END AS name, CASE WHEN m = 1 THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM (SELECT id, substr(id, 2)::BIGINT % 4 AS m FROM {batches}) z)"
 SOME = "(SELECT uri FROM {docs} WHERE doc_id % 3 = 0)"
 GONE = "(SELECT DISTINCT source_uri AS uri FROM {batches} WHERE id LIKE '%7')"
 OUT = "(SELECT * FROM {edges} WHERE src_uri NOT IN (SELECT uri FROM (SELECT DISTINCT source_uri AS uri FROM {batches} WHERE id LIKE '%7') u) AND dst_uri NOT IN (SELECT uri FROM (SELECT DISTINCT source_uri AS uri FROM {batches} WHERE id LIKE '%7') u))"
@@ -75,6 +76,15 @@ def named_by_batch(t: Tables):
     return t.items.withColumn("payload", F.col("payload").withField("label", label).withField("description", F.col("id")))
 
 
+def ontologies(t: Tables):
+    """Each batch proposes an ontology: whole, without relations, without concepts, or none."""
+    m = F.substring("id", 2, 20).cast("long") % 4
+    concepts = F.expr("array(named_struct('type', 'Product', 'label', 'A part', 'description', ''), named_struct('type', 'Order', 'label', '', 'description', ''), named_struct('type', 'PRODUCT', 'label', 'again', 'description', ''), named_struct('type', '', 'label', '', 'description', ''))")
+    relations = F.expr("array(named_struct('relation', 'SUPPLIES', 'source', 'Order', 'target', 'Product', 'description', cast(NULL AS string)))")
+    p = t.batches.select(F.col("id").alias("source_uri"), F.when(m > 0, F.concat(F.lit("onto_"), m.cast("string"))).alias("name"), F.when(~m.isin(2, 3), concepts).alias("concepts"), F.when(~m.isin(1, 3), relations).alias("relations"), F.when(m == 1, 0.5).alias("confidence"))
+    return r.create_ontologies(t.batches.withColumn("source_uri", F.col("id")), p)
+
+
 def flagship_tables(t: Tables):
     docs = t.docs.filter("status = 'active'").select("uri", "text")
     none = lambda d: d.limit(0)
@@ -196,6 +206,29 @@ UNION ALL SELECT 'alert', 'stale_evidence', n FROM (SELECT count(*) AS n FROM {e
         lambda t: lc.stale_report(t.evidence).select("source_uri", "stale", "purged", F.array_join("rows.id", ",").alias("ids")),
         "SELECT source_uri, count(*) FILTER (WHERE status = 'stale') AS stale, count(*) FILTER (WHERE status = 'purged') AS purged, string_agg(id, ',' ORDER BY id) AS ids FROM {evidence} WHERE status IN ('stale', 'purged') GROUP BY 1",
     ),
+    "stale_rows": (
+        lambda t: lc.stale_rows(t.evidence.withColumn("source_uri", F.when(~F.col("source_uri").endswith("1"), F.col("source_uri")))),
+        "SELECT CASE WHEN source_uri LIKE '%1' THEN 'unknown' ELSE source_uri END AS source_uri, id, graph_item_id, batch_id, status, confidence, substr(coalesce(evidence_text, ''), 1, 200) AS text FROM {evidence} WHERE status IN ('stale', 'purged')",
+    ),
+    "stale_totals": (
+        lambda t: lc.stale_totals(t.evidence),
+        f"SELECT count(*) AS stale_total, count(*) FILTER (WHERE status = 'stale') AS stale, count(*) FILTER (WHERE status = 'purged') AS purged, count(DISTINCT source_uri) AS sources_affected, CASE WHEN count(*) > 0 THEN '{lc.RECOMMEND}' ELSE '{lc.NOTHING}' END AS recommendation FROM {{evidence}} WHERE status IN ('stale', 'purged')",
+    ),
+    "create_ontologies": (
+        lambda t: ontologies(t).select("batch_id", "name", "status", "confidence", F.array_join("concepts.type", ",").alias("concepts"), F.array_join("relations.relation", ",").alias("relations")),
+        f"SELECT batch_id, name, 'candidate' AS status, confidence, CASE WHEN m = 2 THEN '' ELSE 'Product,Order' END AS concepts, CASE WHEN m = 1 THEN '' ELSE 'SUPPLIES' END AS relations FROM {ONTOLOGY} o WHERE m < 3",
+    ),
+    "describe_batch_ontologies": (
+        lambda t: r.describe_batch(t.batches, t.items, ontologies(t)).select("id", F.size(F.coalesce("items", F.array())).cast("long").alias("n_items"), F.size(F.coalesce("ontologies", F.array())).cast("long").alias("n_ontologies"), F.try_element_at("ontologies.name", F.lit(1)).alias("name")),
+        f"SELECT b.id, count(i.id) AS n_items, CASE WHEN any_value(o.m) < 3 THEN 1 ELSE 0 END AS n_ontologies, CASE WHEN any_value(o.m) < 3 THEN any_value(o.name) END AS name FROM {{batches}} b LEFT JOIN {{flat_items}} i ON i.batch_id = b.id LEFT JOIN {ONTOLOGY} o ON o.batch_id = b.id GROUP BY b.id",
+    ),
+    "batch_rows": (
+        lambda t: r.batch_rows(t.batches, t.items, ontologies(t)).groupBy("batch_id", "part", "of", "status").agg(F.count("id").alias("n"), F.coalesce(F.min("seq"), F.lit(-1)).alias("first")),
+        f"""WITH o AS (SELECT * FROM {ONTOLOGY} q WHERE m < 3)
+SELECT b.id AS batch_id, x.part, x.of, x.status, count(x.id) AS n, coalesce(min(x.seq), -1) AS first FROM {{batches}} b LEFT JOIN (
+  SELECT batch_id, 'item' AS part, NULL AS of, status, id, seq FROM {{flat_items}} UNION ALL SELECT batch_id, 'concept', name, 'candidate', unnest(['Product', 'Order']), unnest([0, 1]) FROM o WHERE m <> 2
+  UNION ALL SELECT batch_id, 'relation', name, 'candidate', 'SUPPLIES', 0 FROM o WHERE m <> 1) x ON x.batch_id = b.id GROUP BY ALL""",
+    ),
     "list_evidence": (lambda t: t.evidence.filter("source_uri like '%0' and graph_item_id like 'node%'").orderBy("created_at", "id").select("id", "status"), "SELECT id, status FROM {evidence} WHERE source_uri LIKE '%0' AND graph_item_id LIKE 'node%'"),
     "distinct_sources": (lambda t: lc.distinct_sources(t.evidence), "SELECT DISTINCT source_uri AS uri FROM {evidence}"),
     "inventory_diff": (
