@@ -7,7 +7,7 @@ so meet in exactly one cell, where one of them lives at least. Large cells are c
 distances differ by more than w never meet. Where tiles meet, the products of the first quarter of the dimensions (in order of their variance) and of the norms of the rest bound
 the cosine, and rows that can't reach t are left out.
 
-Which pivots are chosen only changes the work. A group is never one task: rows meet their pivots in salted parts, and cells in tiles.
+Where a sample shows that cells wouldn't halve the pairs (vectors without clusters, wide angles), a group goes into tiles at once. Which pivots are chosen only changes the work. A group is never one task: rows meet their pivots in salted parts, and cells in tiles.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ STEP = 512
 SLACK = 1e-6
 
 GROUP = ["block", "dims", "path"]
+#: Ends the path of a group that cells wouldn't make cheaper: it goes into tiles as it is.
+KEPT = "!"
 
 
 def unit_rows(vectors: DataFrame, block: str, key: str, dot: Column) -> DataFrame:
@@ -66,6 +68,30 @@ def _chosen(x: np.ndarray, many: int) -> np.ndarray:
     return pivots
 
 
+def _cells_of(s: np.ndarray, pivots: np.ndarray, radius: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with products s with the pivots: the home of each, and which cells it is in (its home and those it visits)."""
+    far, at = np.arccos(np.clip(s, -1.0, 1.0)), np.arange(len(s))
+    home = np.argmin(far, 1)
+    there = far <= radius[None, :] + width + SLACK
+    if width < math.pi / 2:
+        apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+        there &= s[at, home][:, None] - s <= math.sin(width) * apart[home] + SLACK
+    there &= np.arange(s.shape[1])[None, :] < home[:, None]
+    there[at, home] = True
+    return home, there
+
+
+def _pays(x: np.ndarray, pivots: np.ndarray, n: int, width: float) -> bool:
+    """Whether cells would halve the pairs of the sampled rows x, without more copies of rows than tiles need."""
+    s = np.clip(x @ pivots.T, -1.0, 1.0)
+    far = np.arccos(s)
+    radius = np.full(len(pivots), -4.0)
+    np.maximum.at(radius, np.argmin(far, 1), far.min(1))
+    home, there = _cells_of(s, pivots, radius, width)
+    lives, copies = np.bincount(home, minlength=len(pivots)), there.sum(0)
+    return float((lives * (copies - lives / 2)).sum()) <= len(x) ** 2 / 4 and there.sum() <= len(x) * max(4, n / TILE_ROWS)
+
+
 def cut(v: DataFrame, large: DataFrame, width: float, level: int, folder: str) -> DataFrame:
     """v, the rows of large groups (GROUP, n): in the cells where they live and visit, with a bit of mask set where they visit."""
     v = v.join(large, GROUP)
@@ -73,9 +99,11 @@ def cut(v: DataFrame, large: DataFrame, width: float, level: int, folder: str) -
     sample = v.filter(F.pmod(F.xxhash64("id", F.lit(level)), F.col("n")) < SAMPLE * many).select(*GROUP, "n", "vector")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf.n.iloc[0])
-        pivots = _chosen(np.stack(pdf.vector.to_numpy()), min(MOST_PIVOTS, -(-n // PIVOT_ROWS)))
-        return pd.DataFrame({c: pdf[c].iloc[0] for c in GROUP} | {"n": n, "number": np.arange(len(pivots)), "pivot": list(pivots)})
+        n, x = int(pdf.n.iloc[0]), np.stack(pdf.vector.to_numpy())
+        pivots = _chosen(x, min(MOST_PIVOTS, -(-n // PIVOT_ROWS)))
+        if len(pivots) < 2 or not _pays(x, pivots, n, width):
+            pivots = pivots[:0]
+        return pd.DataFrame({c: pdf[c].iloc[0] for c in GROUP} | {"n": n, "number": np.arange(len(pivots)), "pivot": pd.Series(list(pivots), dtype=object)})
 
     kinds = {c: v.schema[c].dataType.simpleString() for c in (*GROUP, "id")}
     head = ", ".join(f"{c} {kinds[c]}" for c in GROUP)
@@ -103,22 +131,15 @@ def cut(v: DataFrame, large: DataFrame, width: float, level: int, folder: str) -
 
     def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):  # a group without pivots stays as it is
-            return left.assign(path=left.path + ".")[[*GROUP, "id", "mask", "far", "vector"]]
+            return left.assign(path=left.path + KEPT)[[*GROUP, "id", "mask", "far", "vector"]]
         right = right.sort_values("number")
         pivots, radius = np.stack(right["pivot"].to_numpy()), right["radius"].to_numpy()
-        apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
         done = []
         for k in range(0, len(left), TILE_ROWS):
             some = left.iloc[k : k + TILE_ROWS]
-            x = np.stack(some.vector.to_numpy())
-            s = np.clip(x @ pivots.T, -1.0, 1.0)
-            far, at = np.arccos(s), np.arange(len(some))
-            home = np.argmin(far, 1)
-            there = far <= radius[None, :] + width + SLACK
-            if width < math.pi / 2:
-                there &= s[at, home][:, None] - s <= math.sin(width) * apart[home] + SLACK
-            there &= np.arange(far.shape[1])[None, :] < home[:, None]
-            there[at, home] = True
+            s = np.clip(np.stack(some.vector.to_numpy()) @ pivots.T, -1.0, 1.0)
+            home, there = _cells_of(s, pivots, radius, width)
+            far = np.arccos(s)
             i, j = np.nonzero(there)
             out = some.iloc[i][[*GROUP, "id", "mask", "vector"]]
             done.append(out.assign(path=out.path + np.char.add(".", j.astype(str)), mask=out["mask"].to_numpy() | np.where(j == home[i], 0, 1 << level), far=far[i, j])[[*GROUP, "id", "mask", "far", "vector"]])
@@ -133,7 +154,7 @@ def cells(v: DataFrame, width: float, folder: str) -> DataFrame:
     v = written(v, folder, "rows")
     while level < ROUNDS:
         sizes = v.groupBy(*GROUP).agg(F.count("*").alias("n"))
-        large = written(sizes.filter(F.col("n") > TILE_ROWS), folder, f"large{level}")
+        large = written(sizes.filter((F.col("n") > TILE_ROWS) & ~F.col("path").endswith(KEPT)), folder, f"large{level}")
         if large.isEmpty():
             break
         done.append(v.join(large, GROUP, "left_anti"))
