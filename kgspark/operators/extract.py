@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_tags, lead_summary
+from ..functions.text import keyword_tags, lead_summary, segment_text
 from ..storage import shared_folder, written
 from .merge import confident, prune_dangling, with_entity_ids
 
@@ -51,14 +51,63 @@ def normalize_responses(parsed: DataFrame, doc: str = "uri", least: float = 0.5,
 
 
 def build_prompts(segments: DataFrame, concepts: list[tuple[str, str]], relations: list[str], instructions: str = "", kind: str = "all") -> DataFrame:
-    """segments (text): adds prompt. kind: all, nodes, or edges (then with a column known, an array of ids)."""
-    head = {"all": "List the entities and relations in the text as JSON.", "nodes": "List the entities in the text as JSON.", "edges": "List the relations between these entities as JSON."}[kind]
+    """segments (text): adds prompt. kind: all, nodes, edges (then with a column known, an array of ids), or tabular (text is the structural summary of a table; its own concepts and relations)."""
+    if kind == "tabular":
+        concepts, relations = TABLE_CONCEPTS, TABLE_RELATIONS
+    head = {"tabular": "Describe the table of this structural summary as JSON; list columns, never rows, and no column that isn't named.", "all": "List the entities and relations in the text as JSON.", "nodes": "List the entities in the text as JSON.", "edges": "List the relations between these entities as JSON."}[kind]
     lines = [head, *(f"- {t}: {d}" for t, d in (concepts if kind != "edges" else [])), *(f"- {r}" for r in (relations if kind != "nodes" else []))]
     known = [F.concat(F.lit("Known: "), F.array_join("known", ", "))] if kind == "edges" else []
     rules = [F.lit(f"Rules: {instructions}")] if instructions else []
     return segments.withColumn("prompt", F.concat_ws("\n", *map(F.lit, lines), *rules, *known, F.lit("Text:"), F.col("text")))
 
 
+#: What is to be known of a table.
+TABLE_CONCEPTS = [("Dataset", "The whole file, once"), ("Sheet", "Each sheet, once"), ("Field", "Each column, once"), ("DataType", "Only where it is plain")]
+TABLE_RELATIONS = ["HAS_FIELD", "BELONGS_TO_SHEET", "HAS_TYPE"]
+#: Characters of a structural summary, of a second attempt, and of a stand-in for a table's summary.
+TABLE_CHARS, SINGLE_CHARS, LEAD_CHARS = 6000, 100_000, 300
+
+
+def routed_segments(docs: DataFrame, doc: str = "uri", threshold: int = SINGLE_CHARS, size: int = 8000, overlap: int = 400) -> DataFrame:
+    """docs (doc, text, strategy): doc, chunk_index, text, route. Documents of the strategy structural_summary are one tabular segment, short ones one, long ones several; one pass over the texts."""
+    tabular = F.coalesce(F.col("strategy") == "structural_summary", F.lit(False))
+    whole = docs.filter(F.length("text") > 0)
+    tables = whole.filter(tabular).select(doc, F.lit(0).alias("chunk_index"), F.substring("text", 1, TABLE_CHARS).alias("text"), F.lit("tabular").alias("route"))
+    parts = segment_text(whole.filter(~tabular).select(F.struct(F.col(doc).alias("doc"), (F.length("text") > threshold).alias("long")).alias("_of"), "text"), "_of", size, overlap, threshold)
+    return tables.unionByName(parts.select(F.col("_of.doc").alias(doc), "chunk_index", "text", F.when(F.col("_of.long"), "segments").otherwise("single").alias("route")))
+
+
+def extract_documents(docs: DataFrame, call: Callable[[str], str | None], concepts: list[tuple[str, str]], relations: list[str], instructions: str = "", doc: str = "uri", parallel: int = 4, threshold: int = SINGLE_CHARS, size: int = 8000, overlap: int = 400) -> dict[str, DataFrame]:
+    """docs (doc, text, strategy), one row a document: all of them through a user's function, each by its route.
+
+    tabular: the structural summary in one call; where that fails, its beginning is the summary and tabular_data the tag. single, segments: each segment in a call. fallback: where
+    all segments of a document failed, its first SINGLE_CHARS characters in one call more. A call that fails leaves a row in failures, and the other segments as they are.
+    Result: what normalize_responses gives, failures (doc, chunk_index, route, error), and routes (doc, route, asked, failed): fallback where that was tried.
+    """
+    folder = shared_folder(docs.sparkSession)
+
+    def ask(rows: DataFrame, name: str) -> DataFrame:
+        kinds = [build_prompts(rows.filter(F.col("route") == "tabular"), concepts, relations, instructions, "tabular"), build_prompts(rows.filter(F.col("route") != "tabular"), concepts, relations, instructions)]
+        told = extract_with(kinds[0].unionByName(kinds[1]).withColumn("_at", F.struct(doc, "route")), call, "_at", parallel)
+        return written(told.select(F.col(f"_at.{doc}").alias(doc), F.col("_at.route").alias("route"), "chunk_index", "content", "error"), folder, name)
+
+    first = ask(routed_segments(docs, doc, threshold, size, overlap), "first")
+    good, bad = parse_responses(first)
+    tally = lambda told, ok: told.groupBy(doc, "route").agg(F.count("*").alias("asked")).join(ok.groupBy(doc).agg(F.count("*").alias("ok")), doc, "left").select(doc, "route", "asked", (F.col("asked") - F.coalesce("ok", F.lit(0))).alias("failed"))
+    counts = written(tally(first, good), folder, "counts")
+    lost = counts.filter("route = 'segments' and failed = asked").select(doc)
+    again = ask(docs.join(lost, doc, "left_semi").select(doc, F.lit(0).alias("chunk_index"), F.substring("text", 1, SINGLE_CHARS).alias("text"), F.lit("fallback").alias("route")), "again")
+    good2, bad2 = parse_responses(again)
+    out = normalize_responses(good.unionByName(good2), doc)
+    plain = docs.join(bad.filter("route = 'tabular'").select(doc), doc, "left_semi")
+    out["segments"] = out["segments"].unionByName(plain.select(doc, F.lit(0).alias("chunk_index"), F.substring("text", 1, LEAD_CHARS).alias("summary"), F.lit(None).cast("double").alias("confidence")))
+    out["tags"] = out["tags"].unionByName(plain.select(doc, F.lit(0).alias("chunk_index"), F.lit(0).alias("pos"), F.lit("tabular_data").alias("tag")))
+    error = F.coalesce("error", F.lit("no JSON object")).alias("error")
+    out["failures"] = bad.unionByName(bad2).select(doc, "chunk_index", "route", error)
+    out["routes"] = counts.unionByName(tally(again, good2)).groupBy(doc).agg(F.max_by("route", F.col("route") == "fallback").alias("route"), F.sum("asked").alias("asked"), F.sum("failed").alias("failed"))
+    return out
+
+
 def extract_with(prompts: DataFrame, call: Callable[[str], str | None], doc: str = "uri", parallel: int = 4) -> DataFrame:
     """doc, chunk_index, content, error: the user's function on each prompt, at most `parallel` calls at a time. A failed call is a row with its error."""
 

@@ -61,10 +61,35 @@ def stale_totals(evidence: DataFrame) -> DataFrame:
     return by.agg(zero("n").alias("stale_total"), zero("stale").alias("stale"), (zero("n") - zero("stale")).alias("purged"), F.count("*").alias("sources_affected"), F.when(zero("n") > 0, RECOMMEND).otherwise(NOTHING).alias("recommendation"))
 
 
-def inventory_diff(documents: DataFrame, listing: DataFrame) -> DataFrame:
-    """Known active documents of the drive that the listing lacks, with all_stale: whether that is every one of them."""
+def prefix_digests(uris: DataFrame, parts: int | None = None) -> DataFrame:
+    """uris (uri): prefix, n, digest: one row for each folder (all up to the last /; or its first `parts` parts), whatever the order of its uris. Keep it beside a large table: folders' rows add up."""
+    folder = F.regexp_replace("uri", "[^/]*$", "")
+    prefix = F.array_join(F.slice(F.split(folder, "/"), 1, parts), "/") if parts else folder
+    h = F.xxhash64("uri")
+    return uris.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"), F.struct(F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit((1 << 31) - 1))).alias("s")).alias("digest"))
+
+
+def unlike_prefixes(known: DataFrame, listing: DataFrame) -> DataFrame:
+    """Prefixes of the one's digests that the other lacks, or has with another count or digest."""
+    there = listing.select("prefix", F.col("n").alias("_n"), F.col("digest").alias("_digest"))
+    both = known.join(there, "prefix", "left")
+    return both.filter(~(F.col("n").eqNullSafe(F.col("_n")) & F.col("digest").eqNullSafe(F.col("_digest")))).select("prefix")
+
+
+def inventory_diff(documents: DataFrame, listing: DataFrame, levels: tuple[int | None, ...] = (5, None)) -> DataFrame:
+    """Known active documents of the drive that the listing lacks, with all_stale: whether that is every one of them.
+
+    A hash tree over the folders of both sides: at each level (a number of path parts; None: whole folders) only what lies below prefixes of unlike digests goes on, and only the uris of folders
+    that are unlike in the end are joined. Repeated uris of a listing make its folder unlike, no more. Two unlike folders with equal counts, 64-bit and 31-bit digests would be missed.
+    """
     known = documents.filter(F.startswith("uri", F.lit("cloudreve://")) & (F.col("status") == "active")).select("uri")
-    stale = known.join(listing.select("uri"), "uri", "left_anti")
+    folder = F.regexp_replace("uri", "[^/]*$", "")
+    left, right = known, listing.select("uri").filter(F.startswith("uri", F.lit("cloudreve://")))
+    for parts in levels:
+        unlike = unlike_prefixes(prefix_digests(left, parts), prefix_digests(right, parts))
+        prefix = F.array_join(F.slice(F.split(folder, "/"), 1, parts), "/") if parts else folder
+        left, right = (x.withColumn("prefix", prefix).join(unlike, "prefix", "left_semi").select("uri") for x in (left, right))
+    stale = left.join(right, "uri", "left_anti")
     counts = known.agg(F.count("*").alias("known")).join(stale.agg(F.count("*").alias("stale")), F.lit(True))
     return stale.join(F.broadcast(counts.select((F.col("known") == F.col("stale")).alias("all_stale"))), F.lit(True))  # one row
 

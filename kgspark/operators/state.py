@@ -54,7 +54,7 @@ def register_source_active(documents: DataFrame, batches: DataFrame) -> DataFram
 
 #: Hash buckets of a table's key, and the keys: a change of a few keys rewrites their buckets only.
 BUCKETS = 64
-BUCKET_KEYS = {"documents": "uri", "evidence": "source_uri", "chunks": "document_uri", "vectors": "uri", "nodes": "uri"}
+BUCKET_KEYS = {"documents": "uri", "evidence": "source_uri", "chunks": "document_uri", "vectors": "uri", "nodes": "uri", "degrees": "uri"}
 MANIFEST = "name string, bucket int, version string, schema string"
 
 
@@ -101,6 +101,14 @@ def _read(spark: SparkSession, root: str, name: str, rows: list, buckets: set[in
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def read_touched(keys: DataFrame, root: str, name: str, version: str | None = None) -> DataFrame:
+    """The rows of the keys (one column), out of their buckets only."""
+    rows = manifest(keys.sparkSession, root, version)[1]
+    touched = {r[0] for r in keys.select(bucket_of(keys.columns[0])).distinct().collect()}  # at most BUCKETS
+    found, key = _read(keys.sparkSession, root, name, rows, touched), BUCKET_KEYS[name]
+    return found.join(keys.select(F.col(keys.columns[0]).alias(key)).distinct(), key, "left_semi")
+
+
 def read_version(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame:
     return _read(spark, root, name, manifest(spark, root, version)[1])
 

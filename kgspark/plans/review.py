@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import degrees as dg
 from ..operators import graph as g
 from ..operators import lifecycle as lc
 from ..operators import review as r
 from ..operators import state as st
 from ..sources import files as fs
+from ..storage import shared_folder
 from .domain import Tables
 
 G = "id, batch_id, graph_item_id"
@@ -70,6 +72,15 @@ def committed(t: Tables, part: str):
     return r.commit_batch(t.full_batches, t.items, t.nodes, t.edges, t.evidence, links(t), F.lit("2024-01-01").cast("timestamp"))[part]
 
 
+def orphans_by_degrees(t: Tables):
+    """Degrees of the whole graph, then the edges of the deleted sources taken away."""
+    root, uris = shared_folder(t.spark), gone(t)
+    dg.write_degrees(t.nodes, t.edges, root, "0" * 12)
+    removed = g.touching(uris, t.edges).select(*t.edges.columns).dropDuplicates(["src_uri", "dst_uri", "id"])
+    touched = dg.change_degrees(root, "0" * 12, f"{1:012d}", t.edges.limit(0), removed)
+    return dg.touched_orphans(touched, root)
+
+
 def named_by_batch(t: Tables):
     """Items whose labels and descriptions differ between batches."""
     label = F.concat(F.lit("Part "), "payload.id", F.lit(" in "), "batch_id")
@@ -247,6 +258,11 @@ SELECT b.id AS batch_id, x.part, x.of, x.status, count(x.id) AS n, coalesce(min(
         lambda t: deleted(t, "nodes").select("uri"),
         f"SELECT uri FROM {{nodes}} WHERE uri NOT IN {GONE} AND (uri NOT LIKE 'entity://%' OR uri IN (SELECT unnest([src_uri, dst_uri]) FROM {OUT} o))",
     ),
+    "orphans_by_degrees": (
+        orphans_by_degrees,
+        f"SELECT DISTINCT uri FROM (SELECT unnest([src_uri, dst_uri]) AS uri FROM {{edges}} WHERE src_uri IN {GONE} OR dst_uri IN {GONE}) x WHERE uri LIKE 'entity://%' AND uri NOT IN (SELECT unnest([src_uri, dst_uri]) FROM {OUT} o)",
+    ),
+    "prefix_digests": (lambda t: lc.prefix_digests(t.docs.select("uri")).select("prefix", "n"), "SELECT regexp_replace(uri, '[^/]*$', '') AS prefix, count(*) AS n FROM {docs} GROUP BY 1"),
     "delete_source_edges": (lambda t: deleted(t, "edges").select("id", "src_uri", "dst_uri"), f"SELECT id, src_uri, dst_uri FROM {OUT} o"),
     "delete_source_vectors": (lambda t: deleted(t, "vectors").select("id", "uri"), f"SELECT id, source_file_uri AS uri FROM {{edges}} WHERE source_file_uri IS NOT NULL AND source_file_uri NOT IN {GONE}"),
     "delete_source_artifacts": (lambda t: deleted(t, "artifacts").select("key"), f"SELECT DISTINCT 'parsed-text/' || substr(sha256(source_uri), 1, 16) || '/' || split_part(source_uri, '/', -1) || '.txt' AS key FROM {{batches}} WHERE source_uri NOT IN {GONE}"),

@@ -110,6 +110,31 @@ PROMPT = "'List the entities and relations in the text as JSON.' || chr(10) || '
 #: Segments of a table of texts, of 8000 characters every 7600.
 SEGMENTS = "(SELECT uri, i AS chunk_index, substr(text, i * 7600 + 1, 8000) AS text FROM (SELECT {key} AS uri, text, unnest(generate_series(0, CASE WHEN length(text) <= 8000 THEN 0 ELSE ceil((length(text) - 8000) / 7600)::BIGINT END)) AS i FROM {table} WHERE length(text) > 0) a)"
 
+#: What the stand-in refuses: about half of all texts.
+REFUSED = "substr(md5({0}), 1, 1) < '8'"
+#: Each document of `docs` by its route, with its segments, the refused ones, and the summary that it ends with.
+ROUTED = f"""(SELECT uri, route, asked, failed, CASE WHEN route = 'tabular' THEN CASE WHEN failed = 1 THEN substr(text, 1, 300) ELSE least(length(text), 6000)::VARCHAR END
+    WHEN failed < asked THEN first WHEN route = 'segments' AND NOT {REFUSED.format("substr(text, 1, 100000)")} THEN least(length(text), 100000)::VARCHAR END AS summary, CASE WHEN {REFUSED.format("substr(text, 1, 100000)")} THEN 1 ELSE 0 END AS again
+  FROM (SELECT d.uri, any_value(d.text) AS text, CASE WHEN any_value(d.filename) LIKE '%.xlsx' THEN 'tabular' WHEN length(any_value(d.text)) > 8000 THEN 'segments' ELSE 'single' END AS route, count(*) AS asked,
+    count(*) FILTER (WHERE {REFUSED.format("s.text")}) AS failed, min_by(length(s.text)::VARCHAR, chunk_index) FILTER (WHERE NOT {REFUSED.format("s.text")}) AS first
+  FROM {{docs}} d JOIN (SELECT * FROM {SEGMENTS.format(table="{docs}", key="uri")} q WHERE uri NOT LIKE '%.xlsx' UNION ALL SELECT uri, 0, substr(text, 1, 6000) FROM {{docs}} WHERE filename LIKE '%.xlsx' AND length(text) > 0) s ON s.uri = d.uri GROUP BY d.uri) z)"""
+
+
+def half_refused(prompt: str) -> str:
+    import hashlib
+    import json
+
+    text = prompt.split("Text:\n", 1)[1]
+    if hashlib.md5(text.encode()).hexdigest() < "8":
+        raise ValueError("refused")
+    return json.dumps({"summary": str(len(text)), "tags": [], "entities": [], "relations": [], "key_points": []})
+
+
+def routed(t: Tables):
+    docs = t.docs.select("uri", "text", F.when(F.col("filename").endswith(".xlsx"), "structural_summary").alias("strategy"))
+    return ex.extract_documents(docs, half_refused, [("Topic", "A word")], ["NEAR"], threshold=8000)
+
+
 TABLES = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "benchmark": ["item_id"]}
 COLUMNS = {"region": "r_regionkey,r_name", "nation": "n_nationkey,n_name,n_regionkey", "customer": "c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment", "supplier": "s_suppkey,s_name,s_nationkey,s_acctbal", "part": "p_partkey,p_name,p_brand,p_type,p_size,p_retailprice", "benchmark": "item_id,text"}
 FIELDS = "(SELECT table_name AS sheet, column_name AS field FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{n}'" for n in TABLES) + "))"
@@ -256,6 +281,18 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS chunk_i
         lambda t: edge_extract(t).select("uri", F.col("chunk_index").cast("long").alias("chunk_index"), "content", "error"),
         f"""SELECT uri, chunk_index, '{{"summary": "' || length({PROMPT} || 'Be short' || chr(10) || 'Text:' || chr(10) || text)::VARCHAR || '", "tags": [], "entities": [], "relations": [], "key_points": []}}' AS content, NULL::VARCHAR AS error FROM {SEGMENTS.format(table='{documents}', key='doc_id::VARCHAR')} s""",
     ),
+    "extract_documents": (
+        lambda t: routed(t)["segments"].groupBy("uri").agg(F.min_by("summary", "chunk_index").alias("summary")),
+        f"SELECT uri, summary FROM {ROUTED} r WHERE summary IS NOT NULL",
+    ),
+    "extract_documents_routes": (
+        lambda t: routed(t)["routes"],
+        f"SELECT uri, CASE WHEN route = 'segments' AND failed = asked THEN 'fallback' ELSE route END AS route, CASE WHEN route = 'segments' AND failed = asked THEN asked + 1 ELSE asked END AS asked, CASE WHEN route = 'segments' AND failed = asked THEN failed + again ELSE failed END AS failed FROM {ROUTED} r",
+    ),
+    "build_prompts_tabular": (
+        lambda t: ex.build_prompts(t.docs.select("uri", F.substring("text", 1, ex.TABLE_CHARS).alias("text")), [], [], kind="tabular").select("uri", F.md5("prompt").alias("hash")),
+        "SELECT uri, md5('Describe the table of this structural summary as JSON; list columns, never rows, and no column that isn''t named.' || chr(10) || '- Dataset: The whole file, once' || chr(10) || '- Sheet: Each sheet, once' || chr(10) || '- Field: Each column, once' || chr(10) || '- DataType: Only where it is plain' || chr(10) || '- HAS_FIELD' || chr(10) || '- BELONGS_TO_SHEET' || chr(10) || '- HAS_TYPE' || chr(10) || 'Text:' || chr(10) || substr(text, 1, 6000)) AS hash FROM {docs}",
+    ),
     "summarize_with": (lambda t: ex.summarize_with(t.segments, lambda xs: str(len(xs))), "SELECT uri, CASE WHEN count(*) > 1 THEN count(*)::VARCHAR ELSE min(summary) END AS summary FROM {segments} WHERE trim(summary) <> '' GROUP BY uri"),
     "rule_extraction": (lambda t: ex.rule_extraction(t.docs)[0], "SELECT uri, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS summary FROM {docs}"),
     "qa_entities": (lambda t: qa.qa_entities(t.questions, t.nodes).withColumn("rank", F.col("rank").cast("long")), f"SELECT * FROM {QA_ENTITIES} q"),
