@@ -7,26 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import question_keywords
 from .graph import both_ways, is_entity
+from .label_index import keyword_grams, look_up, postings
 
 HITS, BUDGET = 6, 30
 
 
-def _grams(c: Column, n: int) -> Column:
-    """All runs of n characters."""
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-
-def qa_entities(questions: DataFrame, nodes: DataFrame, hits: int = HITS) -> DataFrame:
+def qa_entities(questions: DataFrame, nodes: DataFrame | None, hits: int = HITS, index: str | None = None) -> DataFrame:
     """question_id, rank, uri, label, keyword: up to `hits` nodes by label for each keyword; the first keyword keeps a node.
 
     Keywords meet labels by a join on runs of three characters (of two, for keywords of two): each keyword by that of its runs which the fewest labels have.
-    Labels that hold it are looked at once each, and every task sends on the first `hits` of a keyword only.
+    Labels that hold it are looked at once each, and every task sends on the first `hits` of a keyword only. index: the folder of a stored label_index, of which only the buckets
+    of the keywords' runs are read, in place of the nodes.
     """
     words = questions.select("question_id", F.posexplode(question_keywords(F.col("question"))).alias("k", "keyword"))
-    terms = words.select("keyword").distinct()
-    terms = terms.select("keyword", F.explode(F.array_distinct(F.when(F.length("keyword") == 2, F.array("keyword")).otherwise(_grams(F.col("keyword"), 3)))).alias("gram"))
-    low = F.lower("label")
-    labels = nodes.filter(is_entity(F.col("uri"))).select("uri", "label", F.explode(F.array_distinct(F.concat(_grams(low, 2), _grams(low, 3)))).alias("gram"))
+    terms = keyword_grams(words.select("keyword").distinct())
+    labels = look_up(questions.sparkSession, terms, index) if index else postings(nodes)
     counts = labels.join(terms.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = terms.join(counts, "gram", "left").groupBy("keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram"))["gram"].alias("gram"))
     found = labels.join(rarest, "gram").filter(F.contains(F.lower("label"), F.col("keyword"))).select("keyword", "uri", "label")

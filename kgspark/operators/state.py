@@ -54,7 +54,7 @@ def register_source_active(documents: DataFrame, batches: DataFrame) -> DataFram
 
 #: Hash buckets of a table's key, and the keys: a change of a few keys rewrites their buckets only.
 BUCKETS = 64
-BUCKET_KEYS = {"documents": "uri", "evidence": "source_uri", "chunks": "document_uri", "vectors": "uri", "nodes": "uri", "degrees": "uri"}
+BUCKET_KEYS = {"documents": "uri", "evidence": "source_uri", "chunks": "document_uri", "vectors": "uri", "nodes": "uri", "degrees": "uri", "grams": "gram"}
 MANIFEST = "name string, bucket int, version string, schema string"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,14 +91,27 @@ def with_tables(sql: str) -> str:
 
 #: Derived tables that queries name more than once, or that aggregate; each is written once for an application and folder of given tables.
 KEPT = ("nodes", "edges", "flat_items", "graph_items", "evidence", "entities", "relations")
-_kept: dict[tuple[str, str, str], str] = {}
+_kept: dict[tuple, str] = {}
 
 
 class Tables:
     """Given and derived tables as DataFrames: t.nodes, t.lineitem."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._files = spark, sf_dir, None
+
+    def kept(self, name: str, write: Callable[[str], object]) -> str:
+        """The folder that `write` wrote to, once for an application, a folder of given tables, and the files in it: where these change, it is written again."""
+        if self._files is None:
+            found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(self.sf_dir)
+            h = F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")
+            self._files = tuple(found.agg(F.count("*"), F.sum(h)).first())  # of a listing; no file is read
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, self._files)
+        if key not in _kept:
+            folder = shared_folder(self.spark)
+            write(folder)
+            _kept[key] = folder
+        return _kept[key]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name == "items":
@@ -110,10 +124,5 @@ class Tables:
             derived = self.spark.sql(text, **{n: getattr(self, n) for n in set(re.findall(r"\{(\w+)\}", text))})
             if name not in KEPT:
                 return derived
-            key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-            if key not in _kept:
-                folder = shared_folder(self.spark)
-                written(derived, folder, name)
-                _kept[key] = f"{folder}/{name}"
-            return self.spark.read.schema(derived.schema).parquet(_kept[key])
+            return self.spark.read.schema(derived.schema).parquet(self.kept(name, lambda folder: written(derived, folder, name)) + f"/{name}")
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -73,10 +73,10 @@ def committed(t: Tables, part: str):
 
 
 def orphans_by_degrees(t: Tables):
-    """Degrees of the whole graph, then the edges of the deleted sources taken away."""
-    root, uris = shared_folder(t.spark), gone(t)
+    """Degrees of the whole graph, then the edges of some suppliers taken away."""
+    root = shared_folder(t.spark)
     dg.write_degrees(t.nodes, t.edges, root, "0" * 12)
-    removed = g.touching(uris, t.edges).select(*t.edges.columns).dropDuplicates(["src_uri", "dst_uri", "id"])
+    removed = t.edges.filter("startswith(src_uri, 'entity://organization_') and src_uri like '%3'")
     touched = dg.change_degrees(root, "0" * 12, f"{1:012d}", t.edges.limit(0), removed)
     return dg.touched_orphans(touched, root)
 
@@ -260,7 +260,7 @@ SELECT b.id AS batch_id, x.part, x.of, x.status, count(x.id) AS n, coalesce(min(
     ),
     "orphans_by_degrees": (
         orphans_by_degrees,
-        f"SELECT DISTINCT uri FROM (SELECT unnest([src_uri, dst_uri]) AS uri FROM {{edges}} WHERE src_uri IN {GONE} OR dst_uri IN {GONE}) x WHERE uri LIKE 'entity://%' AND uri NOT IN (SELECT unnest([src_uri, dst_uri]) FROM {OUT} o)",
+        f"WITH e AS (SELECT *, starts_with(src_uri, 'entity://organization_') AND src_uri LIKE '%3' AS removed FROM {{edges}}) SELECT DISTINCT uri FROM (SELECT unnest([src_uri, dst_uri]) AS uri FROM e WHERE removed) x WHERE uri LIKE 'entity://%' AND uri NOT IN (SELECT unnest([src_uri, dst_uri]) FROM e WHERE NOT removed)",
     ),
     "prefix_digests": (lambda t: lc.prefix_digests(t.docs.select("uri")).select("prefix", "n"), "SELECT regexp_replace(uri, '[^/]*$', '') AS prefix, count(*) AS n FROM {docs} GROUP BY 1"),
     "delete_source_edges": (lambda t: deleted(t, "edges").select("id", "src_uri", "dst_uri"), f"SELECT id, src_uri, dst_uri FROM {OUT} o"),

@@ -8,11 +8,13 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import classify as cl
 from ..operators import extract as ex
+from ..operators import label_index as li
 from ..operators import merge as mg
 from ..operators import qa
 from ..sources import files as fs
 from ..sources import tables as tb
 from ..sources import templates as tp
+from ..storage import shared_folder
 from .domain import Tables
 
 IDS = "CASE WHEN id = '' THEN lower(type) || '_' || replace(lower(label), ' ', '_') ELSE id END"
@@ -110,6 +112,19 @@ PROMPT = "'List the entities and relations in the text as JSON.' || chr(10) || '
 #: Segments of a table of texts, of 8000 characters every 7600.
 SEGMENTS = "(SELECT uri, i AS chunk_index, substr(text, i * 7600 + 1, 8000) AS text FROM (SELECT {key} AS uri, text, unnest(generate_series(0, CASE WHEN length(text) <= 8000 THEN 0 ELSE ceil((length(text) - 8000) / 7600)::BIGINT END)) AS i FROM {table} WHERE length(text) > 0) a)"
 
+def label_index(t: Tables) -> str:
+    """The index of the nodes' labels, written once for an application and folder of given tables."""
+    return t.kept("label_index", lambda folder: li.write_index(t.nodes, folder, "0" * 12))
+
+
+def renamed_index(t: Tables) -> str:
+    """The index after every node whose uri ends in 2 has got another label."""
+    folder, some = shared_folder(t.spark), t.nodes.filter("uri like '%2'")
+    li.write_index(t.nodes, folder, "0" * 12)
+    li.change_index(folder, "0" * 12, f"{1:012d}", some, some.withColumn("label", F.concat(F.lit("Nation of "), "id")))
+    return folder
+
+
 #: What the stand-in refuses: about half of all texts.
 REFUSED = "substr(md5({0}), 1, 1) < '8'"
 #: Each document of `docs` by its route, with its segments, the refused ones, and the summary that it ends with.
@@ -295,8 +310,12 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS chunk_i
     ),
     "summarize_with": (lambda t: ex.summarize_with(t.segments, lambda xs: str(len(xs))), "SELECT uri, CASE WHEN count(*) > 1 THEN count(*)::VARCHAR ELSE min(summary) END AS summary FROM {segments} WHERE trim(summary) <> '' GROUP BY uri"),
     "rule_extraction": (lambda t: ex.rule_extraction(t.docs)[0], "SELECT uri, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS summary FROM {docs}"),
-    "qa_entities": (lambda t: qa.qa_entities(t.questions, t.nodes).withColumn("rank", F.col("rank").cast("long")), f"SELECT * FROM {QA_ENTITIES} q"),
-    "qa_relations": (lambda t: qa.qa_relations(qa.qa_entities(t.questions, t.nodes), t.edges), f"SELECT * FROM {QA_RELATIONS} q"),
+    "qa_entities": (lambda t: qa.qa_entities(t.questions, None, index=label_index(t)).withColumn("rank", F.col("rank").cast("long")), f"SELECT * FROM {QA_ENTITIES} q"),
+    "qa_entities_renamed": (
+        lambda t: qa.qa_entities(t.questions, None, index=renamed_index(t)).select("question_id", "uri", "label", "keyword"),
+        f"WITH v AS (SELECT uri, CASE WHEN uri LIKE '%2' THEN 'Nation of ' || id ELSE label END AS label FROM {{nodes}}) SELECT question_id, uri, label, keyword FROM {QA_ENTITIES.replace('{nodes}', 'v')} q",
+    ),
+    "qa_relations": (lambda t: qa.qa_relations(qa.qa_entities(t.questions, None, index=label_index(t)), t.edges), f"SELECT * FROM {QA_RELATIONS} q"),
     "qa_evidence": (lambda t: qa.qa_context(t.questions, t.nodes, t.edges, t.evidence, t.items, t.batches)["evidence"].select("question_id", "id", "graph_item_id", "status"), f"SELECT * FROM {QA_EVIDENCE} q"),
     "qa_candidates": (
         lambda t: qa.qa_candidates(t.items, t.batches).select("batch_id", "source_uri", "batch_status", "item_id", "kind", F.col("payload.label").alias("label"), "status"),
