@@ -151,9 +151,9 @@ QUERIES = {
     "template_to_ontology": (
         lambda t: tp.template_to_ontology(part_templates(t)).select("template_id", F.array_join("concepts.concept", ",").alias("concepts"), F.array_join("concepts.description", "|").alias("descriptions"), F.array_join("relations", ",").alias("relations"), "instructions"),
         f"""SELECT 'parts/part_' || p_partkey::VARCHAR AS template_id, CASE WHEN flat THEN 'Type,WearGrade' ELSE upper(left(a, 1)) || substr(a, 2) || ',' || upper(left(b, 1)) || substr(b, 2) || ',WearGrade' END AS concepts,
-CASE WHEN flat THEN 'Entity type: ' || replace(p_name, ' ', '/') || ', etc.' ELSE upper(left(a, 1)) || substr(a, 2) || ': named ' || a || ' entity.|' || upper(left(b, 1)) || substr(b, 2) || ': named ' || b || ' entity.' END || '|' || {WEAR} AS descriptions,
+CASE WHEN flat THEN 'Entity type: ' || replace(p_name, ' ', '/') || ', etc.' ELSE 'A thing of the kind ' || a || '.|A thing of the kind ' || b || '.' END || '|' || {WEAR} AS descriptions,
 CASE WHEN flat THEN 'RELATES_TO' ELSE 'MADE_BY,PART_OF' END AS relations,
-CASE WHEN p_partkey % 6 = 0 THEN 'Role: Clerk Rules: (1) Keep brands (2) Skip prices' WHEN p_partkey % 3 = 0 THEN 'Role: Clerk' WHEN p_partkey % 2 = 0 THEN 'Rules: (1) Keep brands (2) Skip prices' ELSE 'Extract named, specific entities only.' END AS instructions
+CASE WHEN p_partkey % 6 = 0 THEN 'Role: Clerk Rules: (1) Keep brands (2) Skip prices' WHEN p_partkey % 3 = 0 THEN 'Role: Clerk' WHEN p_partkey % 2 = 0 THEN 'Rules: (1) Keep brands (2) Skip prices' ELSE 'Take only what the text itself names.' END AS instructions
 FROM (SELECT *, p_partkey % 4 IN (1, 3) AS flat, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM {{part}}) p""",
     ),
     "bilingual_text": (
