@@ -198,9 +198,9 @@ def test_similar_pairs_of_all_vectors(spark, tmp_path, monkeypatch):
     """Against brute force: ids of 400 and more, one block of most rows, more tiles than one."""
     import numpy as np
 
-    from kgspark.functions import vectors as vx
+    from kgspark.functions import metric_join
 
-    monkeypatch.setattr(vx, "TILE_ROWS", 100)
+    monkeypatch.setattr(metric_join, "TILE_ROWS", 100)
     x = np.random.default_rng(3).normal(size=(450, 8))
     label = [0 if i % 5 else 1 + i % 2 for i in range(450)]
     spark.createDataFrame([(i, v, b) for i, (v, b) in enumerate(zip(x.tolist(), label, strict=True))], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
