@@ -87,9 +87,10 @@ def extract_documents(docs: DataFrame, call: Callable[[str], str | None], concep
     folder = shared_folder(docs.sparkSession)
 
     def ask(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.withColumn("_at", F.struct(doc, "route", F.when(F.col("route") == "tabular", F.substring("text", 1, LEAD_CHARS)).alias("lead")))
         kinds = [build_prompts(rows.filter(F.col("route") == "tabular"), concepts, relations, instructions, "tabular"), build_prompts(rows.filter(F.col("route") != "tabular"), concepts, relations, instructions)]
-        told = extract_with(kinds[0].unionByName(kinds[1]).withColumn("_at", F.struct(doc, "route")), call, "_at", parallel)
-        return written(told.select(F.col(f"_at.{doc}").alias(doc), F.col("_at.route").alias("route"), "chunk_index", "content", "error"), folder, name)
+        told = extract_with(kinds[0].unionByName(kinds[1]), call, "_at", parallel)
+        return written(told.select(F.col(f"_at.{doc}").alias(doc), "_at.route", "_at.lead", "chunk_index", "content", "error"), folder, name)
 
     first = ask(routed_segments(docs, doc, threshold, size, overlap), "first")
     good, bad = parse_responses(first)
@@ -99,8 +100,8 @@ def extract_documents(docs: DataFrame, call: Callable[[str], str | None], concep
     again = ask(docs.join(lost, doc, "left_semi").select(doc, F.lit(0).alias("chunk_index"), F.substring("text", 1, SINGLE_CHARS).alias("text"), F.lit("fallback").alias("route")), "again")
     good2, bad2 = parse_responses(again)
     out = normalize_responses(good.unionByName(good2), doc)
-    plain = docs.join(bad.filter("route = 'tabular'").select(doc), doc, "left_semi")
-    out["segments"] = out["segments"].unionByName(plain.select(doc, F.lit(0).alias("chunk_index"), F.substring("text", 1, LEAD_CHARS).alias("summary"), F.lit(None).cast("double").alias("confidence")))
+    plain = bad.filter("route = 'tabular'")
+    out["segments"] = out["segments"].unionByName(plain.select(doc, F.lit(0).alias("chunk_index"), F.col("lead").alias("summary"), F.lit(None).cast("double").alias("confidence")))
     out["tags"] = out["tags"].unionByName(plain.select(doc, F.lit(0).alias("chunk_index"), F.lit(0).alias("pos"), F.lit("tabular_data").alias("tag")))
     error = F.coalesce("error", F.lit("no JSON object")).alias("error")
     out["failures"] = bad.unionByName(bad2).select(doc, "chunk_index", "route", error)
