@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from ..functions.vectors import similar_pairs
 from ..storage import shared_folder, written
 from .components import connected_components
 
+#: Entities of a document that are compared within one task; larger documents' meet by a metric join. Rows of a task's group of documents; numbers of an array of products.
+DOC_ROWS, GROUP_ROWS, PRODUCTS = 1000, 20_000, 1 << 21
+
 
 def _first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
@@ -96,12 +100,57 @@ def remap_endpoints(relations: DataFrame, canonical: DataFrame, entities: DataFr
     return prune_dangling(dedup_relations(relations, doc), entities, doc)
 
 
-def semantic_dedup(entities: DataFrame, relations: DataFrame, embed: Callable[[list[str]], list[list[float]]], threshold: float = 0.88, doc: str = "uri") -> dict[str, DataFrame]:
-    """entities (doc, id, label, confidence, chunk_index, pos), one row for each id of a document: those of a document whose labels' vectors are near become the surest one.
-
-    entities, relations (with canonical ends) and merged (doc, id, canonical). embed is a user's function on labels; where it fails, entities stay as they are.
-    """
-    folder = shared_folder(entities.sparkSession)
+def _unit_vectors(vectors: list | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n vectors of unit length, filled up with zeros, and their numbers of dimensions; 0 for those that are missing, hold nulls or have no direction."""
+    found = [v if v is not None else () for v in vectors] if vectors is not None and len(vectors) == n else [()] * n
+    dims = np.array([len(v) for v in found], np.int64)
+    x = np.zeros((n, max(1, dims.max(initial=0))))
+    for d in np.unique(dims[dims > 0]):
+        x[dims == d, :d] = np.array([v for v, k in zip(found, dims, strict=True) if k == d], np.float64)
+    with np.errstate(all="ignore"):
+        size = np.sqrt((x * x).sum(1))
+        dims[~((size > 0) & np.isfinite(size))] = 0
+        return np.where(dims[:, None] > 0, x / size[:, None], 0.0), dims
+
+
+def _firsts(near: np.ndarray) -> np.ndarray:
+    """near (groups, n, n): for each row the first one that it is connected with."""
+    first = np.broadcast_to(np.arange(near.shape[1]), near.shape[:2])
+    while True:
+        new = np.where(near, first[:, None, :], near.shape[1]).min(2)
+        new = np.take_along_axis(new, new, 1)
+        if (new == first).all():
+            return first
+        first = new
+
+
+def _within(rows: pd.DataFrame, embed: Callable[[list[str]], list[list[float]]], threshold: float) -> pd.DataFrame:
+    """rows (doc, id, label, confidence, chunk_index, pos) of whole documents: doc, id, canonical of those that become another. Documents of equal numbers of entities are compared at once."""
+    sure = np.where(np.isnan(rows.confidence), np.inf, -rows.confidence)
+    rows = rows.assign(number=pd.factorize(rows.doc)[0], sure=sure).sort_values(["number", "sure", "chunk_index", "pos", "id"], na_position="first", ignore_index=True)
+    of, labels = pd.factorize(rows.label)
+    try:
+        x, dims = _unit_vectors(embed(labels.tolist()), len(labels))
+    except Exception:  # a user's call may fail in any way
+        return rows.iloc[:0].assign(canonical=rows.id.iloc[:0])[["doc", "id", "canonical"]]
+    sizes = np.bincount(rows.number)
+    starts = np.cumsum(sizes) - sizes
+    best = np.arange(len(rows))
+    for n in np.unique(sizes[sizes > 1]):
+        some = starts[sizes == n]
+        step = max(1, PRODUCTS // int(n * max(n, x.shape[1])))
+        for k in range(0, len(some), step):
+            at = some[k : k + step, None] + np.arange(n)
+            v, d = x[of[at]], dims[of[at]]
+            near = (v @ v.transpose(0, 2, 1) >= threshold) & (d[:, :, None] == d[:, None, :]) & (d[:, :, None] > 0)
+            near |= np.eye(n, dtype=bool)
+            best[at] = np.take_along_axis(at, _firsts(near), 1)
+    out = rows.assign(canonical=rows.id.to_numpy()[best])[["doc", "id", "canonical"]]
+    return out[out.id != out.canonical]
+
+
+def _across(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], threshold: float, folder: str) -> DataFrame:
+    """The same of documents of any size, whose entities meet by a metric join."""
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
@@ -110,13 +159,29 @@ def semantic_dedup(entities: DataFrame, relations: DataFrame, embed: Callable[[l
             except Exception:  # a user's call may fail in any way
                 yield pd.Series([None] * len(s), dtype=object)
 
-    e = entities.withColumn("_key", F.struct(doc, "id"))
-    keyed = e.select("_key", doc, F.struct("chunk_index", "pos").alias("place"), "confidence", F.pandas_udf(run, "array<double>")(F.coalesce("label", "id")).alias("vector"))
-    keyed = written(keyed.withColumn("key", F.to_json("_key")), folder, "vectors")
-    clusters = entity_clusters(keyed.select("key"), similar_pairs(keyed.filter("vector is not null"), doc, "key", threshold), "key")
+    keyed = rows.select("doc", "id", F.to_json(F.struct("doc", "id")).alias("key"), F.struct("chunk_index", "pos", "id").alias("place"), "confidence", F.pandas_udf(run, "array<double>")("label").alias("vector"))
+    keyed = written(keyed, folder, "vectors")
+    clusters = entity_clusters(keyed.select("key"), similar_pairs(keyed.filter("vector is not null"), "doc", "key", threshold), "key")
     best = canonical_entities(keyed, clusters, "key", "place").filter("key <> canonical")
-    id_of = keyed.select(F.col("key").alias("canonical"), F.col("_key.id").alias("to"))
-    merged = written(best.join(keyed.select("key", "_key"), "key").join(id_of, "canonical").select(F.col(f"_key.{doc}").alias(doc), F.col("_key.id").alias("id"), F.col("to").alias("canonical")), folder, "merged")
+    return best.join(keyed.select("key", "doc", "id"), "key").join(keyed.select(F.col("key").alias("canonical"), F.col("id").alias("to")), "canonical").select("doc", "id", F.col("to").alias("canonical"))
+
+
+def semantic_dedup(entities: DataFrame, relations: DataFrame, embed: Callable[[list[str]], list[list[float]]], threshold: float = 0.88, doc: str = "uri") -> dict[str, DataFrame]:
+    """entities (doc, id, label, confidence, chunk_index, pos), one row for each id of a document: those of a document whose labels' vectors are near become the surest one.
+
+    entities, relations (with canonical ends) and merged (doc, id, canonical). embed is a user's function on labels; where it fails, entities stay as they are.
+    """
+    folder = shared_folder(entities.sparkSession)
+    kinds = {c: entities.schema[c].dataType.simpleString() for c in (doc, "id")}
+    rows = entities.filter(F.col(doc).isNotNull() & F.col("id").isNotNull())
+    rows = written(rows.select(F.col(doc).alias("doc"), "id", F.coalesce("label", "id").alias("label"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.8)).alias("confidence"), "chunk_index", "pos"), folder, "rows")
+    large = written(rows.groupBy("doc").agg(F.count("*").alias("n")).filter(F.col("n") > DOC_ROWS).select("doc"), folder, "large")
+    groups = max(1, rows.count() // GROUP_ROWS)
+    small = rows.join(large, "doc", "left_anti").withColumn("group", F.pmod(F.xxhash64("doc"), F.lit(groups)))
+    merged = small.groupBy("group").applyInPandas(lambda pdf: _within(pdf, embed, threshold), f"doc {kinds[doc]}, id {kinds['id']}, canonical {kinds['id']}")
+    if not large.isEmpty():
+        merged = merged.unionByName(_across(rows.join(large, "doc", "left_semi"), embed, threshold, folder))
+    merged = written(merged.withColumnRenamed("doc", doc), folder, "merged")
     kept = entities.join(merged, [doc, "id"], "left_anti")
     for end in ("source", "target"):
         m = merged.select(doc, F.col("id").alias(end), F.col("canonical").alias("_to"))

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,49 @@ def test_semantic_dedup(spark):
     assert same["entities"].count() == 4 and same["relations"].count() == 4
 
 
+def test_semantic_dedup_of_many_documents(spark, monkeypatch):
+    """Documents of few entities need no metric join; chains, failing vectors, unlike dimensions and ties, against a plain version, in both ways."""
+    from kgspark.operators import merge
+
+    rng = np.random.default_rng(5)
+    vector = {f"l{i}": [float(x) for x in np.cos([i * 0.35, i * 0.35 + 1.6])] for i in range(18)} | {"short": [1.0], "short2": [2.0], "zero": [0.0, 0.0], "null": [1.0, None], "inf": [float("inf"), 1.0]}
+    names, rows = list(vector), []
+    for d in range(60):
+        for k in range(int(rng.integers(1, 9))):
+            rows.append((f"d{d}", k // 2, k % 2, f"e{k}", names[int(rng.integers(len(names)))], [None, 0.5, 0.8, 0.9, float("nan")][int(rng.integers(5))]))
+    rows += [("big", k, 0, f"e{k:02d}", names[k % 20], 0.8) for k in range(40)] + [(None, 0, 0, "e0", "l1", 0.9), (None, 0, 1, "e1", "l1", 0.9)]
+    e = spark.createDataFrame(rows, "uri string, chunk_index int, pos int, id string, label string, confidence double")
+    r = spark.createDataFrame([], "uri string, chunk_index int, pos int, source string, target string, relation string")
+
+    def near(a, b):
+        x, y = vector[a], vector[b]
+        if None in x + y or len(x) != len(y) or not np.isfinite(x + y).all() or not any(x) or not any(y):
+            return False
+        return np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.88
+
+    want = set()
+    for d in {x[0] for x in rows} - {None}:
+        own = sorted((x for x in rows if x[0] == d), key=lambda x: (np.inf if x[5] is not None and np.isnan(x[5]) else -(0.8 if x[5] is None else x[5]), x[1], x[2], x[3]))
+        best = {}
+        for x in own:
+            if x[3] not in best:
+                todo = [x]
+                while todo:
+                    y = todo.pop()
+                    if y[3] not in best:
+                        best[y[3]] = x[3]
+                        todo += [z for z in own if near(y[4], z[4])]
+        want |= {(d, i, c) for i, c in best.items() if i != c}
+    call = lambda xs: [vector[x] for x in xs]
+    with monkeypatch.context() as m:
+        m.setattr(merge, "similar_pairs", None)
+        assert {tuple(x) for x in merge.semantic_dedup(e, r, call)["merged"].collect()} == want and len(want) > 60
+    with monkeypatch.context() as m:
+        m.setattr(merge, "DOC_ROWS", 20)
+        m.setattr(merge, "GROUP_ROWS", 50)
+        assert {tuple(x) for x in merge.semantic_dedup(e, r, call)["merged"].collect()} == want
+
+
 def test_paragraph_chunks():
     from kgspark.functions.text import paragraph_chunks
 
