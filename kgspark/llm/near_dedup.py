@@ -12,7 +12,7 @@ Groups of any size are worked on without listing their pairs:
 2. Under each key, every document is compared with one of the key only: the one that shares most keys (a group's centre). Most links
    of a large group show here, and join it.
 3. Keys whose documents are still in different components are left. There, pairs across components are compared, once each: under the
-   first key that both have, and only if sizes and 512-bit maps of the shingles leave 75 % possible, which loses no link. Pairs within a component
+   first key that both have, and only if sizes and maps of the shingles (of 512 bits, then of 2048) leave 75 % possible, which loses no link. Pairs within a component
    needn't be compared, as they can't change it.
 So no link between different components is lost among the pairs that meet.
 
@@ -38,6 +38,8 @@ SHINGLE = 5
 SYMBOLS, CHUNKS = 48, 9
 #: Links need 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
+#: Words of the map that pairs across components must pass, too.
+WIDE = 32
 #: Documents of a block of a key, and rows of a task, where pairs across components are compared.
 BLOCK_ROWS, TASK_ROWS = 256, 4096
 _rng = np.random.default_rng(20240229)
@@ -88,15 +90,15 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
     return mix(sums[:, _CHUNK] - terms + _TAGS)
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """512 bits, of which each shingle sets one."""
-    bits = np.zeros(512, np.uint8)
-    bits[(shingles >> np.uint64(20)).astype(np.int64) & 511] = 1
+def bitmap(shingles: np.ndarray, words: int = 8) -> np.ndarray:
+    """Words of 64 bits, of which each shingle sets one."""
+    bits = np.zeros(64 * words, np.uint8)
+    bits[(shingles >> np.uint64(20)).astype(np.int64) & (64 * words - 1)] = 1
     return np.packbits(bits).view(np.int64)
 
 
-FEATURES = "doc_id long, n long, h1 long, h2 long, bits array<long>, sig array<short>, keys array<long>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bits", pa.list_(pa.int64())), ("sig", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
+FEATURES = "doc_id long, n long, h1 long, h2 long, bits array<long>, wide array<long>, sig array<short>, keys array<long>"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bits", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64())), ("sig", pa.list_(pa.int16())), ("keys", pa.list_(pa.int64()))])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,15 +107,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, SYMBOLS), np.uint16)
         sums = [np.array([mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (0x1234567, 0x89ABCDEF)]
         lists = []
-        for values, width, kind in ((np.concatenate([bitmap(s) for s in sets] or [np.zeros(0, np.int64)]), 8, pa.int64()), (sigs.ravel().view(np.int16), SYMBOLS, pa.int16()), (index_keys(sigs).ravel().view(np.int64), SYMBOLS, pa.int64())):
+        maps = [(np.concatenate([bitmap(s, w) for s in sets] or [np.zeros(0, np.int64)]), w, pa.int64()) for w in (8, WIDE)]
+        for values, width, kind in (*maps, (sigs.ravel().view(np.int16), SYMBOLS, pa.int16()), (index_keys(sigs).ravel().view(np.int64), SYMBOLS, pa.int64())):
             lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * width, pa.int32()), pa.array(values, kind)))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums), *lists], schema=_ARROW)
 
 
-def _possible(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
+def _possible(n1: Column, bits1: Column, n2: Column, bits2: Column, words: int = 8) -> Column:
     """Whether sizes and bit maps leave the similarity possible: a bit that only one set has is a shingle that the other lacks."""
     only1, only2 = F.lit(0), F.lit(0)
-    for k in range(8):
+    for k in range(words):
         x, y = bits1[k], bits2[k]
         only1 = only1 + F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
         only2 = only2 + F.bit_count(y.bitwiseAND(F.bitwise_not(x)))
@@ -160,7 +163,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     feats = written(docs.mapInArrow(_features, FEATURES), folder, "features")
     classes = written(feats.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), folder, "classes")
     first = feats.join(classes.select(F.col("rep").alias("doc_id"), "n", "h1", "h2"), ["doc_id", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
-    first = written(first.select(F.col("doc_id").alias("doc"), "n", "bits", "sig", "keys"), folder, "first")
+    first = written(first.select(F.col("doc_id").alias("doc"), "n", "bits", "wide", "sig", "keys"), folder, "first")
 
     filed = first.select("doc", F.posexplode("keys").alias("tag", "key"))
     shared = filed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -176,13 +179,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     filed = written(filed.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "tag", "doc", F.coalesce("component", "doc").alias("component")), folder, "coloured")
     largest = filed.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("colours"), F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("rows"))
     left = filed.join(largest.filter("colours > 1"), "key").select("key", "tag", "doc", "component", (F.col("component") == F.col("largest")).alias("most"), F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"))
-    left = written(left.join(first.select("doc", "n", "bits", "sig"), "doc"), folder, "left")
+    left = written(left.join(first.select("doc", "n", "bits", "wide", "sig"), "doc"), folder, "left")
     # one side of a key's documents is dealt into blocks, the other meets each of them: a key of many documents is many small groups
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), left.count() // TASK_ROWS)
     x = left.filter("not most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition(tasks, "key", "block").alias("x")
     y = left.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).repartition(tasks, "key", "block").alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.most") | (F.col("x.doc") < F.col("y.doc")))
     across &= _possible(F.col("x.n"), F.col("x.bits"), F.col("y.n"), F.col("y.bits")) & (F.col("x.tag") == _first_key(F.col("x.sig"), F.col("y.sig")))
+    across &= _possible(F.col("x.n"), F.col("x.wide"), F.col("y.n"), F.col("y.wide"), WIDE)
     more = confirmed(x.join(y, across).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")), docs, folder, "links2")
     found = connected_components(links.union(more), folder=f"{folder}/components2")
 

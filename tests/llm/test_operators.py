@@ -495,3 +495,23 @@ def test_url_filter(spark):
     a.digests = np.array([7, 7, 7], np.uint64)  # all digests collide
     seven = np.array([7, 7], np.uint64)
     assert a.find([b"y", b"none"], seven).tolist()[1] == -1 and a.string(a.find([b"y", b"z"], seven)[1]) == b"z"
+
+
+def test_near_copies_that_are_not_are_told_by_their_maps(spark):
+    """Texts that share 60 % of their shingles are ruled out ahead of their texts, near ones never."""
+    from kgspark.llm.near_dedup import WIDE, _possible, bitmap
+
+    rng, rows = np.random.default_rng(3), []
+    for k in range(200):
+        n = int(rng.integers(20, 1000))
+        share = 0.6 if k % 2 else float(rng.uniform(0.75, 1))
+        both = int(np.ceil(2 * n * share / (1 + share)))
+        h = rng.integers(0, 1 << 64, 2 * n - both, np.uint64)
+        a, b = h[:n], h[n - both :]
+        near = 100 * both >= 75 * len(h)
+        rows.append((near, n, *(bitmap(x, w).tolist() for w in (8, WIDE) for x in (a, b))))
+    df = spark.createDataFrame(rows, "near boolean, n long, a array<long>, b array<long>, wa array<long>, wb array<long>")
+    n = F.col("n")
+    got = df.select("near", _possible(n, F.col("a"), n, F.col("b")).alias("some"), _possible(n, F.col("wa"), n, F.col("wb"), WIDE).alias("wide")).collect()
+    assert all(r.some and r.wide for r in got if r.near)
+    assert sum(r.wide for r in got if not r.near) < 10 < 50 < sum(r.some for r in got if not r.near)
