@@ -1,15 +1,19 @@
 """Operator 11: main text of web pages by a site style tree.
 
 The trees of all pages of a host are merged: two elements are one node of the style tree if they stand at the same place of equal sequences of
-children (equal tags, classes and ids, digits as 0; repeated children of one kind as one). Of each element node the tree knows how often which sequence of children
-stands in it, of each content node (the texts and links of a place) on how many pages each occurs. Pages count once for each main heading, so that copies of a page
-don't look like a template.
+children (equal tags, classes and ids, digits as 0; repeated children of one kind as one), inside of articles as outside. Of each element node the tree knows how often which
+sequence of children stands in it, of each content node (the texts and links of a place) on how many pages each occurs; digits count as 0 there, but not in articles and headings,
+which may differ in a number alone. Pages count once for each main heading, so that copies of a page don't look like a template.
 
 Importance: of an element node the entropy of its sequences, of a content node what the mean entropy of its texts and links over the pages leaves of 1;
-both in units of log(pages), and 1 for a single page. Tags and attributes are evidence: what they name as menu, header, footer, sidebar, notice, advert, form or comments
-has the importance 0, what they name as article 1, and the tree isn't continued inside. The composite importance of a node weighs its own against that of its children, by
-level from the leaves up. Branches that are below THRESHOLD with all that is inside are removed from each page, and so are single texts that stand on nearly all pages of their
-place. If that would leave nothing of a page, its named parts alone decide.
+both in units of log(pages), and 1 for a single page. What tags and attributes name as menu, header, footer, sidebar, notice, advert, form or comments has the importance 0,
+and the tree isn't continued inside. The composite importance of a node weighs its own against that of its children, by level from the leaves up. Branches that are below
+THRESHOLD with all that is inside are noise. Each page is mapped onto the tree and loses them; what the tree doesn't know stays. So do single texts go that stand on nearly all pages
+of their place, outside of articles.
+
+Names are a check that follows: parts named as none of an article go from every page, and where a page names its article, all else goes. Inside, the tree removes the branches
+that have a class or id; an article's bare elements are its own words, frequent or not. A page of which the tree would leave nothing, or of its article nothing but headings, differs
+from the site's others by these alone: it is a copy, no template, and loses named parts only.
 
 Scale: statistics are sums over (node, value) that Spark aggregates ahead of its shuffles; no host is one task. The removed nodes' ids are sorted arrays in the shared folder,
 files by ranges of hosts, which tasks map into memory; no html is shuffled and nothing is broadcast.
@@ -51,6 +55,7 @@ CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl
 CLOSES |= dict.fromkeys(("thead", "tbody", "tfoot"), ("thead tbody tfoot tr td th", "table"))
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 P_SCOPE = frozenset("table td th caption button object template".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Evidence. Tags that are never part of an article; those that aren't unless an article stands inside; roles; words of classes and ids.
 NEVER = frozenset("head nav footer aside noscript template svg math canvas object button select dialog datalist audio video".split())
@@ -203,7 +208,7 @@ def parse(page: str, known: dict[tuple[str, str], tuple[str, int, int, str]] | N
         sign, noise, content, link = seen
         if tag in ENDS_P:
             close({"p"}, P_SCOPE)
-            if tag[0] == "h" and len(tag) == 2 and opened and opened[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6") and tag != "hr":
+            if tag[0] == "h" and len(tag) == 2 and opened and opened[-1][0] in HEADINGS and tag != "hr":
                 shut(len(opened) - 1)
         if tag in CLOSES:
             close(*CLOSES[tag])
@@ -272,7 +277,7 @@ FACTS = "node long, parent long, depth int, fan int, kind int, value long, doc l
 
 
 def walk(root: Node, place: Place) -> Iterator[tuple[Node | Text, int, int, int, int, int, list[int]]]:
-    """The judged parts of a page's tree: part, id, parent's id, depth, number of siblings, kind, values."""
+    """The parts of a page's tree: part, id, parent's id, depth, number of siblings, kind, values."""
     mask = (1 << 64) - 1
     todo: list[tuple[Node, int, int, int, int]] = [(root, place.of(""), 0, 0, 1)]
     while todo:
@@ -281,7 +286,7 @@ def walk(root: Node, place: Place) -> Iterator[tuple[Node | Text, int, int, int,
         signs: list[str] = []
         at: list[int] = []
         for kid in kids:
-            sign = "!" + kid.sign if isinstance(kid, Node) and (kid.drop or kid.content) else kid.sign
+            sign = "!" + kid.sign if isinstance(kid, Node) and kid.drop else kid.sign
             if not signs or signs[-1] != sign:
                 signs.append(sign)
             at.append(len(signs) - 1)
@@ -290,10 +295,11 @@ def walk(root: Node, place: Place) -> Iterator[tuple[Node | Text, int, int, int,
         for kid, k in zip(kids, at, strict=True):
             id_ = place.of(me & mask, style & mask, k)
             if isinstance(kid, Text):
-                some = [re.sub(r"\d+", "0", kid.text.lower()), *("@" + x for x in kid.links)]
+                text = kid.text.lower()
+                some = [text if kid.up.content or kid.up.tag in HEADINGS else re.sub(r"\d+", "0", text), *("@" + x for x in kid.links)]
                 yield kid, id_, me, depth + 1, len(signs), CONTENT, [place.of(id_ & mask, x) for x in some]
-            elif kid.drop or kid.content:
-                yield kid, id_, me, depth + 1, len(signs), NAMED, [int(not kid.drop)]
+            elif kid.drop:
+                yield kid, id_, me, depth + 1, len(signs), NAMED, [0]
             else:
                 todo.append((kid, id_, me, depth + 1, len(signs)))
 
@@ -302,7 +308,7 @@ def _flat(node: Node) -> Iterator[Node | Text]:
     stack = list(reversed(node.kids))
     while stack:
         x = stack.pop()
-        if isinstance(x, Text) or x.drop or x.content:
+        if isinstance(x, Text) or x.drop:
             yield x
         else:
             stack += reversed(x.kids)
@@ -319,10 +325,9 @@ def page_facts(pages: DataFrame) -> DataFrame:
                 root, _, heading = parse(page or "", known)
                 place = Place(host)
                 doc = place.of("doc", heading or page or "")
-                for _, me, parent, depth, fan, kind, values in walk(root, place):
-                    for k, v in ((PRESENT, 0), *((kind, v) for v in values)):
-                        for c, x in zip(columns, (me, parent, depth, fan, k, v, doc), strict=True):
-                            c.append(x)
+                facts = {(me, parent, depth, fan, k, v, doc) for _, me, parent, depth, fan, kind, values in walk(root, place) for k, v in ((PRESENT, 0), *((kind, v) for v in values))}
+                for c, some in zip(columns, zip(*facts, strict=True), strict=True):
+                    c += some
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in FACTS.split(", ")])
 
@@ -330,7 +335,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 def importances(facts: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Of the nodes that stand on two pages or more the composite importance and the most of any branch inside (node, m, importance, most); of each text and link of theirs value, m, importance."""
+    """Of the nodes that stand on two pages or more the composite importance and the most of any branch inside (node, m, importance, most); of each text and link of theirs on two pages or more value, m, importance."""
     meta = [F.min(c).alias(c) for c in ("parent", "depth", "fan")]
     once = facts.groupBy("node", "kind", "value", "doc").agg(*meta)
     values = written(once.groupBy("node", "kind", "value").agg(F.count("*").alias("n"), *meta), folder, "values")
@@ -345,12 +350,11 @@ def importances(facts: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
         F.count(F.when((F.col("kind") == STYLE) & (n == 1), n)).alias("single"),
         F.count(only(CONTENT, n)).alias("contents"),
         F.sum(only(CONTENT, log)).alias("content_logs"),
-        F.sum(only(NAMED, n * F.col("value"))).alias("named"),
-        F.sum(only(NAMED, n)).alias("names"),
+        F.count(only(NAMED, n)).alias("names"),
     )
     styled, m = F.col("styled"), F.col("m")
     own = (
-        F.when(F.col("names") > 0, F.col("named") / F.col("names"))
+        F.when(F.col("names") > 0, 0.0)
         .when(F.col("contents") > 0, 1 - F.col("content_logs") / F.col("contents") / F.log(m))
         .otherwise(F.when(styled > 1, 1 - F.col("style_logs") / (styled * F.log(styled))).otherwise(1.0))
     )
@@ -376,7 +380,7 @@ def importances(facts: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     scored = levels[0]
     for x in levels[1:]:
         scored = scored.unionByName(x)
-    texts = values.filter(F.col("kind") == CONTENT).select("node", "value", "n").join(nodes.select("node", "m"), "node")
+    texts = values.filter((F.col("kind") == CONTENT) & (n > 1)).select("node", "value", "n").join(nodes.select("node", "m"), "node")
     return scored.select("node", "m", "importance", "most"), texts.select("value", "m", (1 - F.log("n") / F.log("m")).alias("importance"))
 
 
@@ -424,29 +428,37 @@ def site_noise(pages: DataFrame, threshold: float = THRESHOLD, least: int = PAGE
     return folder, bits
 
 
+def judged(root: Node, place: Place) -> Iterator[tuple[Node | Text, int]]:
+    """A page's parts but those that names drop, with the ids by which the tree may know them as noise: of their place, and of each text outside of articles."""
+    for part, me, _, _, _, kind, values in walk(root, place):
+        if kind != NAMED:
+            yield part, me
+        if kind == CONTENT and not part.up.content:
+            yield part, values[0]
+
+
 def main_text(root: Node, place: Place, noisy: dict[int, bool] | None = None) -> list[str]:
     """The blocks of the article in page order; noisy: ids of removed parts of the style tree."""
+    bad = {id(part) for part, x in judged(root, place) if x in noisy} if noisy else set()
     named: list[str] = []
     kept: list[str] = []
-    stack: list[tuple[Node | Text, bool]] = [(root, False)]
-    article = root.holds
-    bad = set()
-    if noisy:
-        for part, me, _, _, _, kind, values in walk(root, place):
-            if noisy.get(me) or kind == CONTENT and noisy.get(values[0]):
-                bad.add(id(part))
+    told = False  # whether the tree leaves what tells the page from the site's others: in an article more than headings
+    stack: list[tuple[Node | Text, bool, bool]] = [(root, False, False)]
     while stack:
-        part, gone = stack.pop()
-        gone = gone or id(part) in bad
+        part, noise, gone = stack.pop()
+        up = part.up
+        noise = noise or id(part) in bad
         if isinstance(part, Text):
-            up = part.up
-            if up.content or not (article or part.linked and up.tag in ("li", "ul", "ol")):
+            gone = gone or noise and not up.content
+            if up.content or not (root.holds or part.linked and up.tag in ("li", "ul", "ol")):
                 named.append(part.text)
                 if not gone:
                     kept.append(part.text)
+                told = told or not (noise or up.content and up.tag in HEADINGS)
         elif not part.drop:
-            stack += [(k, gone) for k in reversed(part.kids)]
-    return kept or named
+            gone = gone or noise and not (up and up.content and " " not in part.sign)
+            stack += [(k, noise, gone) for k in reversed(part.kids)]
+    return kept if told else named
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", **limits: float) -> DataFrame:
@@ -458,10 +470,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         noise, known = Noise(folder, bits), {}
         for b in small_batches(batches, "html"):
             some = [(parse(page or "", known)[0], Place(host)) for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True)]
-            ids = np.array([x for root, place in some if noise.files for _, me, _, _, _, kind, values in walk(root, place) for x in ([me, values[0]] if kind == CONTENT else [me])], np.int64)
-            ids = np.unique(ids)
-            noisy = dict.fromkeys(ids[noise.hit(ids)].tolist(), True)
-            texts = ["\n".join(main_text(root, place, noisy)) for root, place in some]
+            found = [np.array([x for _, x in judged(root, place)] if noise.files else [], np.int64) for root, place in some]
+            ids = np.unique(np.concatenate(found)) if found else np.array([], np.int64)
+            ids = ids[noise.hit(ids)]
+            texts = ["\n".join(main_text(root, place, dict.fromkeys(x[np.isin(x, ids)].tolist(), True))) for (root, place), x in zip(some, found, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.mapInArrow(take, "page_id long, url string, text string, n_chars long")

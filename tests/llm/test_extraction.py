@@ -74,6 +74,32 @@ def test_unlabelled_sites(spark):
     assert x.extract(df.limit(0)).count() == 0
 
 
+def test_tree_inside_articles(spark):
+    """The tree judges an article's branches, too; bare elements, copies and what differs in a number stay, named parts go."""
+    r = random.Random(5)
+    word = lambda k: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(k))
+    box = "<div class=box><p>Read us every day</p><a href=/x>Join</a></div>"
+    rows, want = [], []
+
+    def add(host, html, text):
+        rows.append((len(rows), f"http://{host}/{len(rows)}", html, "h", "t", 1, 2, 3))
+        want.append(text)
+
+    for i in range(12):
+        ours, other = word(9), word(4)
+        page = f"<body><nav>{other}</nav><article><h1>Title {i}</h1><p>{ours}</p><p>Every day</p>{box}</article><footer>{other}</footer></body>"
+        add("many.org", page, f"Title {i}\n{ours}\nEvery day")
+        add("copies.org", f"<article><h1>Title {i}</h1><div class=body><p>Same</p></div></article>", f"Title {i}\nSame")
+        add("titles.org", f"<title>Title {i}</title><article><div class=body><p>Same</p></div></article>", "Same")
+        add("numbers.org", f"<article><h1>Title {i}</h1><div class=body><p>Body {i}</p></div></article>", f"Title {i}\nBody {i}")
+        add("plain.org", f"<h1>Title {i}</h1><div class=body><p>{ours}</p></div>{box}", f"Title {i}\n{ours}")
+        if i < 4:
+            add("few.org", page, f"Title {i}\n{ours}\nEvery day\nRead us every day\nJoin")
+    add("many.org", f"<body><article><h2>Else</h2><section>x</section>{box}</article></body>", "Else\nx\nRead us every day\nJoin")  # a sequence that the tree doesn't know
+    found = {q.page_id: q.text for q in x.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert [found[i] for i in range(len(rows))] == want
+
+
 def plain_importances(pages):
     """The style tree as nested counts, by recursion."""
     kinds = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
