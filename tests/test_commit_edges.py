@@ -104,7 +104,7 @@ def test_edges_of_many_batches(spark, monkeypatch, bits):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["commit_batch_edges"])
+@pytest.mark.parametrize("name", ["commit_batch_edges", "commit_batch_edge_sources"])
 def test_no_derived_table_is_written(spark, monkeypatch, name):
     monkeypatch.setattr(domain, "_kept", {})
     monkeypatch.setattr(domain, "written", None)
