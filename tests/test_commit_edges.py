@@ -75,7 +75,7 @@ def test_old_edges_stay_where_they_are(spark):
 
 
 @pytest.mark.parametrize("bits", [1 << 28, 512])
-def test_edges_of_many_batches(spark, monkeypatch, bits):
+def test_edges_of_many_batches(spark, tmp_path, monkeypatch, bits):
     """As commits one after another: mentions of a source's last batch, later items over earlier ones and over stored edges; missing relations are one."""
     monkeypatch.setattr(g, "MAP_BITS", bits)
     rnd = random.Random(9)
@@ -99,8 +99,12 @@ def test_edges_of_many_batches(spark, monkeypatch, bits):
             elif p[4] and p[5]:
                 key = (f"edge:{p[4]}:{p[6] or ''}:{p[5]}", f"entity://{p[4]}", f"entity://{p[5]}")
                 state[key] = (*key, p[6] or "RELATES_TO", "L2", b[2], b[1], "team", p[7], i[5])
-    out = r.commit_edges(spark.createDataFrame(batches, BATCH), spark.createDataFrame(items, ITEM).repartition(3), spark.createDataFrame(old, EDGE))
-    assert rows(out) == sorted(map(repr, state.values()))
+    given = spark.createDataFrame(batches, BATCH), spark.createDataFrame(items, ITEM).repartition(3), spark.createDataFrame(old, EDGE)
+    assert rows(r.commit_edges(*given)) == sorted(map(repr, state.values()))
+    assert rows(r.commit_edges(*given, str(tmp_path / "whole"))) == sorted(map(repr, state.values()))
+    few = r.commit_edges(*given[:2], given[2].select("id", "src_uri", "dst_uri", "relation"), str(tmp_path / "few"))
+    assert rows(few) == sorted(repr(x[:4]) for x in state.values())
+    assert str(few._jdf.queryExecution().executedPlan().toString()).count("Window [") == 0  # what is written first isn't planned again
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
